@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..shipping import ship
+
 U64 = np.uint64
 SLICE = 256
 
@@ -130,7 +132,8 @@ def shingles(h: np.ndarray, n: int = 5) -> np.ndarray:
 
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only these columns, by exact name; any others (clashing or not) stay outside the operator."""
+    """Only these columns, by exact name; any others (clashing or not) stay outside the operator. Every operator starts here, so executors get the package here."""
+    ship(df.sparkSession)
     return df.select(*[df[f"`{n}`"].alias(n) for n in names])
 
 
