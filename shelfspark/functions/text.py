@@ -171,7 +171,7 @@ def fit_scale(w: Column, h: Column) -> Column:
 
 def modal_width(height: Column, w: Column, h: Column, viewport: Column) -> Column:
     scaled = height * w / F.nullif(h, F.lit(0))
-    return F.coalesce(F.when((height == 0) | (w == 0), F.lit(0.0)).when(viewport > 650, scaled).otherwise(F.least(scaled, viewport * 0.38)), F.lit(0.0))
+    return F.coalesce(F.when((height == 0) | (w == 0) | (h == 0), F.lit(0.0)).when(viewport > 650, scaled).otherwise(F.least(scaled, viewport * 0.38)), F.lit(0.0))
 
 
 def cover_score(w: Column, h: Column) -> Column:
