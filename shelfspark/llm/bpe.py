@@ -9,7 +9,9 @@ tokenizer file: NFC, runs of white space to one space, lower case, then its spli
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
+import re
 import unicodedata
 from array import array
 
@@ -29,28 +31,54 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
 
 
+class Remembered(dict):
+    """Results of a function of words; forgets all when it holds ``most``."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, word):
+        out = self.make(word)
+        if len(word) <= 48:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = out
+        return out
+
+
+_KEPT: dict = {}
+
+
+def kept(make, spec: str):
+    """``make(spec)``, kept by the Python worker for its next tasks; one at a time."""
+    key = make, hash(spec), len(spec)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make(spec)
+    return _KEPT[key]
+
+
 class Bpe:
     """A byte-level BPE with word ends, from the JSON of a tokenizer file."""
 
-    def __init__(self, spec: str, most_cached: int = 300_000):
+    def __init__(self, spec: str, most_cached: int = 600_000):
         j = json.loads(spec)
         model = j["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.pairs = {}
+        self.pairs: dict[tuple[str, str], int] = {}
         for rank, m in enumerate(model["merges"]):
-            a, b = m if not isinstance(m, str) else m.split(" ")
-            self.pairs.setdefault((a, b), (rank, a + b))
+            self.pairs.setdefault(tuple(m if not isinstance(m, str) else m.split(" ")), rank)
         self.near = self._neighbours()
         self.letters = byte_letters()
         pattern = next(p["pattern"]["Regex"] for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", SPACE), regex.V1 if "&&" in pattern else regex.V0)
-        self.spaces = regex.compile(f"[{SPACE}]+")
+        self.ascii_words = re.compile(pattern.replace(r"\s", r"\t-\r ").replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"))
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.most = most_cached
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.cache = Remembered(self._word, most_cached)
 
     def _symbols(self, token: str) -> list[str]:
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
@@ -74,18 +102,21 @@ class Bpe:
 
     def merge(self, s: list[str]) -> list[str]:
         """Lowest rank first, leftmost on ties, all through; O(n log n) by a heap over a linked list."""
-        if len(s) < 24:
-            while len(s) > 1:
-                best = min(((self.pairs.get(p, (1 << 60,))[0], i) for i, p in enumerate(zip(s, s[1:]))))
-                if best[0] == 1 << 60:
-                    break
-                i = best[1]
-                s = [*s[:i], s[i] + s[i + 1], *s[i + 2 :]]
+        if len(s) < 48:
+            get, none = self.pairs.get, len(self.pairs)
+            s = list(s)
+            ranks = [get(p, none) for p in zip(s, s[1:])]
+            while ranks and (best := min(ranks)) < none:
+                i = ranks.index(best)
+                s[i : i + 2] = [s[i] + s[i + 1]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = get((s[i - 1], s[i]), none)
+                if i < len(ranks):
+                    ranks[i] = get((s[i], s[i + 1]), none)
             return s
-        import heapq
-
         s, right, left = list(s), [*range(1, len(s)), -1], [-1, *range(len(s) - 1)]
-        heap = [(self.pairs[p][0], i, p) for i, p in enumerate(zip(s, s[1:])) if p in self.pairs]
+        heap = [(self.pairs[p], i, p) for i, p in enumerate(zip(s, s[1:])) if p in self.pairs]
         heapq.heapify(heap)
         while heap:
             _, i, p = heapq.heappop(heap)
@@ -98,39 +129,32 @@ class Bpe:
                 left[right[j]] = i
             for k in (left[i], i):
                 if k >= 0 and right[k] >= 0 and (q := (s[k], s[right[k]])) in self.pairs:
-                    heapq.heappush(heap, (self.pairs[q][0], k, q))
+                    heapq.heappush(heap, (self.pairs[q], k, q))
         return [x for x in s if x is not None]
 
     def _word(self, word: str) -> tuple[bytes, str]:
         ids = [self.vocab[t] for f in self.fragments(word) for t in self.merge(f)]
-        out = array("I", ids).tobytes(), " ".join(self.tokens[i] for i in ids)
-        if len(word) <= 48:
-            if len(self.cache) >= self.most:
-                self.cache.clear()
-            self.cache[word] = out
-        return out
+        return array("I", ids).tobytes(), " ".join([self.tokens[i] for i in ids])
 
-    def normalize(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.spaces.sub(" ", text).lower()
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special tokens. White space only separates, so its runs need no collapsing."""
+        if text.isascii():
+            return self.ascii_words.findall(text.lower())
+        return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
-    def _plain(self, text: str, out: list) -> None:
-        get, make = self.cache.get, self._word
-        for w in self.words.findall(self.normalize(text)):
-            out.append(get(w) or make(w))
+    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+        return list(map(self.cache.__getitem__, self.split(text)))
 
     def encode_parts(self, text: str) -> list[tuple[bytes, str]]:
         """(ids as little-endian 32-bit integers, their tokens joined by spaces) of each piece of the text."""
-        out: list[tuple[bytes, str]] = []
         if self.cut is None or not self.cut.search(text):
-            self._plain(text, out)
-            return out
+            return self._plain(text)
+        out: list[tuple[bytes, str]] = []
         for part in self.cut.split(text):
             if part in self.special:
                 out.append((array("I", [self.special[part]]).tobytes(), part))
             elif part:
-                self._plain(part, out)
+                out += self._plain(part)
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -158,7 +182,7 @@ def encode_documents(docs: DataFrame, path: str, full: bool = False) -> DataFram
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def factory():
-        bpe = Bpe(spec.value)
+        bpe = kept(Bpe, spec.value)
 
         def run(rows):
             out = {"doc_id": rows["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}

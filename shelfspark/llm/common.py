@@ -6,52 +6,24 @@ those six bytes and ``bytes.lower()`` changes exactly A-Z, so both work on UTF-8
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..plans.staging import shared_dir, stage  # noqa: F401
 from ..shipping import ship
 
 U64 = np.uint64
 SLICE = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session (one process, so one disk) gets a folder of its
-    own; a cluster without the setting is an error, for a local folder would lose rows.
-    """
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = getattr(spark.sparkContext, "_shelfspark_dir", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="shelfspark-")
-        spark.sparkContext._shelfspark_dir = own
-    return own
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors,
-    and gives the planner real sizes."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/shelfspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def map_rows(df: DataFrame, factory, schema: str | T.StructType) -> DataFrame:
     """mapInArrow in slices of at most SLICE rows, so that memory follows the slice, not the task.
 

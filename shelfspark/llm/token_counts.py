@@ -11,7 +11,7 @@ from collections import deque
 
 from pyspark.sql import DataFrame
 
-from .bpe import Bpe, read_spec
+from .bpe import Bpe, Remembered, kept, read_spec
 from .common import map_rows, own_columns
 
 
@@ -71,21 +71,15 @@ class TextCounter:
     def __init__(self, spec: str, most: int = 400_000):
         self.bpe = Bpe(spec)
         self.pieces = PieceCounter([tuple(self.bpe._symbols(t)) for t in self.bpe.vocab])
-        self.seen: dict[str, int] = {}
-        self.most = most
+        self.counts = Remembered(self._word, most)
 
     def symbols(self, word: str) -> list[str]:
         s = [self.bpe.letters[b] for b in word.encode()]
         s[-1] += self.bpe.end
         return s
 
-    def word(self, word: str) -> int:
-        n = self.pieces.count(self.symbols(word))
-        if len(word) <= 48:
-            if len(self.seen) >= self.most:
-                self.seen.clear()
-            self.seen[word] = n
-        return n
+    def _word(self, word: str) -> int:
+        return self.pieces.count(self.symbols(word))
 
     def text(self, text: str | None) -> tuple[int, int]:
         """(tokens, words); a special token is one token."""
@@ -95,11 +89,9 @@ class TextCounter:
             if part in self.bpe.special:
                 n += 1
             elif part:
-                found = self.bpe.words.findall(self.bpe.normalize(part))
+                found = self.bpe.split(part)
                 words += len(found)
-                get, make = self.seen.get, self.word
-                for w in found:
-                    n += get(w) or make(w)
+                n += sum(map(self.counts.__getitem__, found))
         return n, words
 
 
@@ -108,7 +100,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def factory():
-        counter = TextCounter(spec.value)
+        counter = kept(TextCounter, spec.value)
 
         def run(rows):
             got = [counter.text(t) for t in rows["text"]]
