@@ -12,10 +12,9 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, map_rows, own_columns, shingles, stage
+from .common import U64, WordHashes, map_rows, own_columns, shingles
 
 K = 128
 SPAN = 1 << 48
@@ -93,71 +92,57 @@ def _edited(of: TextSketcher, text: str, own: np.ndarray, after: str, its: np.nd
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _ranges(ids: DataFrame, most: int) -> tuple[list[int], DataFrame]:
+    """Bounds of up to ``most`` ranges of doc_id with about as many rows each, and (range, head, to) of each range that has rows: its largest doc_id, and the range that comes before it in descending order (of the first: the last)."""
+    bounds = sorted({int(x) for x in ids.where("doc_id is not null").approxQuantile("doc_id", [i / most for i in range(1, most)], 1 / (4 * most))}) if most > 1 else []
+    heads = ids.groupBy(_range(bounds).alias("range")).agg(F.max("doc_id").alias("head")).orderBy("range").collect()  # a row a range
+    rows = [(r["range"], r["head"], heads[(i + 1) % len(heads)]["range"]) for i, r in enumerate(heads)]
+    return bounds, ids.sparkSession.createDataFrame(rows, "range int, head long, to int")
+
+
+def _range(bounds: list[int]):
+    """How many bounds are below doc_id; null ids come last in descending order, so in range 0."""
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda x: x < F.col("doc_id")))
+
+
 def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of each text and of its edit: the last third replaced by the start of the next text.
 
     Next is by descending doc_id (null last; equal ids by a hash of the text, then equal texts
     side by side); the last is followed by the first, a single row by itself. Rows are dealt by
-    ranges, so neighbours meet inside a task; the first and last row of every range, at most two a
-    task, are written aside and joined to their neighbours afterwards. Null texts are empty.
+    ranges of doc_id, and the first row of each range also goes to the range before it, so every
+    row meets its next in one task. Null texts are empty.
     """
     d = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    tie = F.xxhash64("text")
-    ordered = d.repartitionByRange(F.desc_nulls_last("doc_id"), tie.asc()).sortWithinPartitions(F.desc_nulls_last("doc_id"), tie.asc())
-    names = [f.split()[0] for f in OUT.split(", ")]
-    edge = OUT + ", kind int, part int, text string"
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds, heads = _ranges(d.select("doc_id"), 4 * n)
+    here = F.struct(F.col("range").alias("at"), F.lit(False).alias("tail"))
+    before = F.when(F.col("head").eqNullSafe(F.col("doc_id")), F.struct(F.col("to").alias("at"), F.lit(True).alias("tail")))
+    dealt = d.withColumn("range", _range(bounds)).join(F.broadcast(heads), "range").select("doc_id", "text", F.explode(F.array_compact(F.array(here, before))).alias("x"))
+    dealt = dealt.select(F.col("x.at").alias("at"), F.col("x.tail").alias("tail"), "doc_id", "text").repartition(n, "at")
+    ordered = dealt.sortWithinPartitions("at", "tail", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
 
     def factory():
-        from pyspark import TaskContext
-
-        of, part = TextSketcher(k), TaskContext.get().partitionId()
+        of = TextSketcher(k)
         held: list = []  # the row that waits for its next
 
-        def blank():
-            return {n: [] for n in [*names, "kind", "part", "text"]}
-
-        def put(out, row, kind, got=None):
-            doc_id, text, own = row
-            sha, fp, a, b = got or (None, None, None, None)
-            for n, v in zip([*names, "kind", "part", "text"], (doc_id, len(text), sha, to_text(own), fp, a, b, kind, part, text if kind else None)):
-                out[n].append(v)
-
         def run(rows):
-            out = blank()
-            for doc_id, text in zip(rows["doc_id"], rows["text"]):
-                row = doc_id, text, of(text)
+            out: dict[str, list] = {f.split()[0]: [] for f in OUT.split(", ")}
+            for tail, doc_id, text in zip(rows["tail"], rows["doc_id"], rows["text"]):
+                if tail and not held:
+                    continue  # more rows with the id of the first
+                own = of(text)
                 if held:
-                    put(out, held[0], 0, _edited(of, held[0][1], held[0][2], text, row[2]))
-                    held[0] = row
-                else:
-                    put(out, row, 1)
-                    held.append(row)
+                    old_id, old, its = held.pop()
+                    sha, fp, a, b = _edited(of, old, its, text, own)
+                    for c, v in zip(out, (old_id, len(old), sha, to_text(its), fp, a, b)):
+                        out[c].append(v)
+                if not tail:
+                    held.append((doc_id, text, own))
             return out
 
-        def finish():
-            if held:
-                out = blank()
-                put(out, held[0], 2)
-                return out
-
-        run.finish = finish
-        return run
-
-    found = stage(map_rows(ordered, factory, edge), "sketch-edits")
-    first, last = (found.where(F.col("kind") == kind) for kind in (1, 2))
-    parts = first.select("part")  # one row a range
-    by_part = W.partitionBy().orderBy("part")
-    after = parts.select("part", F.coalesce(F.lead("part").over(by_part), F.min("part").over(W.partitionBy())).alias("after"))
-    nexts = first.select(F.col("part").alias("after"), F.col("text").alias("after_text"), F.col("fingerprint").alias("after_print"))
-    open_rows = last.join(after, "part").join(nexts, "after").select("doc_id", "n_chars", "text", "fingerprint", "after_text", "after_print")
-
-    def close():
-        of = TextSketcher(k)
-
-        def run(rows):
-            got = [_edited(of, t, from_text(p), a, from_text(q)) for t, p, a, q in zip(rows["text"], rows["fingerprint"], rows["after_text"], rows["after_print"])]
-            return {"doc_id": rows["doc_id"], "n_chars": rows["n_chars"], "edited_sha256": [x[0] for x in got], "fingerprint": rows["fingerprint"], "edited_fingerprint": [x[1] for x in got], "near_edited": [x[2] for x in got], "near_next": [x[3] for x in got]}
-
         return run
 
-    return found.where(F.col("kind") == 0).select(names).unionByName(map_rows(open_rows, close, OUT))
+    return map_rows(ordered, factory, OUT)
