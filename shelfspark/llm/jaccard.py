@@ -19,6 +19,10 @@ Pairs that could only join what is joined already are left out; no link between
 
 from __future__ import annotations
 
+import zlib
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -30,47 +34,61 @@ from .components import components
 from .repeats import SENT, answers, batch_of, batches, distinct_of_documents, send, unpack
 
 SIMILARITY = 75  # percent
-COUNTERS_LOG2, BLOCKS = 20, 16
+COUNTERS_LOG2, BLOCKS = 24, 16
+#: Words of the bit mask of a head's shared elements.
+MASKS = 8
+MASK = [f"m{i}" for i in range(MASKS)]
 #: Ids that are broadcast to fetch texts, 8 bytes each; more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
 
 
 def shingle_levels(docs: DataFrame, n: int = 5) -> np.ndarray:
-    """A level from 0 to 15 for each of 2^20 classes of shingles: by how many doublings the class's count over all
-    documents passes the mean. The sketch has a fixed size, in tasks, shuffles and on the driver."""
+    """A level from 0 to 15 for each of 2^24 classes of shingles: by how many doublings the class's count over all
+    documents passes the mean. The sketch has a fixed size: 16 MB a task (a task counts up to 255 a class), less as it is
+    shuffled, and 16 MB on the driver."""
     size = 1 << COUNTERS_LOG2
     block = size // BLOCKS
+    schema = "block int, part int, width int, counts binary"
 
     def factory():
-        words, counts = WordHashes(), np.zeros(size, dtype=np.int64)
+        words, counts = WordHashes(), np.zeros(size, dtype=np.uint8)
 
         def run(rows):
             for t in rows["text"]:
                 if t:
                     h = shingles(words.of(t.encode().lower().split()), n)
-                    np.add.at(counts, (h >> U64(64 - COUNTERS_LOG2)).astype(np.int64), 1)
+                    at = (h >> U64(64 - COUNTERS_LOG2)).astype(np.int64)
+                    counts[at] += counts[at] < 255
 
         def finish():
             from pyspark import TaskContext
 
             part = TaskContext.get().partitionId()
-            return {"block": list(range(BLOCKS)), "part": [part % 64] * BLOCKS, "counts": [x.astype(np.int32).tobytes() for x in np.split(counts, BLOCKS)]}
+            return {"block": list(range(BLOCKS)), "part": [part % 64] * BLOCKS, "width": [1] * BLOCKS, "counts": [zlib.compress(x.tobytes(), 1) for x in np.split(counts, BLOCKS)]}
 
         run.finish = finish
         return run
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
+    def total_of(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(block, dtype=np.int64)
-        for x in rows["counts"]:
-            total += np.frombuffer(x, dtype=np.int64 if len(x) == 8 * block else np.int32)
-        return pd.DataFrame({"block": rows["block"].iloc[:1], "part": [0], "counts": [total.tobytes()]})
+        for width, x in zip(rows["width"], rows["counts"]):
+            total += np.frombuffer(zlib.decompress(x), dtype=np.uint8 if width == 1 else np.int64)
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "part": [0], "width": [8], "counts": [zlib.compress(total.tobytes(), 1)], "total": [int(total.sum())]})
+
+    out = schema + ", total long"
+    sums = map_rows(own_columns(docs, "text"), factory, schema).groupBy("block", "part").applyInPandas(total_of, out)
+    sums = stage(sums.groupBy("block").applyInPandas(total_of, out), "shingle-counts")
+    mean = max(1.0, (sums.agg(F.sum("total")).first()[0] or 0) / size)
+
+    def level(batches):
+        for rows in batches:
+            counts = [np.frombuffer(zlib.decompress(x), dtype=np.int64) for x in rows["counts"]]
+            yield pd.DataFrame({"block": rows["block"], "levels": [np.clip(np.log2(np.maximum(x / mean, 1)), 0, 15).astype(np.uint8).tobytes() for x in counts]})
 
-    schema = "block int, part int, counts binary"
-    sums = map_rows(own_columns(docs, "text"), factory, schema).groupBy("block", "part").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
-    counts = np.zeros(size, dtype=np.int64)
-    for r in sums.collect():
-        counts[r.block * block : (r.block + 1) * block] = np.frombuffer(r.counts, dtype=np.int64)
-    return np.clip(np.log2(np.maximum(counts / max(1.0, counts.mean()), 1)), 0, 15).astype(np.uint8)
+    levels = np.zeros(size, dtype=np.uint8)
+    for r in sums.mapInPandas(level, "block int, levels binary").collect():
+        levels[r.block * block : (r.block + 1) * block] = np.frombuffer(r.levels, dtype=np.uint8)
+    return levels
 
 
 def prefix_length(n: int) -> int:
@@ -110,7 +128,7 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, n: int) -> DataFrame:
 
 
 def _shared(heads: DataFrame, spark) -> DataFrame:
-    """gid, n, toks: the prefix elements of each head that another head has too; heads with none are left out."""
+    """gid, n, toks, and masks with a bit for each of toks: the prefix elements of each head that another head has too; heads with none are left out."""
     m = batches(spark)
     heads = heads.withColumn("batch", batch_of(m, "gid"))
 
@@ -128,12 +146,15 @@ def _shared(heads: DataFrame, spark) -> DataFrame:
             k = np.unique((k << U64(4)) | (k >> U64(60)))
             k = k[np.isin(k, again, assume_unique=True)]
             if len(k):
-                out.append((gid, n, k.view(np.int64).tolist()))
-        return pd.DataFrame(out, columns=["gid", "n", "toks"])
+                bit = np.unique(k & U64(64 * MASKS - 1))
+                mask = np.zeros(MASKS, dtype=U64)
+                np.bitwise_or.at(mask, (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
+                out.append((gid, n, k.view(np.int64).tolist(), *mask.view(np.int64).tolist()))
+        return pd.DataFrame(out, columns=["gid", "n", "toks", *MASK])
 
     by = heads.groupBy("batch")
     found = answers(by.applyInPandas(first, SENT))
-    return by.cogroup(found.groupBy("batch")).applyInPandas(second, "gid long, n long, toks array<long>")
+    return by.cogroup(found.groupBy("batch")).applyInPandas(second, "gid long, n long, toks array<long>, " + ", ".join(f"{m} long" for m in MASK))
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -191,15 +212,17 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     members = stage(sets.join(groups, ["n", "prefix_key"]).select("gid", "rep", "n", "members", "prefix_key"), "jaccard-members")
     heads = used.join(members.where("gid = rep").select(F.col("gid").alias("doc_id"), "prefix_key"), ["doc_id", "prefix_key"], "left_semi")
     shared = stage(_shared(heads.select(F.col("doc_id").alias("gid"), "n", "prefix"), spark), "jaccard-shared")
-    postings = shared.select(F.explode("toks").alias("token"), "gid", "n", F.size("toks").alias("pop"))
+    postings = shared.select(F.explode("toks").alias("token"), "gid", "n", F.size("toks").alias("pop"), *MASK)
 
     copies = used.join(sets.select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     inside = members.where("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
     links, found = [], None
-    for weight in (F.struct(F.col("pop"), -F.col("gid"), F.col("n")), F.struct(F.xxhash64("token", "gid").alias("pop"), -F.col("gid"), F.col("n"))):
-        centre = postings.groupBy("token").agg(F.max(weight).alias("c"), F.count("*").alias("df")).where("df > 1")
-        centre = centre.select("token", (-F.col("c")["col2"]).alias("a"), F.col("c")["n"].alias("na"))
-        pairs = postings.join(centre, "token").where((F.col("gid") != F.col("a")) & _sizes_fit(F.col("n"), F.col("na"))).select("a", F.col("gid").alias("b")).distinct()
+    for weight in (F.col("pop").cast("long"), F.xxhash64("token", "gid")):
+        best = F.max(F.struct(weight.alias("weight"), (-F.col("gid")).alias("gid"), F.col("n"), F.col("pop"))).alias("c")
+        centre = postings.groupBy("token").agg(best, F.count("*").alias("df")).where("df > 1")
+        centre = centre.select("token", (-F.col("c.gid")).alias("a"), F.col("c.n").alias("na"), F.col("c.pop").alias("ta"))
+        fit = _sizes_fit(F.col("n"), F.col("na")) & _can_reach(F.least("pop", "ta"), F.col("n"), F.col("na"))
+        pairs = postings.join(centre, "token").where((F.col("gid") != F.col("a")) & fit).select("a", F.col("gid").alias("b")).distinct()
         if found is not None:
             pairs = _apart(pairs, found)
         pairs = _room(pairs, shared)
@@ -242,10 +265,14 @@ def _rest(postings: DataFrame, members: DataFrame, shared: DataFrame, found: Dat
     p = postings.join(g, "gid")
     apart = p.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
     p = p.join(apart, "token", "left_semi")
-    x = p.select("token", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("low").alias("la"), F.col("high").alias("ha"))
-    y = p.select("token", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    x = p.select("token", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pop").alias("ta"), F.col("low").alias("la"), F.col("high").alias("ha"), *[F.col(m).alias(f"x{m}") for m in MASK])
+    y = p.select("token", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pop").alias("tb"), F.col("low").alias("lb"), F.col("high").alias("hb"), *[F.col(m).alias(f"y{m}") for m in MASK])
     one = (F.col("la") == F.col("ha")) & (F.col("lb") == F.col("hb")) & (F.col("la") == F.col("lb"))
-    near = x.join(y, "token").where((F.col("a") < F.col("b")) & _sizes_fit(F.col("na"), F.col("nb")) & ~one)
+    # each bit that one mask alone has is an element that is not common, so pairs on one common passage end here
+    alone = lambda p, q: reduce(add, [F.bit_count(F.col(f"{p}{m}").bitwiseAND(F.bitwise_not(f"{q}{m}"))) for m in MASK])
+    most = F.least(F.col("ta") - alone("x", "y"), F.col("tb") - alone("y", "x"))
+    fit = _sizes_fit(F.col("na"), F.col("nb")) & _can_reach(most, F.col("na"), F.col("nb"))
+    near = x.join(y, "token").where((F.col("a") < F.col("b")) & fit & ~one)
     counted = near.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("na").alias("na"), F.min("nb").alias("nb"))
     pairs = counted.where(_can_reach(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b")
     own = g.where("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
