@@ -224,7 +224,8 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, m
         return run
 
     # bounded by the sample: a few numbers a document
-    rows = map_rows(sample, measure, "toxic int, part int, n long, s array<double>, best array<double>").orderBy("n", F.col("s").cast("string")).collect()
+    rows = map_rows(sample, measure, "toxic int, part int, n long, s array<double>, best array<double>").collect()
+    rows.sort(key=lambda r: (r.n, r.toxic, r.part, r.s, r.best))  # one order, so that sums come out the same
     model.lam, model.k = _extreme_value([r for r in rows if r.toxic == 0 and r.part == 1] or [r for r in rows if r.toxic == 0], drift)
     held_back = [r for r in rows if r.part == 1]
     if len({r.toxic for r in held_back}) < 2:
