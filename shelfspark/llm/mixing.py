@@ -17,7 +17,7 @@ from .common import own_columns, stage
 WORD = r"[^\x20\x09-\x0D]+"
 #: A plan of at most so many sources (some 100 bytes each) is broadcast; a larger one is joined by shuffle.
 MOST_BROADCAST = 50_000
-#: Hex digits of a document's key that make its bucket: 65,536 buckets a source.
+#: Hex digits of a document's key that make its bucket; half of them make its coarse bucket.
 DIGITS = 4
 
 
@@ -54,34 +54,40 @@ def source_targets(totals: DataFrame, weights: Sequence[int] = (5, 2, 1), max_ep
     )
 
 
+def _cut(plan: DataFrame, sums: DataFrame) -> DataFrame:
+    """plan with the bucket in which each source's rest ends, if any, and the words before it; sums has at most 256 rows a source."""
+    up_to = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+    t, c = plan.alias("t"), sums.withColumn("end", F.sum("words").over(up_to)).alias("c")
+    start, end = F.col("t.base") + F.col("end") - F.col("words"), F.col("t.base") + F.col("end")
+    hit = F.col("t.source").eqNullSafe(F.col("c.source")) & (start <= F.col("rest")) & (F.col("rest") < end)
+    return t.join(c, hit, "left").select("t.source", "source_size", "target", "whole", "rest", F.col("bucket").alias("cut"), F.coalesce(start, F.col("t.base")).alias("base"))
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, share: float = 1.0, seed: int = 17) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, repeats.
 
     A document is taken whole ``floor(target / source_size)`` times; the fractional epoch
     takes documents in the order of a seeded key until the target is met to half a document.
-    The cut is found from sums over 65,536 key buckets a source; only the bucket that holds
-    it is ordered row by row. Null or empty texts have size 0; an empty table gives an empty
+    The cut is found from sums over 256 key buckets a source, then over 256 inside the one that
+    holds it; only the last bucket's rows are ordered one by one. Null or empty texts have size 0; an empty table gives an empty
     table; equal rows count once each; a null doc_id is a document like others; further
     columns are ignored.
     """
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     sizes = stage(own_columns(docs, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "mix-sizes")
     bucket = F.substring("key", 1, DIGITS)
-    sums = sizes.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-    totals = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
-    targets = source_targets(totals, weights, max_epochs, share)
+    coarse = sizes.groupBy("source", F.substring("key", 1, DIGITS // 2).alias("bucket")).agg(F.sum("size").alias("words"))
+    targets = source_targets(coarse.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs, share)
     targets = targets.withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long")).withColumn(
         "rest", F.col("target") - F.col("whole") * F.col("source_size")
     )
-    up_to = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    cuts = sums.withColumn("end", F.sum("words").over(up_to)).withColumn("base", F.col("end") - F.col("words"))
-    t, c = targets.alias("t"), cuts.alias("c")
-    plan = (
-        t.join(c, F.col("t.source").eqNullSafe(F.col("c.source")) & (F.col("base") <= F.col("rest")) & (F.col("rest") < F.col("end")), "left")
-        .select("t.source", "source_size", "target", "whole", "rest", F.col("bucket").alias("cut"), "base")
-    )
-    plan = stage(plan, "mix-plan")
-    side = F.broadcast(plan) if plan.count() <= MOST_BROADCAST else plan
+    targets = stage(targets.withColumn("base", F.lit(0).cast("long")), "mix-targets")
+    few = targets.count() <= MOST_BROADCAST
+    cut = stage(_cut(targets, coarse), "mix-cut")
+    inside = sizes.alias("d").join((F.broadcast(cut) if few else cut).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & F.startswith("key", F.col("cut")))
+    fine = inside.groupBy("d.source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
+    plan = stage(_cut(cut.drop("cut"), fine), "mix-plan")
+    side = F.broadcast(plan) if few else plan
     rows = sizes.alias("d").join(side.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(
         "doc_id", "d.source", "size", "source_size", "target", "whole", "rest", "cut", "base", "key", bucket.alias("bucket")
     )
