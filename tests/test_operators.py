@@ -135,3 +135,19 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.event, r.at) for r in spark.table("news").orderBy("at").collect()] == [("new", 1), ("dropped", 3), ("new", 4)]
+
+
+def test_settings_and_batches(spark):
+    from shelfspark.operators import publish
+
+    s = spark.createDataFrame([("root", ["c", "a", "a", "gone"], {"a": " x ", "b": " "}), ("r2", None, None)], "root_folder_id string, excluded_folder_ids array<string>, folder_notes map<string,string>")
+    f = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, pos int")
+    got = {r.root_folder_id: (r.excluded_folder_ids, r.folder_notes) for r in publish.normalize_settings(s, f).collect()}
+    assert got == {"root": (["a", "c"], {"a": "x"}), "r2": ([], {})}
+    done = set()
+
+    def items():
+        return spark.createDataFrame([(f"b{i}", "done" if f"b{i}" in done else "pending") for i in range(7)], "book_id string, state string")
+
+    assert publish.run_batches(items, lambda df: df, 3, lambda df: done.update(r.book_id for r in df.collect())) == 3 and len(done) == 7
+    assert publish.tombstone("u", "r")["books"] == []
