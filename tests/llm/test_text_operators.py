@@ -238,3 +238,23 @@ def test_clamping_takes_several_rounds(spark):
 @pytest.mark.parametrize("f", [bpe.encode_documents, token_counts.count_tokens])
 def test_path_is_a_parameter(spark, f):
     assert f(cases.documents(spark), vocabulary()).count() == len(cases.rows())
+
+
+def read_parts(text):
+    return [text[a:b] for a, b in secrets.candidates(text, secrets.base_spans(text))]
+
+
+def test_every_run_is_a_candidate():
+    assert read_parts("key qWeRtYuIoPaSdFgHjKlZxCvB end") == ["qWeRtYuIoPaSdFgHjKlZxCvB"]
+    assert read_parts("password=Abc123$Zk9mQ end") == ["$Zk9mQ"] and read_parts("token: abcdef$Zk9") == ["$Zk9"]
+    assert read_parts("ghp_" + "0a" * 12 + "Zz9 short") == ["ghp_", "Zz9"]
+    assert read_parts("a short text") == [] and read_parts("") == []
+
+
+def test_made_secrets_are_read_from_end_to_end():
+    made = [x for x in secrets.made_texts(400, seed=3) if x[3]]
+    net = secrets.Network.new()
+    w, y = zip(*secrets.made_findings())
+    net.fit(np.frombuffer(b"".join(w), dtype=np.uint8).reshape(-1, secrets.WIDTH), np.array(y, dtype=np.float32))
+    got = secrets.find_spans([t for t, *_ in made], net)
+    assert sum(set(range(a, b)) <= {i for x, _, y in spans for i in range(x, y)} for (_, a, b, _), (_, spans) in zip(made, got)) >= 0.95 * len(made)
