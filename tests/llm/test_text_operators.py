@@ -258,3 +258,15 @@ def test_made_secrets_are_read_from_end_to_end():
     net.fit(np.frombuffer(b"".join(w), dtype=np.uint8).reshape(-1, secrets.WIDTH), np.array(y, dtype=np.float32))
     got = secrets.find_spans([t for t, *_ in made], net)
     assert sum(set(range(a, b)) <= {i for x, _, y in spans for i in range(x, y)} for (_, a, b, _), (_, spans) in zip(made, got)) >= 0.95 * len(made)
+
+
+def test_every_character_of_a_long_run_is_read():
+    text = "/".join(["some"] * 40) + "=ghp_x9Zk3LmQ8rT2vYbN4cWd6eFg7hJk" + "/some" * 20
+    seen = {i for s, w in secrets.windows(text, 0, len(text)) for i in range(s, min(s + secrets.INSIDE, len(text)))}
+    assert seen == set(range(len(text)))
+    assert [s for s, _ in secrets.windows(text, 3, 15)] == [3] and [s for s, _ in secrets.windows(text, 0, 49)] == [0, 1]
+    net = secrets.Network.new()
+    w, y = zip(*secrets.made_findings())
+    net.fit(np.frombuffer(b"".join(w), dtype=np.uint8).reshape(-1, secrets.WIDTH), np.array(y, dtype=np.float32))
+    got = secrets.find_spans([text, "/".join(["some"] * 40)], net)
+    assert got[0][1] == [(0, 3, len(text))] and got[1][1] == []
