@@ -6,6 +6,7 @@
    form falls back on its stem, and a common word is not blamed for a stem it shares. A word's
    evidence is the log-odds of its longest known feature over those of all documents.
 2. Scan: words without evidence cost ``drift``; one pass finds every maximal-scoring segment.
+   Inside a segment the n-th time of a word counts an n-th.
 3. Calibration: under clean text, segment scores follow an extreme-value law with parameters
    lambda and K; a text's evidence is how far its segments pass what its length makes likely, and
    a logistic curve fitted on labelled documents apart from those of step 1 makes it a score.
@@ -72,10 +73,10 @@ class Model:
         """-ln of the expected number of segments of score s or more in n clean words."""
         return self.lam * s - math.log(self.k * max(n, 2))
 
-    def inputs(self, n: int, segments: list[tuple[int, int, float]]) -> tuple[float, float]:
-        """Of the best segment, and of all significant ones together."""
-        x = [e for _, _, s in segments if (e := self.excess(s, n)) > 0]
-        return (max(x), math.log1p(sum(x))) if x else (0.0, 0.0)
+    def inputs(self, n: int, segments: list[tuple[float, int]]) -> tuple[float, float]:
+        """(score, times) of segments -> of the best, and of all significant ones together; one that comes the n-th time adds an n-th."""
+        x = [(e, t) for s, t in segments if (e := self.excess(s, n)) > 0]
+        return (max(x)[0], math.log1p(sum(e / t for e, t in x))) if x else (0.0, 0.0)
 
     def probability(self, x: tuple[float, float]) -> float:
         t = self.coef[0] + self.coef[1] * x[0] + self.coef[2] * x[1]
@@ -123,16 +124,30 @@ def maximal_segments(scores: np.ndarray, drift: float) -> list[tuple[int, int, f
     return [(a, b, y - x) for a, b, x, y, _ in stack]
 
 
+def damped(words: list[bytes], s: np.ndarray, start: int, end: int, drift: float) -> float:
+    """The best score inside a segment when the n-th time a word comes in it has an n-th of its evidence, so that one repeated line is not many findings."""
+    times: dict[bytes, int] = {}
+    best = run = 0.0
+    last = start
+    for i in (np.flatnonzero(s[start:end] > 0) + start).tolist():
+        n = times[words[i]] = times.get(words[i], 0) + 1
+        e = s[i] / n if s[i] / n > LEAST else -drift
+        run = max(0.0, run - drift * (i - last)) + e
+        best, last = max(best, run), i + 1
+    return best
+
+
 def _analyse(scores: WordScores, text: str | None):
-    """Number of words, and their scores; the n-th time a word comes in a text it has an n-th of its evidence, so that one repeated line is not many findings."""
+    """Number of words, their scores, and the maximal segments of these as (start, end, damped score, how often its words of
+    evidence have come in this order by now). What a segment holds and scores doesn't depend on what comes before it."""
     words = (text or "").encode().split()
     s = np.fromiter(map(scores.__getitem__, words), dtype=np.float64, count=len(words))
-    times: dict[bytes, int] = {}
-    for i in np.flatnonzero(s > 0).tolist():
-        n = times[words[i]] = times.get(words[i], 0) + 1
-        if n > 1:
-            s[i] = s[i] / n if s[i] / n > LEAST else -scores.model.drift
-    return len(words), s
+    drift, came, out = scores.model.drift, {}, []
+    for a, b, _ in maximal_segments(s, drift):
+        key = tuple(words[i] for i in (np.flatnonzero(s[a:b] > 0) + a).tolist())
+        came[key] = came.get(key, 0) + 1
+        out.append((a, b, damped(words, s, a, b, drift), came[key]))
+    return len(words), s, out
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, modulus: int, held: int, most: int) -> DataFrame:
@@ -219,18 +234,18 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, m
 
         def run(rows):
             got = [_analyse(scores, text) for text in rows["text"]]
-            return {"toxic": rows["toxic"], "part": rows["part"], "n": [x[0] for x in got], "s": [x[1][x[1] > 0].tolist() for x in got], "best": [[v for _, _, v in maximal_segments(x[1], drift)] for x in got]}
+            return {"toxic": rows["toxic"], "part": rows["part"], "n": [x[0] for x in got], "s": [x[1][x[1] > 0].tolist() for x in got], "best": [[v for _, _, v, _ in x[2]] for x in got], "times": [[t for *_, t in x[2]] for x in got]}
 
         return run
 
     # bounded by the sample: a few numbers a document
-    rows = map_rows(sample, measure, "toxic int, part int, n long, s array<double>, best array<double>").collect()
-    rows.sort(key=lambda r: (r.n, r.toxic, r.part, r.s, r.best))  # one order, so that sums come out the same
+    rows = map_rows(sample, measure, "toxic int, part int, n long, s array<double>, best array<double>, times array<long>").collect()
+    rows.sort(key=lambda r: (r.n, r.toxic, r.part, r.s, r.best, r.times))  # one order, so that sums come out the same
     model.lam, model.k = _extreme_value([r for r in rows if r.toxic == 0 and r.part == 1] or [r for r in rows if r.toxic == 0], drift)
     held_back = [r for r in rows if r.part == 1]
     if len({r.toxic for r in held_back}) < 2:
         held_back = rows
-    x = np.array([(1.0, *model.inputs(r.n, [(0, 0, s) for s in r.best])) for r in held_back])
+    x = np.array([(1.0, *model.inputs(r.n, list(zip(r.best, r.times)))) for r in held_back])
     model.coef = _logistic(x, np.array([r.toxic for r in held_back], dtype=float))
     return model
 
@@ -299,8 +314,8 @@ def scorer(model: Model):
         def run(texts):
             score = []
             for text in texts:
-                n, s = _analyse(words, text)
-                score.append(model.probability(model.inputs(n, maximal_segments(s, model.drift))))
+                n, _, found = _analyse(words, text)
+                score.append(model.probability(model.inputs(n, [x[2:] for x in found])))
             return {"score": score, "predicted": [int(x >= THRESHOLD) for x in score]}
 
         return run
@@ -333,8 +348,8 @@ def passages(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
         def run(rows):
             out = {"doc_id": [], "start_word": [], "end_word": [], "score": [], "excess": []}
             for doc_id, text in zip(rows["doc_id"], rows["text"]):
-                n, s = _analyse(words, text)
-                for a, b, v in maximal_segments(s, model.drift):
+                n, _, found = _analyse(words, text)
+                for a, b, v, _ in found:
                     if (e := model.excess(v, n)) > least:
                         for k, x in zip(out, (doc_id, a, b, v, e)):
                             out[k].append(x)

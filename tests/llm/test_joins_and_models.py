@@ -195,6 +195,17 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs.where("false"), y).count() == 0
 
 
+def test_a_passage_scores_the_same_after_others(spark):
+    model = toxicity.Model(evidence={"=vile": 4.0, "=zork": 5.0, "=grim": 3.0}, lam=1.0, k=0.1)
+    dense, gap = "vile zork grim vile zork", " abc" * 200 + " "
+    text = gap.join(["vile", "zork", "grim", "vile"] * 4 + [dense, dense, dense])
+    got = toxicity.passages(spark.createDataFrame([(1, text), (2, dense)], "doc_id long, text string"), model, least=-100.0).collect()
+    alone = [x.score for x in got if x.doc_id == 2]
+    assert len(alone) == 1 and [x.score for x in sorted(got, key=lambda x: x.start_word) if x.doc_id == 1][-3:] == alone * 3
+    one, line = model.inputs(100, [(9.0, 1)]), model.inputs(100, [(9.0, 1), (9.0, 2)])
+    assert one[0] == line[0] and one[1] < line[1] < model.inputs(100, [(9.0, 1), (9.0, 1)])[1]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
