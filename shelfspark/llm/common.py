@@ -6,13 +6,13 @@ those six bytes and ``bytes.lower()`` changes exactly A-Z, so both work on UTF-8
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -50,25 +50,6 @@ def map_rows(df: DataFrame, factory, schema: str | T.StructType) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-class WordHashes(dict):
-    """bytes -> 64-bit hash, remembered; forgets all when it holds ``most`` words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = h
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=U64, count=len(words))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64: a bijection that spreads every bit."""
     x = x.astype(U64, copy=True)
@@ -96,11 +77,66 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+SPACES = np.zeros(256, dtype=bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
+#: Longer words are hashed one by one.
+LONG = 64
+#: Bytes of text that are looked at together; a word or a longer text is never cut.
+TOGETHER = 1 << 20
+
+
+def _hash_words(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, start) of each word; eight bytes of all words at a time."""
+    raw = np.frombuffer(buffer + bytes(8), dtype=np.uint8)
+    word = ~SPACES[raw[: len(buffer)]]
+    turn = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).astype(np.int8)))
+    start, size = turn[::2], turn[1::2] - turn[::2]
+    eight = np.lib.stride_tricks.as_strided(raw[:8].view(U64), (len(raw) - 7,), (1,))
+    h = size.astype(U64) * U64(MULT)
+    own = np.flatnonzero(size <= LONG)
+    at = 0
+    while len(own):
+        left = np.minimum(size[own] - at, 8).astype(U64)
+        x = eight[start[own] + at] & (~U64(0) >> (U64(64) - left * U64(8)))
+        x = (h[own] ^ x) * U64(0xFF51AFD7ED558CCD)
+        h[own] = x ^ x >> U64(32)
+        at += 8
+        own = own[size[own] > at]
+    h = mix64(h)
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(buffer[start[i] : start[i] + size[i]])
+    return h, start
+
+
+def word_hashes(texts: Sequence[str | None], lower: bool = False) -> Iterator[np.ndarray]:
+    """The hashes of each text's words, A-Z in lower case if asked; none for null."""
+    held: list[bytes] = []
+
+    def flush():
+        buffer = b" ".join(held)
+        h, start = _hash_words(buffer.lower() if lower else buffer)
+        ends = np.cumsum([len(x) + 1 for x in held])
+        yield from np.split(h, np.searchsorted(start, ends[:-1]))
+        held.clear()
+
+    size = 0
+    for t in texts:
+        raw = (t or "").encode()
+        if held and size + len(raw) > TOGETHER:
+            yield from flush()
+            size = 0
+        held.append(raw)
+        size += len(raw)
+    if held:
+        yield from flush()
+
+
 def shingles(h: np.ndarray, n: int = 5) -> np.ndarray:
     """Sorted distinct shingle hashes; a shorter text is one shingle, no words are none."""
     if len(h) == 0:
         return np.empty(0, dtype=U64)
-    return np.unique(grams(h, min(n, len(h))))
+    g = np.sort(grams(h, min(n, len(h))))
+    return g[np.concatenate(([True], g[1:] != g[:-1]))]
 
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -109,8 +145,20 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{n}`"].alias(n) for n in names])
 
 
-def total_chars(df: DataFrame, col: str = "text") -> int:
-    return df.agg(F.sum(F.octet_length(col))).first()[0] or 0
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """``row``, a struct of all columns of df whatever their names, and further columns beside it; ``select("row.*")`` undoes it."""
+    return df.select(F.struct(*[df[f"`{c}`"].alias(c) for c in df.columns]).alias("row"), *[v.alias(k) for k, v in more.items()])
+
+
+def first_by_hash(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """The first ``most`` rows by a hash of the keys, then by the keys. Of many rows, those with high hashes are left out
+    before the sort, so that about ``most`` rows meet in one task, not so many from each."""
+    h, n = F.xxhash64(*keys), df.count()
+    if n > 2 * most:
+        low = df.where(h < F.lit(int((1.5 * most / n - 0.5) * 2**64)))
+        if low.count() >= most:
+            df = low
+    return df.orderBy(h, *keys).limit(most)
 
 
 def text_udf(factory, schema: str):

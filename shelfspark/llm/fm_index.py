@@ -1,4 +1,4 @@
-"""FM-index over word sequences: a wavelet matrix under the Burrows-Wheeler transform, searched backwards for many patterns at once."""
+"""FM-index over word sequences: a wavelet matrix under the Burrows-Wheeler transform, searched backwards for many patterns at once, and one over the documents of the suffixes."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ ONE = np.uint64(1)
 
 
 class WaveletMatrix:
-    """Ranks of symbols in a sequence: per level one bit a symbol, in 64-bit words with a running count a word."""
+    """Ranks and least symbols in a sequence: per level one bit a symbol, in 64-bit words with a running count a word."""
 
     def __init__(self, s: np.ndarray, top: int):
         self.n, self.levels = len(s), max(1, int(top).bit_length())
@@ -38,25 +38,36 @@ class WaveletMatrix:
             i = np.where(bit, self.zeros[k] + b, i - b)
         return i - start
 
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least symbol in each interval; none may be empty."""
+        out = np.zeros(len(low), dtype=np.int64)
+        for k in range(self.levels):
+            a, b = self.ones(k, low), self.ones(k, high)
+            bit = high - b == low - a  # no zero in the interval
+            low = np.where(bit, self.zeros[k] + a, low - a)
+            high = np.where(bit, self.zeros[k] + b, high - b)
+            out = out << 1 | bit
+        return out
+
 
 class FmIndex:
-    """Of several word sequences; matches never cross their ends.
+    """Of several word sequences, each of one document; matches never cross a sequence's ends.
 
-    Suffixes are sorted by their first ``depth`` words or more, which is all that patterns of up to
-    that length need.
+    It holds the two wavelet matrices, the counts of words before each word, and the words' hashes;
+    neither the text nor suffix positions. Suffixes are sorted by their first ``depth`` words or
+    more, which is all that patterns of up to that length need.
     """
 
-    def __init__(self, sequences: list[np.ndarray], depth: int):
+    def __init__(self, sequences: list[np.ndarray], docs: np.ndarray, depth: int):
+        """docs: a number of each sequence's document, in the documents' order, from 0."""
         lens = np.array([len(x) for x in sequences], dtype=np.int64)
-        self.start = np.concatenate(([0], np.cumsum(lens + 1)))[:-1]
-        vocab, codes = np.unique(np.concatenate(sequences), return_inverse=True)
+        start = np.concatenate(([0], np.cumsum(lens + 1)))[:-1]
+        self.vocab, codes = np.unique(np.concatenate(sequences), return_inverse=True)
         n = int(lens.sum() + len(lens))
         text = np.zeros(n, dtype=np.int64)  # 0 ends a sequence
         inside = np.ones(n, dtype=bool)
-        inside[self.start + lens] = False
+        inside[start + lens] = False
         text[inside] = codes.ravel() + 1
-        self.text, self.depth = text, depth
-        self.sequence = np.repeat(np.arange(len(lens)), lens + 1)
         rank, k = text, 1
         order = np.argsort(rank, kind="stable")
         while k < depth:
@@ -68,27 +79,38 @@ class FmIndex:
             rank = np.empty(n, dtype=np.int64)
             rank[order] = np.cumsum(np.concatenate(([0], s[1:] != s[:-1])))
             k *= 2
-        self.order = order
-        self.bwt = WaveletMatrix(text[order - 1], len(vocab))  # position -1 is the last end
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(vocab) + 1))))
-
-    def matches(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the patterns that begin at these positions of the index's own text: which occur more than once in
-        full, and their suffix intervals. A pattern is dropped as soon as only its own occurrence is left."""
-        alive = np.arange(len(at))
-        low, high = np.zeros(len(at), dtype=np.int64), np.full(len(at), len(self.text), dtype=np.int64)
-        for j in range(length - 1, -1, -1):
-            c = self.text[at[alive] + j]
-            low = self.first[c] + self.bwt.rank(c, low)
-            high = self.first[c] + self.bwt.rank(c, high)
-            keep = high - low > 1
-            alive, low, high = alive[keep], low[keep], high[keep]
-        return alive, low, high
-
-    def least(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Least value, by sequence, within each interval; intervals of patterns of one length are equal or apart."""
-        ends, back = np.unique(np.stack((low, high), axis=1), axis=0, return_inverse=True)
-        if not len(ends):
-            return np.empty(0, dtype=values.dtype)
-        by_row = np.append(values[self.sequence[self.order]], values[:1])
-        return np.minimum.reduceat(by_row, ends.ravel())[::2][back.ravel()]
+        self.n, self.depth = n, depth
+        self.bwt = WaveletMatrix(text[order - 1], len(self.vocab))  # position -1 is the last end
+        self.docs = WaveletMatrix(np.repeat(docs, lens + 1)[order], int(docs.max(initial=0)))
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(self.vocab) + 1))))
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of words in the index; 0, which no word has, for those that it doesn't hold."""
+        at = np.minimum(np.searchsorted(self.vocab, words), len(self.vocab) - 1)
+        return np.where(self.vocab[at] == words, at + 1, 0)
+
+    def earliest(self, codes: np.ndarray, ends: np.ndarray, length: int, within: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of streamed codes at these ends (exclusive), up to ``length``: how many words up to there
+        occur in the index together, and the least document with the match; -1 without one.
+
+        With ``within`` the streamed text is known to be in the index: a match that is left with one suffix only is
+        then that text's own, and need not be followed to its full length."""
+        size, doc = np.zeros(len(ends), dtype=np.int64), np.full(len(ends), -1, dtype=np.int64)
+        alive = np.arange(len(ends))
+        low, high = np.zeros(len(ends), dtype=np.int64), np.full(len(ends), self.n, dtype=np.int64)
+        last_low, last_high = low.copy(), high.copy()
+        for j in range(1, length + 1):
+            c = codes[ends[alive] - j]
+            a = self.first[c] + self.bwt.rank(c, low[alive])
+            b = self.first[c] + self.bwt.rank(c, high[alive])
+            on = (b > a) & (c > 0)
+            alive, a, b = alive[on], a[on], b[on]
+            low[alive], high[alive], size[alive] = a, b, j
+            last_low[alive], last_high[alive] = a, b
+            if within:
+                own = b - a == 1
+                size[alive[own]] = length
+                alive = alive[~own]
+        found = np.flatnonzero(size)
+        doc[found] = self.docs.least(last_low[found], last_high[found])
+        return size, doc

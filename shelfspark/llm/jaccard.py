@@ -7,12 +7,12 @@ n - ceil(t n) + 1 of each, in any one order of all elements.
    documents, then by hash.
 2. Equal sets become one; sets with equal prefixes and size become one group. Only a group's head
    goes on. Prefix elements that no other head has are set aside (``repeats``).
-3. Rounds against one centre per element: first the head with most shared elements, then one by
-   hash. Each round costs one pair a head and element at most, and joins nearly all of a group of
-   copies, so that no round lists all pairs within it.
-4. The rest, exactly: all group pairs on an element whose documents are not one component by
-   then, counted, filtered by how much overlap the shared prefix still allows, expanded to
-   members in different components, and verified.
+3. Each head is held against centres of its elements: per element the head with most shared elements,
+   and one by hash. The best of a head's centres is verified first, which joins nearly all of a group
+   of copies, so that no step lists all pairs within it.
+4. The rest, exactly. Elements that the same heads share become one key; under each key the heads
+   that are not in its main component by then meet all of its heads, filtered by how much overlap
+   the shared prefix still allows. Pairs are expanded to members in different components and verified.
 
 Pairs that could only join what is joined already are left out; no link between components is.
 """
@@ -27,14 +27,17 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, map_rows, own_columns, shingles, stage
+from .common import U64, map_rows, own_columns, packed, shingles, stage, word_hashes
 from .components import components
-from .repeats import SENT, answers, batch_of, batches, distinct_of_documents, send, unpack
+from .repeats import SENT, SENT_COLUMNS, among, answers_with_busy, batch_of, batches, distinct_of_documents, send, unpack_with_spread
 
 SIMILARITY = 75  # percent
 COUNTERS_LOG2, BLOCKS = 24, 16
+#: The counts of tasks are added up in so many parts a block first.
+PARTS = 8
 #: Words of the bit mask of a head's shared elements.
 MASKS = 8
 MASK = [f"m{i}" for i in range(MASKS)]
@@ -51,20 +54,18 @@ def shingle_levels(docs: DataFrame, n: int = 5) -> np.ndarray:
     schema = "block int, part int, width int, counts binary"
 
     def factory():
-        words, counts = WordHashes(), np.zeros(size, dtype=np.uint8)
+        counts = np.zeros(size, dtype=np.uint8)
 
         def run(rows):
-            for t in rows["text"]:
-                if t:
-                    h = shingles(words.of(t.encode().lower().split()), n)
-                    at = (h >> U64(64 - COUNTERS_LOG2)).astype(np.int64)
-                    counts[at] += counts[at] < 255
+            for h in word_hashes(rows["text"], lower=True):
+                at = (shingles(h, n) >> U64(64 - COUNTERS_LOG2)).astype(np.int64)
+                counts[at] += counts[at] < 255
 
         def finish():
             from pyspark import TaskContext
 
             part = TaskContext.get().partitionId()
-            return {"block": list(range(BLOCKS)), "part": [part % 64] * BLOCKS, "width": [1] * BLOCKS, "counts": [zlib.compress(x.tobytes(), 1) for x in np.split(counts, BLOCKS)]}
+            return {"block": list(range(BLOCKS)), "part": [part % PARTS] * BLOCKS, "width": [1] * BLOCKS, "counts": [zlib.compress(x.tobytes(), 1) for x in np.split(counts, BLOCKS)]}
 
         run.finish = finish
         return run
@@ -108,12 +109,9 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, n: int) -> DataFrame:
     """doc_id, n, set_key, prefix_key, prefix of every row."""
 
     def factory():
-        words = WordHashes()
-
         def run(rows):
             out = {"doc_id": rows["doc_id"], "n": [], "set_key": [], "prefix_key": [], "prefix": []}
-            for t in rows["text"]:
-                h = shingles(words.of((t or "").encode().lower().split()), n)
+            for h in (shingles(x, n) for x in word_hashes(rows["text"], lower=True)):
                 key = np.sort(levels[(h >> U64(64 - COUNTERS_LOG2)).astype(np.int64)].astype(U64) << U64(60) | h >> U64(4))
                 p = key[: prefix_length(len(h))] if len(h) else key
                 out["n"].append(len(h))
@@ -127,66 +125,79 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, n: int) -> DataFrame:
     return map_rows(docs, factory, "doc_id long, n long, set_key binary, prefix_key binary, prefix binary")
 
 
-def _shared(heads: DataFrame, spark) -> DataFrame:
-    """gid, n, toks, and masks with a bit for each of toks: the prefix elements of each head that another head has too; heads with none are left out."""
+def _shared(rows: DataFrame, heads: DataFrame, spark) -> DataFrame:
+    """gid, n, pop, twos, more, and masks with a bit for each of both: the prefix elements of each head that just one other head has, and
+    those that others have too, pop of them together; heads with none are left out.
+
+    heads: (gid, prefix_key) of the rows that count."""
     m = batches(spark)
-    heads = heads.withColumn("batch", batch_of(m, "gid"))
+    by = rows.select("doc_id", "n", "prefix_key", "prefix", batch_of(m, "doc_id").alias("batch")).groupBy("batch")
+    heads = heads.select(batch_of(m, "gid").alias("batch"), "gid", "prefix_key")
 
-    def first(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, many = distinct_of_documents([np.unique(np.frombuffer(x, dtype=U64)) for x in rows["prefix"]])
+    def turned(x: bytes) -> np.ndarray:
         # keys are nearly uniform in their low bits only: deal them by a turn
-        turned = (keys << U64(4)) | (keys >> U64(60))
-        order = np.argsort(turned)
-        return send(int(rows["batch"].iloc[0]), turned[order], many[order], m)
-
-    def second(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        again, out = unpack(found), []
-        for gid, n, x in zip(rows["gid"], rows["n"], rows["prefix"]):
-            k = np.frombuffer(x, dtype=U64)
-            k = np.unique((k << U64(4)) | (k >> U64(60)))
-            k = k[np.isin(k, again, assume_unique=True)]
+        k = np.frombuffer(x, dtype=U64)
+        return np.sort((k << U64(4)) | (k >> U64(60)))
+
+    def first(rows: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
+        own = _of_heads(rows, its)
+        if not own:
+            return pd.DataFrame(columns=SENT_COLUMNS)
+        keys, many = distinct_of_documents([turned(x) for _, _, x in own])
+        return send(int(rows["batch"].iloc[0]), keys, many, m)
+
+    def second(rows: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
+        (again, busy), out = unpack_with_spread(its[its["keys"].notna()]), []
+        for gid, n, x in _of_heads(rows, its[its["keys"].isna()]):
+            k = turned(x)
+            k = k[among(k, again)]
             if len(k):
                 bit = np.unique(k & U64(64 * MASKS - 1))
                 mask = np.zeros(MASKS, dtype=U64)
                 np.bitwise_or.at(mask, (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
-                out.append((gid, n, k.view(np.int64).tolist(), *mask.view(np.int64).tolist()))
-        return pd.DataFrame(out, columns=["gid", "n", "toks", *MASK])
-
-    by = heads.groupBy("batch")
-    found = answers(by.applyInPandas(first, SENT))
-    return by.cogroup(found.groupBy("batch")).applyInPandas(second, "gid long, n long, toks array<long>, " + ", ".join(f"{m} long" for m in MASK))
+                more = busy[np.searchsorted(again, k)]
+                out.append((gid, n, len(k), k[~more].view(np.int64).tolist(), k[more].view(np.int64).tolist(), *mask.view(np.int64).tolist()))
+        return pd.DataFrame(out, columns=["gid", "n", "pop", "twos", "more", *MASK])
+
+    found = answers_with_busy(by.cogroup(heads.groupBy("batch")).applyInPandas(first, SENT))
+    sent = found.unionByName(heads, allowMissingColumns=True)
+    return by.cogroup(sent.groupBy("batch")).applyInPandas(second, "gid long, n long, pop long, twos array<long>, more array<long>, " + ", ".join(f"{m} long" for m in MASK))
+
+
+def _of_heads(rows: pd.DataFrame, heads: pd.DataFrame) -> list[tuple[int, int, bytes]]:
+    """(gid, n, prefix) of the rows that are heads, once each."""
+    left = {(int(g), bytes(k)) for g, k in zip(heads["gid"], heads["prefix_key"])}
+    out = []
+    for i, n, k, x in zip(rows["doc_id"], rows["n"], rows["prefix_key"], rows["prefix"]):
+        if (i, k) in left:
+            left.remove((i, k))
+            out.append((int(i), int(n), x))
+    return out
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(doc_id, shingles) of these documents, from their whole texts."""
+    """(doc_id, is_a, is_b, s: shingles) of these documents, from their whole texts."""
     some = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
 
     def factory():
-        words = WordHashes()
-
         def run(rows):
-            return {"doc_id": rows["doc_id"], "s": [shingles(words.of((t or "").encode().lower().split()), n).view(np.int64).tolist() for t in rows["text"]]}
+            return {c: rows[c] for c in ("doc_id", "is_a", "is_b")} | {"s": [shingles(h, n).view(np.int64).tolist() for h in word_hashes(rows["text"], lower=True)]}
 
         return run
 
-    return map_rows(docs.join(some, "doc_id", "left_semi"), factory, "doc_id long, s array<long>")
+    return map_rows(docs.join(some, "doc_id"), factory, "doc_id long, is_a boolean, is_b boolean, s array<long>")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """Those pairs (a, b) of document ids whose sets are similar enough."""
-    ids = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids")
+    """Those pairs (a, b) of document ids whose sets are similar enough. pairs must be a written table. (No distinct here: it
+    would bind the join's rows to their key, so that a centre with very many pairs could not be split.)"""
+    side = lambda x: pairs.select(F.col(x).alias("doc_id"), F.lit(x == "a").alias("is_a"), F.lit(x == "b").alias("is_b"))
+    ids = stage(side("a").union(side("b")).groupBy("doc_id").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b")), "pair-ids")
     sets = stage(_sets(docs, ids, n), "pair-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
+    both = pairs.join(sets.where("is_b").select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.join(sets.where("is_a").select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     o = F.size(F.array_intersect("sa", "sb"))
-    return stage(both.where(o * 100 >= (F.size("sa") + F.size("sb") - o) * SIMILARITY).select("a", "b").distinct(), "links")
-
-
-def _room(pairs: DataFrame, shared: DataFrame) -> DataFrame:
-    """Group pairs (a, b) whose common prefix elements and the rest of their sizes can reach the overlap they need."""
-    x = shared.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
-    y = shared.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
-    both = pairs.join(x, "a").join(y, "b")
-    return both.where(_can_reach(F.size(F.array_intersect("ta", "tb")), F.col("na"), F.col("nb"))).select("a", "b")
+    return stage(both.where(o * 100 >= (F.size("sa") + F.size("sb") - o) * SIMILARITY).select("a", "b"), "links")
 
 
 def _can_reach(common: Column, na: Column, nb: Column) -> Column:
@@ -206,47 +217,58 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     rows = stage(_prefixes(d, shingle_levels(d, n), n), "jaccard-rows")
     used = rows.where("n > 0 and doc_id is not null")
     # equal sets: one document each; equal prefixes and size: one group each
-    sets = used.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("prefix_key").alias("prefix_key"))
-    sets = stage(sets, "jaccard-sets")
-    groups = sets.groupBy("n", "prefix_key").agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
-    members = stage(sets.join(groups, ["n", "prefix_key"]).select("gid", "rep", "n", "members", "prefix_key"), "jaccard-members")
-    heads = used.join(members.where("gid = rep").select(F.col("gid").alias("doc_id"), "prefix_key"), ["doc_id", "prefix_key"], "left_semi")
-    shared = stage(_shared(heads.select(F.col("doc_id").alias("gid"), "n", "prefix"), spark), "jaccard-shared")
-    postings = shared.select(F.explode("toks").alias("token"), "gid", "n", F.size("toks").alias("pop"), *MASK)
-
-    copies = used.join(sets.select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    sets = stage(used.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("prefix_key").alias("prefix_key")), "jaccard-sets")
+    groups = sets.groupBy("n", "prefix_key").agg(F.min("rep").alias("gid"))
+    members = stage(sets.join(groups, ["n", "prefix_key"]).select("gid", "rep", "prefix_key"), "jaccard-members")
+    shared = stage(_shared(used, members.where("gid = rep").select("gid", "prefix_key"), spark), "jaccard-shared")
+    candidates, keys = _candidates(shared)
+
     inside = members.where("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
-    links, found = [], None
-    for weight in (F.col("pop").cast("long"), F.xxhash64("token", "gid")):
-        best = F.max(F.struct(weight.alias("weight"), (-F.col("gid")).alias("gid"), F.col("n"), F.col("pop"))).alias("c")
-        centre = postings.groupBy("token").agg(best, F.count("*").alias("df")).where("df > 1")
-        centre = centre.select("token", (-F.col("c.gid")).alias("a"), F.col("c.n").alias("na"), F.col("c.pop").alias("ta"))
-        fit = _sizes_fit(F.col("n"), F.col("na")) & _can_reach(F.least("pop", "ta"), F.col("n"), F.col("na"))
-        pairs = postings.join(centre, "token").where((F.col("gid") != F.col("a")) & fit).select("a", F.col("gid").alias("b")).distinct()
-        if found is not None:
-            pairs = _apart(pairs, found)
-        pairs = _room(pairs, shared)
-        if found is None:
-            pairs = pairs.unionByName(inside)
-        pairs = stage(pairs, "jaccard-pairs")
-        if not pairs.isEmpty():
-            links.append(_verify(d, pairs, n))
-            found = components(_union(links))
-        elif found is None:
-            found = components(pairs)
-    rest = stage(_rest(postings, members, shared, found), "jaccard-rest")
-    if not rest.isEmpty():
-        links.append(_verify(d, rest, n))
-    final = components(_union([*links, copies]))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(final, rows.doc_id == final.node, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    best = candidates.groupBy("b").agg(F.max(F.struct("common", "a")).alias("x")).select("x.a", "b")
+    tried = stage(best.unionByName(inside), "jaccard-pairs")
+    links = _verify(d, tried, n)
+    found = components(links)
+    rest = stage(_rest(candidates, keys, members, shared, found, tried), "jaccard-rest")
+    edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verify(d, rest, n))
+    # rows that share a doc_id but not a text make one document of their sets
+    owners = used.join(sets.select("set_key", "rep"), "set_key").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a"), F.collect_set("rep").alias("reps")).where("a <> b")
+    owners = owners.select("b", F.explode("reps").alias("a")).where("a <> b").select("a", "b")
+    final = components(edges.unionByName(owners))
+    of_set = stage(sets.join(final, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component")), "jaccard-components")
+    key = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("set_key"))
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), key.alias("own_key"))
+    return out.join(of_set, F.col("own_key") == F.col("set_key"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _fit(na: Column, nb: Column, most: Column) -> Column:
+    return _sizes_fit(na, nb) & _can_reach(most, na, nb)
+
+
+def _candidates(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of heads (a, b, common), a: a centre of elements of b; and the keys (top, next, gid) under which all heads with a common element meet.
+
+    The first centre of an element is the head with most shared elements. Of an element of two heads
+    that is all there is; others have a second centre, by hash, and a key: the two heads with most
+    shared elements, so that elements which the same heads share become one key."""
+    c = F.col
+    of = lambda toks: shared.select(F.explode(toks).alias("token"), "gid", "n", "pop")
+    order = W.partitionBy("token").orderBy(F.desc("pop"), "gid")
+    two = of("twos").select("gid", "n", "pop", *[F.lead(x).over(order).alias(f"{x}b") for x in ("gid", "n", "pop")])
+    two = two.where(_fit(c("n"), c("nb"), F.least("pop", "popb"))).select(c("gid").alias("a"), c("gidb").alias("b"))
+    p = of("more")
+    # tables of one row an element are written, so that the elements of very many heads can be split in the joins below
+    first = p.groupBy("token").agg(F.max(F.struct("pop", (-c("gid")).alias("gid"), "n")).alias("c"))
+    first = stage(first.select("token", (-c("c.gid")).alias("top"), c("c.n").alias("nt"), c("c.pop").alias("pt")), "jaccard-tops")
+    p = stage(p.join(first, "token"), "jaccard-postings")
+    second = p.where("gid <> top").groupBy("token").agg(
+        F.max(F.struct("pop", (-c("gid")).alias("gid"))).alias("c"), F.max(F.struct(F.xxhash64("token", "gid").alias("h"), (-c("gid")).alias("gid"), "n", "pop")).alias("o")
+    )
+    second = stage(second.select("token", (-c("c.gid")).alias("next"), (-c("o.gid")).alias("other"), c("o.n").alias("no"), c("o.pop").alias("po")), "jaccard-seconds")
+    near = p.where((c("gid") != c("top")) & _fit(c("n"), c("nt"), F.least("pop", "pt"))).select(c("top").alias("a"), c("gid").alias("b"))
+    p = p.join(second, "token")
+    others = p.where((c("gid") != c("other")) & _fit(c("n"), c("no"), F.least("pop", "po"))).select(c("other").alias("a"), c("gid").alias("b"))
+    pairs = two.unionByName(near).unionByName(others).groupBy("a", "b").agg(F.count("*").alias("common"))
+    return stage(pairs, "jaccard-candidates"), stage(p.select("top", "next", "gid").distinct(), "jaccard-keys")
 
 
 def _component(df: DataFrame, col: str, found: DataFrame, name: str) -> DataFrame:
@@ -254,40 +276,50 @@ def _component(df: DataFrame, col: str, found: DataFrame, name: str) -> DataFram
     return df.join(c, df[col] == c[f"{name}_node"], "left").withColumn(name, F.coalesce(name, col)).drop(f"{name}_node")
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    return _component(_component(pairs, "a", found, "ca"), "b", found, "cb").where("ca <> cb").select("a", "b")
+def _rest(candidates: DataFrame, keys: DataFrame, members: DataFrame, shared: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
+    """All pairs of members in different components that group pairs on a common element allow, and those inside one group; without those tried before.
 
-
-def _rest(postings: DataFrame, members: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
-    """All pairs of members in different components that group pairs on a common element allow, and those inside one group."""
+    Under each key only the heads outside the component of its first head are held against all of its heads."""
+    c = F.col
     m = stage(_component(members.select("gid", "rep"), "rep", found, "c"), "jaccard-member-components")
-    g = m.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    p = postings.join(g, "gid")
-    apart = p.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
-    p = p.join(apart, "token", "left_semi")
-    x = p.select("token", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pop").alias("ta"), F.col("low").alias("la"), F.col("high").alias("ha"), *[F.col(m).alias(f"x{m}") for m in MASK])
-    y = p.select("token", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pop").alias("tb"), F.col("low").alias("lb"), F.col("high").alias("hb"), *[F.col(m).alias(f"y{m}") for m in MASK])
-    one = (F.col("la") == F.col("ha")) & (F.col("lb") == F.col("hb")) & (F.col("la") == F.col("lb"))
+    g = stage(m.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high")), "jaccard-group-components")
+    heads = keys.join(shared.select("gid", "n", "pop", *MASK), "gid").join(g, "gid")
+    heads = heads.join(g.select(c("gid").alias("top"), c("low").alias("main")), "top")
+    heads = stage(heads.withColumn("stray", (c("low") != c("high")) | (c("low") != c("main"))), "jaccard-heads")
+    x, y = heads.where("stray").alias("x"), heads.alias("y")
+    once = (c("x.gid") < c("y.gid")) | (~c("y.stray") & (c("x.gid") != c("y.gid")))
     # each bit that one mask alone has is an element that is not common, so pairs on one common passage end here
-    alone = lambda p, q: reduce(add, [F.bit_count(F.col(f"{p}{m}").bitwiseAND(F.bitwise_not(f"{q}{m}"))) for m in MASK])
-    most = F.least(F.col("ta") - alone("x", "y"), F.col("tb") - alone("y", "x"))
-    fit = _sizes_fit(F.col("na"), F.col("nb")) & _can_reach(most, F.col("na"), F.col("nb"))
-    near = x.join(y, "token").where((F.col("a") < F.col("b")) & fit & ~one)
-    counted = near.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("na").alias("na"), F.min("nb").alias("nb"))
-    pairs = counted.where(_can_reach(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b")
-    own = g.where("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    left = m.select(F.col("gid").alias("a"), F.col("rep").alias("ra"), F.col("c").alias("ca"))
-    right = m.select(F.col("gid").alias("b"), F.col("rep").alias("rb"), F.col("c").alias("cb"))
-    every = pairs.unionByName(own).join(left, "a").join(right, "b").where("ca <> cb and ra <> rb")
-    return every.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    alone = lambda p, q: reduce(add, [F.bit_count(c(f"{p}.{m}").bitwiseAND(F.bitwise_not(f"{q}.{m}"))) for m in MASK])
+    most = F.least(c("x.pop") - alone("x", "y"), c("y.pop") - alone("y", "x"))
+    on = (c("x.top") == c("y.top")) & (c("x.next") == c("y.next")) & once & ~_one("x.low", "x.high", "y.low", "y.high") & _fit(c("x.n"), c("y.n"), most)
+    pairs = x.join(y, on).select(c("x.gid").alias("a"), c("y.gid").alias("b"))
+    of = lambda col: g.select(c("gid").alias(col), c("low").alias(f"{col}low"), c("high").alias(f"{col}high"))
+    others = candidates.join(of("a"), "a").join(of("b"), "b").where(~_one("alow", "ahigh", "blow", "bhigh")).select("a", "b")
+    own = g.where("low <> high").select(c("gid").alias("a"), c("gid").alias("b"))
+    pairs = pairs.unionByName(others).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(own).distinct()
+    left = m.select(c("gid").alias("a"), c("rep").alias("ra"), c("c").alias("ca"))
+    right = m.select(c("gid").alias("b"), c("rep").alias("rb"), c("c").alias("cb"))
+    every = pairs.join(left, "a").join(right, "b").where("ca <> cb and ra <> rb")
+    every = every.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    return every.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+
+def _one(la: str, ha: str, lb: str, hb: str) -> Column:
+    """Whether two groups lie in one and the same component."""
+    return (F.col(la) == F.col(ha)) & (F.col(lb) == F.col(hb)) & (F.col(la) == F.col(lb))
 
 
 def keep_one(docs: DataFrame, n: int = 5) -> DataFrame:
-    """docs with one document of each component, that of least doc_id; rows that share a doc_id become one; rows with a null doc_id stay."""
+    """docs with one document of each component, that of least doc_id; all columns, whatever their names.
+
+    Rows that share a doc_id become one: that of the least hash of its text, then of all its columns.
+    Rows with a null doc_id stay, and so do null and empty texts."""
     found = near_duplicates(docs, n)
-    gone = stage(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1")
+    gone = stage(found.where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone")
+    c = docs["`doc_id`"].cast("long")
+    left = packed(docs, doc_id=c, lot=F.xxhash64(docs["`text`"])).join(gone, "doc_id", "left_anti")
+    again = stage(own_columns(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "jaccard-again")
     if again.isEmpty():
-        return left
-    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+        return left.select("row.*")
+    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", F.struct("lot", F.xxhash64(F.to_json("row")))).alias("row"))
+    return left.join(again, "doc_id", "left_anti").select("row.*").unionByName(one.select("row.*"))

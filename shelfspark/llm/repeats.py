@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .common import U64
 
 SENT = "bucket int, batch int, keys binary, many binary"
+SENT_COLUMNS = ["bucket", "batch", "keys", "many"]
 ANSWER = "batch int, keys binary"
 
 
@@ -27,11 +28,24 @@ def batch_of(n: int, *cols: str):
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, and how often each comes."""
+    first = np.flatnonzero(np.concatenate(([len(x) > 0], x[1:] != x[:-1])))
+    return x[first], np.diff(np.append(first, len(x)))
+
+
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted array known."""
+    if not len(known):
+        return np.zeros(len(x), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def distinct_of_documents(per_doc: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys of a batch, and which of them more than one document holds; each array is distinct."""
     if not per_doc:
         return np.empty(0, dtype=U64), np.empty(0, dtype=bool)
-    keys, n = np.unique(np.concatenate(per_doc), return_counts=True)
+    keys, n = runs(np.sort(np.concatenate(per_doc)))
     return keys, n > 1
 
 
@@ -40,16 +54,16 @@ def send(batch: int, keys: np.ndarray, many: np.ndarray, buckets: int) -> pd.Dat
     at = np.searchsorted(keys, np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=U64))
     parts = list(zip(range(buckets), np.split(keys, at), np.split(many, at)))
     rows = [(b, batch, k.tobytes(), m.tobytes()) for b, k, m in parts if len(k)]
-    return pd.DataFrame(rows, columns=["bucket", "batch", "keys", "many"])
+    return pd.DataFrame(rows, columns=SENT_COLUMNS)
 
 
 def answer(rows: pd.DataFrame) -> pd.DataFrame:
     keys = [np.frombuffer(k, dtype=U64) for k in rows["keys"]]
     every = np.concatenate(keys)
     many = np.concatenate([np.frombuffer(m, dtype=bool) for m in rows["many"]])
-    uniq, n = np.unique(every, return_counts=True)
-    again = np.union1d(uniq[n > 1], every[many])
-    out = [(b, k[np.isin(k, again, assume_unique=True)].tobytes()) for b, k in zip(rows["batch"], keys)]
+    uniq, n = runs(np.sort(every))
+    again = np.sort(np.concatenate((uniq[n > 1], every[many])))
+    out = [(b, k[among(k, again)].tobytes()) for b, k in zip(rows["batch"], keys)]
     return pd.DataFrame([x for x in out if x[1]], columns=["batch", "keys"])
 
 
@@ -57,6 +71,41 @@ def answers(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(answer, ANSWER)
 
 
+def answers_with_spread(sent: DataFrame, wide: int) -> DataFrame:
+    """answers, and which of their keys ``wide`` batches or more have sent."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        uniq, n = runs(np.sort(np.concatenate([np.frombuffer(k, dtype=U64) for k in rows["keys"]])))
+        uniq = uniq[n >= wide]
+        out = answer(rows)
+        return out.assign(spread=[among(np.frombuffer(k, dtype=U64), uniq).tobytes() for k in out["keys"]])
+
+    return sent.groupBy("bucket").applyInPandas(run, ANSWER + ", spread binary")
+
+
+def answers_with_busy(sent: DataFrame) -> DataFrame:
+    """answers, and which of their keys more than two documents may hold; any other key is held by just two documents, of two batches."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        every = np.concatenate([np.frombuffer(k, dtype=U64) for k in rows["keys"]])
+        many = np.concatenate([np.frombuffer(m, dtype=bool) for m in rows["many"]])
+        uniq, n = runs(np.sort(every))
+        busy = np.sort(np.concatenate((uniq[n > 2], every[many])))
+        out = answer(rows)
+        return out.assign(spread=[among(np.frombuffer(k, dtype=U64), busy).tobytes() for k in out["keys"]])
+
+    return sent.groupBy("bucket").applyInPandas(run, ANSWER + ", spread binary")
+
+
+def unpack_with_spread(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a batch's answers, sorted, and their marks."""
+    if not len(rows):
+        return np.empty(0, dtype=U64), np.empty(0, dtype=bool)
+    keys, spread = (np.concatenate([np.frombuffer(x, dtype=t) for x in rows[c]]) for c, t in (("keys", U64), ("spread", bool)))
+    order = np.argsort(keys)
+    return keys[order], spread[order]
+
+
 def unpack(rows: pd.DataFrame) -> np.ndarray:
     """All keys of a batch's answers, sorted."""
     return np.sort(np.concatenate([np.frombuffer(k, dtype=U64) for k in rows["keys"]])) if len(rows) else np.empty(0, dtype=U64)

@@ -3,13 +3,16 @@
 Every window has an anchor, the 5-gram of least hash inside it, so equal windows have equal anchors.
 
 1. Anchors that occur in one document only are set aside (``repeats``).
-2. Around each other anchor, the words of its windows make a segment; equal segments of a batch
-   are sent once, with the least doc_id, to the shard that the anchor's hash names.
-3. A shard builds an FM-index over its distinct segments and streams their windows through it by
-   backward search; those that match in full at a smaller doc_id come back as bits.
-4. Each batch marks the words under such windows.
-
-A passage that a third of all documents hold is, for each anchor, one segment a batch.
+2. Around each other anchor, the words of its windows make a segment. A batch of documents sends each
+   distinct segment once, with the least doc_id, to the shard that the anchor's hash names; where
+   very many batches hold an anchor, its windows are dealt out further by their second anchor.
+3. A shard builds a compressed FM-index over its distinct segments and streams them through it: the
+   backward search gives, for each end of a window, how many words match and the earliest document
+   that has the match. Intervals of 13 words or more are reported with that document.
+4. Each batch removes the words under reported windows whose earliest document comes before their own.
+
+No word goes that the index has not reported. A passage that a third of all documents hold is, for
+each anchor, one segment a batch.
 """
 
 from __future__ import annotations
@@ -22,62 +25,94 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, grams, own_columns
+from .common import U64, grams, mix64, own_columns, stage, word_hashes
 from .fm_index import FmIndex
-from .repeats import SENT, answers, batch_of, batches, distinct_of_documents, send, unpack
+from .repeats import SENT, answers_with_spread, batch_of, batches, distinct_of_documents, runs, send, unpack_with_spread
 
 WINDOW, GRAM = 13, 5
-LAST = np.iinfo(np.int64).max
+#: An anchor that one in so many batches holds is dealt out by second anchors too.
+SPREAD = 4
+
+
+def _least(g: np.ndarray, m: int, places: int, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the least of g[i], ..., g[i + places - 1] for each i below m, leftmost of equal ones, without place but[i]."""
+    best, at = np.full(m, np.iinfo(np.uint64).max, dtype=U64), np.full(m, -1, dtype=np.int64)
+    for j in range(places):
+        less = (g[j : j + m] < best) | (at < 0)
+        if but is not None:
+            less &= but != j + np.arange(m)
+        best[less] = g[j : j + m][less]
+        at[less] = j
+    return best, at + np.arange(m)
 
 
-def anchors(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window start, number of windows) of each anchor in order of place; leftmost of equal hashes."""
+def anchors(h: np.ndarray, window: int = WINDOW, gram: int = GRAM, second: bool = False) -> tuple[np.ndarray, ...]:
+    """(hash, first window start, number of windows) of each run of windows with one anchor, in order of place; leftmost of
+    equal hashes. With ``second`` runs have one second anchor too, whose hash is the last of the tuple."""
     m = len(h) - window + 1
     if m <= 0:
-        return np.empty(0, dtype=U64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        none = np.empty(0, dtype=U64)
+        return (none, np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)) + (none,) * second
     g = grams(h, gram)
-    best, at = g[:m].copy(), np.zeros(m, dtype=np.int64)
-    for j in range(1, window - gram + 1):
-        less = g[j : j + m] < best
-        best[less] = g[j : j + m][less]
-        at[less] = j
-    at += np.arange(m)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return best[first], first, np.diff(np.append(first, m))
+    best, at = _least(g, m, window - gram + 1)
+    turn = at[1:] != at[:-1]
+    more: tuple = ()
+    if second:
+        best2, at2 = _least(g, m, window - gram + 1, at)
+        turn |= at2[1:] != at2[:-1]
+        more = (best2,)
+    first = np.flatnonzero(np.concatenate(([True], turn)))
+    return (best[first], first, np.diff(np.append(first, m)), *(x[first] for x in more))
 
 
 class Batch:
-    """The documents of a batch, in one order whatever order they come in."""
+    """The documents of a batch, in one order whatever order they come in; those without doc_id last."""
 
     def __init__(self, rows: pd.DataFrame):
-        words = WordHashes()
-        self.docs = []  # (doc_id, or LAST for null; words; hashes; anchors)
-        for doc_id, text in sorted(((LAST if pd.isna(i) else int(i), t or "") for i, t in zip(rows["doc_id"], rows["text"]))):
-            w = text.encode().split()
-            h = words.of(w)
-            self.docs.append((doc_id, text, h, anchors(h)))
-
-    def segments(self, wanted: np.ndarray):
-        """(document's place, anchor, key, start, windows) of each segment of a wanted anchor."""
+        ids = [None if pd.isna(i) else int(i) for i in rows["doc_id"]]
+        docs = sorted(zip(ids, (t or "" for t in rows["text"])), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        # doc_id or None, text, word hashes, anchors
+        self.docs = [(doc_id, text, h, anchors(h)) for (doc_id, text), h in zip(docs, word_hashes([t for _, t in docs]))]
+
+    def segments(self, wanted: np.ndarray, spread: np.ndarray):
+        """(document's place, anchor, second anchor or 0, key, start, windows) of each segment of a wanted anchor."""
+        if len(wanted) == 0:
+            return
         for i, (_, _, h, (hashes, start, n)) in enumerate(self.docs):
-            if len(hashes) == 0 or len(wanted) == 0:
+            if len(hashes) == 0:
                 continue
-            pos = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-            for j in np.flatnonzero(wanted[pos] == hashes).tolist():
-                s, k = int(start[j]), int(n[j])
-                yield i, int(hashes[j]), xxhash.xxh3_64_intdigest(h[s : s + k + WINDOW - 1].tobytes()), s, k
+            at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+            hit = wanted[at] == hashes
+            wide = hit & spread[at]
+            runs = [(hashes[j], 0, start[j], n[j]) for j in np.flatnonzero(hit & ~wide).tolist()]
+            if wide.any():
+                own = set(hashes[wide].tolist())
+                runs += [x for x in zip(*(y.tolist() for y in self._second(h))) if x[0] in own]
+            for anchor, other, s, k in runs:
+                s, k = int(s), int(k)
+                yield i, int(anchor), int(other), xxhash.xxh3_64_intdigest(h[s : s + k + WINDOW - 1].tobytes()), s, k
+
+    @staticmethod
+    def _second(h: np.ndarray):
+        a, start, n, b = anchors(h, second=True)
+        return a, b, start, n
 
 
 def _send_anchors(buckets: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, many = distinct_of_documents([np.unique(d[3][0]) for d in Batch(rows).docs])
+        keys, many = distinct_of_documents([runs(np.sort(d[3][0]))[0] for d in Batch(rows).docs])
         return send(int(rows["batch"].iloc[0]), keys, many, buckets)
 
     return run
 
 
-SEGMENTS = "shard int, batch int, anchor binary, key binary, doc binary, n binary, words binary"
-MARKS = "batch int, anchor binary, key binary, doc binary, bits binary"
+SEGMENTS = "shard int, batch int, key binary, doc binary, has binary, n binary, words binary"
+MARKS = "batch int, shard int, key binary, runs binary, windows binary, doc binary, has binary"
+SEGMENTS_COLUMNS = [c.split()[0] for c in SEGMENTS.split(", ")]
+
+
+def _shard(anchor: int, other: int, shards: int) -> int:
+    return (anchor if other == 0 else int(mix64(np.array([anchor ^ other], dtype=U64))[0])) % shards
 
 
 def _send_segments(shards: int):
@@ -86,84 +121,100 @@ def _send_segments(shards: int):
         if len(rows) and len(found):
             batch = Batch(rows)
             by_shard: dict[int, dict] = {}
-            for i, anchor, key, s, k in batch.segments(unpack(found)):
-                own = by_shard.setdefault(anchor % shards, {})
+            for i, anchor, other, key, s, k in batch.segments(*unpack_with_spread(found)):
+                own = by_shard.setdefault(_shard(anchor, other, shards), {})
                 # documents come in order of doc_id: the first has the least
-                if (anchor, key) not in own:
-                    own[anchor, key] = (batch.docs[i][0], k, batch.docs[i][2][s : s + k + WINDOW - 1].tobytes())
+                if key not in own:
+                    own[key] = (batch.docs[i][0], k, batch.docs[i][2][s : s + k + WINDOW - 1].tobytes())
             b = int(rows["batch"].iloc[0])
             for shard, own in by_shard.items():
-                a, key = (np.array(x, dtype=U64).tobytes() for x in zip(*own))
                 doc, n, words = zip(*own.values())
-                out.append((shard, b, a, key, np.array(doc, dtype=np.int64).tobytes(), np.array(n, dtype=np.uint8).tobytes(), b"".join(words)))
-        return pd.DataFrame(out, columns=["shard", "batch", "anchor", "key", "doc", "n", "words"])
+                has = np.array([x is not None for x in doc], dtype=np.uint8)
+                doc = np.array([x or 0 for x in doc], dtype=np.int64)
+                out.append((shard, b, np.array(list(own), dtype=U64).tobytes(), doc.tobytes(), has.tobytes(), np.array(n, dtype=np.uint8).tobytes(), b"".join(words)))
+        return pd.DataFrame(out, columns=SEGMENTS_COLUMNS)
 
     return run
 
 
 def _search(rows: pd.DataFrame) -> pd.DataFrame:
-    """One shard: distinct segments, their index, and the bits of the windows that match at a smaller doc_id."""
-    a, key = (np.concatenate([np.frombuffer(x, dtype=U64) for x in rows[c]]) for c in ("anchor", "key"))
-    doc = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in rows["doc"]])
-    n = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in rows["n"]]).astype(np.int64)
+    """One shard: distinct segments, their index, and for each streamed window of 13 words the earliest document in which it
+    occurs, as runs of windows with one document. A document without id is later than all others."""
+    cat = lambda c, t: np.concatenate([np.frombuffer(x, dtype=t) for x in rows[c]])
+    key, doc, has, n = cat("key", U64), cat("doc", np.int64), cat("has", np.uint8).astype(bool), cat("n", np.uint8).astype(np.int64)
     words = np.frombuffer(b"".join(rows["words"]), dtype=U64)
     ends = np.cumsum(n + WINDOW - 1)
     # order by segment, then doc_id: the first of each is the one with the least
-    order = np.lexsort((doc, key, a))
-    new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (key[order][1:] != key[order][:-1])))
+    order = np.lexsort((doc, ~has, key))
+    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
     group = np.empty(len(order), dtype=np.int64)
     group[order] = np.cumsum(new) - 1
     heads = order[new]
-    index = FmIndex([words[ends[i] - n[i] - WINDOW + 1 : ends[i]] for i in heads.tolist()], WINDOW)
-    least = doc[heads]
+    ids = np.unique(doc[heads[has[heads]]])
+    number = np.where(has[heads], np.searchsorted(ids, doc[heads]), len(ids))
+    pieces = [words[ends[i] - n[i] - WINDOW + 1 : ends[i]] for i in heads.tolist()]
+    index = FmIndex(pieces, number, WINDOW)
     count = n[heads]
-    offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    owner = np.repeat(np.arange(len(heads)), count)
-    alive, low, high = index.matches(index.start[owner] + offset, WINDOW)
-    hit = alive[index.least(least, low, high) < least[owner[alive]]]
-    bits = np.zeros(len(heads), dtype=np.int64)
-    np.bitwise_or.at(bits, owner[hit], np.int64(1) << offset[hit])
-    full = (np.int64(1) << n) - 1
-    mine = np.where(doc > least[group], full, bits[group])  # a later document with the whole segment repeats all of it
+    base = np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1)
+    last = np.cumsum(count)
+    offset = np.arange(int(last[-1])) - np.repeat(last - count, count)
+    size, found = index.earliest(index.codes(np.concatenate(pieces)), np.repeat(base, count) + offset + WINDOW, WINDOW, within=True)
+    found[size < WINDOW] = len(ids)  # below the threshold: in no earlier document
+    # runs of windows of one segment with one earliest document
+    turn = np.flatnonzero(np.concatenate(([True], (found[1:] != found[:-1]) | (offset[1:] == 0))))
+    length = np.diff(np.append(turn, len(found))).astype(np.uint8)
+    known = found[turn] < len(ids)
+    first = np.where(known, ids[np.minimum(found[turn], len(ids) - 1)] if len(ids) else 0, 0).astype(np.int64)
+    runs_to = np.searchsorted(turn, last)
+    runs_from = np.concatenate(([0], runs_to[:-1]))
     out, i = [], 0
-    for b, x in zip(rows["batch"], rows["doc"]):
-        k = slice(i, i + len(x) // 8)
-        i = k.stop
-        out.append((b, a[k].tobytes(), key[k].tobytes(), doc[k].tobytes(), mine[k].astype(np.uint16).tobytes()))
-    return pd.DataFrame(out, columns=["batch", "anchor", "key", "doc", "bits"])
-
-
-def _mark(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-    batch = Batch(rows)
-    removed: dict[int, list[tuple[int, int]]] = {}
-    if len(found):
-        cat = lambda c, t: np.concatenate([np.frombuffer(x, dtype=t) for x in found[c]])
-        anchor, bits = cat("anchor", U64), cat("bits", np.uint16)
-        known = {(x, y): (d, m) for x, y, d, m in zip(anchor.tolist(), cat("key", U64).tolist(), cat("doc", np.int64).tolist(), bits.tolist())}
-        for i, x, y, s, k in batch.segments(np.unique(anchor)):
-            first, m = known.get((x, y), (LAST, 0))
-            if batch.docs[i][0] > first:
-                m = (1 << k) - 1
-            if m:
-                removed.setdefault(i, []).append((s, m))
-    out: dict[str, list] = {c: [] for c in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept")}
-    for i, (doc_id, text, h, _) in enumerate(batch.docs):
-        words = text.encode().split()
-        gone = 0
-        if i in removed:
-            cover = np.zeros(len(words) + 1, dtype=np.int64)
-            for s, m in removed[i]:
-                for j in range(m.bit_length()):
-                    if m >> j & 1:
-                        cover[s + j] += 1
-                        cover[s + j + WINDOW] -= 1
-            keep = np.cumsum(cover[:-1]) == 0
-            gone = int((~keep).sum())
-            words = [words[j] for j in np.flatnonzero(keep).tolist()]
-        kept = b" ".join(words)
-        for c, v in zip(out, (None if doc_id == LAST else doc_id, len(h), gone, hashlib.sha256(kept).hexdigest(), kept.decode())):
-            out[c].append(v)
-    return pd.DataFrame(out).astype({"doc_id": "Int64"})
+    for b, shard, x in zip(rows["batch"], rows["shard"], rows["key"]):
+        own = group[i : i + len(x) // 8]
+        i += len(own)
+        k = runs_to[own] - runs_from[own]
+        at = np.repeat(runs_from[own] - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(int(k.sum()))
+        out.append((b, shard, bytes(x), k.astype(np.uint8).tobytes(), length[at].tobytes(), first[at].tobytes(), known[at].astype(np.uint8).tobytes()))
+    return pd.DataFrame(out, columns=["batch", "shard", "key", "runs", "windows", "doc", "has"])
+
+
+def _reported(found: pd.DataFrame) -> dict[tuple[int, int], list[tuple[int, int | None]]]:
+    """(shard, key) -> runs of windows: (number, earliest document or None)."""
+    out = {}
+    for shard, key, runs, windows, doc, has in zip(*(found[c] for c in ("shard", "key", "runs", "windows", "doc", "has"))):
+        run = list(zip(windows, [d if h else None for d, h in zip(np.frombuffer(doc, dtype=np.int64).tolist(), has)]))
+        i = 0
+        for x, k in zip(np.frombuffer(key, dtype=U64).tolist(), runs):
+            out[shard, x] = run[i : i + k]
+            i += k
+    return out
+
+
+def _close(shards: int):
+    def run(rows: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        """sent: the batch's repeated anchors and what shards have reported."""
+        batch = Batch(rows)
+        cover: dict[int, np.ndarray] = {}
+        reported = _reported(sent[sent["keys"].isna()])
+        for i, anchor, other, key, s, k in batch.segments(*unpack_with_spread(sent[sent["keys"].notna()])) if reported else ():
+            own = batch.docs[i][0]
+            for windows, first in reported.get((_shard(anchor, other, shards), key), ()):
+                if first is not None and (own is None or first < own):
+                    c = cover.setdefault(i, np.zeros(len(batch.docs[i][2]) + 1, dtype=np.int64))
+                    c[s] += 1
+                    c[s + windows + WINDOW - 1] -= 1
+                s += windows
+        out: dict[str, list] = {c: [] for c in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept")}
+        for i, (doc_id, text, h, _) in enumerate(batch.docs):
+            words = text.encode().split()
+            if i in cover:
+                keep = np.cumsum(cover[i][:-1]) == 0
+                words = [words[j] for j in np.flatnonzero(keep).tolist()]
+            kept = b" ".join(words)
+            for c, v in zip(out, (doc_id, len(h), len(h) - len(words), hashlib.sha256(kept).hexdigest(), kept.decode())):
+                out[c].append(v)
+        return pd.DataFrame(out | {"doc_id": pd.array(out["doc_id"], dtype="Int64")})
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, full: bool = False) -> DataFrame:
@@ -178,13 +229,15 @@ def remove_repeats(docs: DataFrame, full: bool = False) -> DataFrame:
     d = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     d = d.withColumn("batch", batch_of(n, "doc_id", "text"))
     rows = d.groupBy("batch")
-    found = answers(rows.applyInPandas(_send_anchors(n), SENT))
+    found = stage(answers_with_spread(rows.applyInPandas(_send_anchors(n), SENT), max(2, n // SPREAD)), "substring-anchors")
     segments = rows.cogroup(found.groupBy("batch")).applyInPandas(_send_segments(n), SEGMENTS)
     marks = segments.groupBy("shard").applyInPandas(_search, MARKS)
+    close = _close(n)
 
-    def close(own: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
-        out = _mark(own, its)
+    def last(own: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        out = close(own, sent)
         return out if full else out.drop(columns="kept")
 
+    sent = found.unionByName(marks, allowMissingColumns=True)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if full else "")
-    return rows.cogroup(marks.groupBy("batch")).applyInPandas(close, schema)
+    return rows.cogroup(sent.groupBy("batch")).applyInPandas(last, schema)

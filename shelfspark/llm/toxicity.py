@@ -23,13 +23,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, map_rows, mix64, own_columns, shingles, stage, text_udf
+from .common import U64, first_by_hash, map_rows, mix64, own_columns, packed, shingles, stage, text_udf, word_hashes
 
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PREFIXES = range(3, 9)
-#: Documented bounds of the fit: labelled documents looked at, features kept.
+#: Documented bound of the fit: labelled documents looked at.
 MOST_LABELLED = 40_000
-MOST_FEATURES = 100_000
+#: A feature seen in fewer documents of the sample says no more than its stem.
+LEAST_SEEN = 2
 #: Weight of the prior, in documents; a feature with evidence has at least LEAST_DOCS toxic documents; evidence below LEAST is none.
 PRIOR = 5.0
 LEAST_DOCS = 4
@@ -157,7 +158,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, modulus: int, held: int, most:
     doc_id with several labels counts as toxic if any says so."""
     y = own_columns(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null")
     y = y.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus != held).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    y = first_by_hash(y, most, "doc_id")
     y = stage(y.withColumn("part", (F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)) == 0).cast("int")), "toxic-labels")
     # at most MOST_LABELLED rows of 16 bytes
     return own_columns(docs, "doc_id", "text").where("text is not null").join(F.broadcast(y), "doc_id")
@@ -168,12 +169,9 @@ def _once(rows: DataFrame) -> DataFrame:
     shingles. Otherwise every word of a text with copies would look like evidence."""
 
     def factory():
-        words = WordHashes()
-
         def run(rows):
             out = {"toxic": rows["toxic"], "text": rows["text"], "a": [], "b": []}
-            for text in rows["text"]:
-                h = shingles(words.of(text.encode().lower().split()))
+            for h in map(shingles, word_hashes(rows["text"], lower=True)):
                 out["a"].append(int(h[0] >> U64(1)) if len(h) else -1)
                 out["b"].append(int(mix64(h ^ U64(0x5851F42D4C957F2D)).min() >> U64(1)) if len(h) else -1)
             return out
@@ -185,7 +183,7 @@ def _once(rows: DataFrame) -> DataFrame:
     return stage(one.groupBy("toxic", "b").agg(F.min("text").alias("text")), "toxic-fit")
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, most_labelled: int = MOST_LABELLED, most_features: int = MOST_FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, most_labelled: int = MOST_LABELLED) -> Model:
     """Documents whose crc32(doc_id as text) mod ``modulus`` is ``held`` are not looked at."""
     sample = stage(_labelled(docs, labels, modulus, held, most_labelled).select("toxic", "part", "text"), "toxic-sample")
     model = Model()
@@ -214,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, m
 
     counts = stage(map_rows(fit.select("toxic", "text"), factory, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")), "toxic-counts")
     base = n[1] / (n[0] + n[1])
-    heads = counts.where((F.col("t") >= LEAST_DOCS) & (F.col("t") >= 2 * base * (F.col("t") + F.col("c")))).orderBy(F.desc("t"), "feature").limit(most_features)
+    heads = counts.where((F.col("t") >= LEAST_DOCS) & (F.col("t") >= 2 * base * (F.col("t") + F.col("c"))))
     heads = {r.feature for r in heads.select("feature").collect()}
 
     def under():
@@ -224,32 +222,53 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, m
 
         return run
 
-    known = map_rows(counts.where("t + c > 1"), under, "feature string, t long, c long").orderBy(F.desc(F.col("t") + F.col("c")), "feature").limit(most_features).collect()
+    known = map_rows(counts.where(F.col("t") + F.col("c") >= LEAST_SEEN), under, "feature string, t long, c long").collect()
     model.evidence = _evidence({r.feature: (r.t, r.c) for r in known}, base)
 
-    drift = model.drift
+    parts = {(r.toxic, r.part) for r in sample.select("toxic", "part").distinct().collect()}
+    clean = sample.where("toxic = 0 and part = 1" if (0, 1) in parts else "toxic = 0")
+    model.lam, model.k = _extreme_value(*_clean_scores(clean, model), model.drift)
+    rows = sample.where("part = 1") if {(0, 1), (1, 1)} <= parts else sample
 
     def measure():
         scores = WordScores(model)
 
         def run(rows):
-            got = [_analyse(scores, text) for text in rows["text"]]
-            return {"toxic": rows["toxic"], "part": rows["part"], "n": [x[0] for x in got], "s": [x[1][x[1] > 0].tolist() for x in got], "best": [[v for _, _, v, _ in x[2]] for x in got], "times": [[t for *_, t in x[2]] for x in got]}
+            got = [(n, model.inputs(n, [x[2:] for x in found])) for n, _, found in (_analyse(scores, text) for text in rows["text"])]
+            return {"toxic": rows["toxic"], "n": [n for n, _ in got], "best": [x[0] for _, x in got], "every": [x[1] for _, x in got]}
 
         return run
 
-    # bounded by the sample: a few numbers a document
-    rows = map_rows(sample, measure, "toxic int, part int, n long, s array<double>, best array<double>, times array<long>").collect()
-    rows.sort(key=lambda r: (r.n, r.toxic, r.part, r.s, r.best, r.times))  # one order, so that sums come out the same
-    model.lam, model.k = _extreme_value([r for r in rows if r.toxic == 0 and r.part == 1] or [r for r in rows if r.toxic == 0], drift)
-    held_back = [r for r in rows if r.part == 1]
-    if len({r.toxic for r in held_back}) < 2:
-        held_back = rows
-    x = np.array([(1.0, *model.inputs(r.n, list(zip(r.best, r.times)))) for r in held_back])
-    model.coef = _logistic(x, np.array([r.toxic for r in held_back], dtype=float))
+    # bounded by the sample: four numbers a document; in one order, so that sums come out the same
+    found = sorted(tuple(r) for r in map_rows(rows.select("toxic", "text"), measure, "toxic int, n long, best double, every double").collect())
+    model.coef = _logistic(np.array([(1.0, r[2], r[3]) for r in found]), np.array([r[0] for r in found], dtype=float))
     return model
 
 
+def _clean_scores(clean: DataFrame, model: Model) -> tuple[list[tuple[float, int]], list[tuple[int, float]]]:
+    """How often each positive word score comes in clean texts (a row a score that the evidence has), and (words, best segment) of each text, 0 for none."""
+
+    def factory():
+        scores, times = WordScores(model), {}
+
+        def run(rows):
+            out = {"words": [], "score": []}
+            for text in rows["text"]:
+                n, s, found = _analyse(scores, text)
+                for x, k in zip(*np.unique(s[s > 0], return_counts=True)):
+                    times[float(x)] = times.get(float(x), 0) + int(k)
+                out["words"].append(n)
+                out["score"].append(max((x[2] for x in found), default=0.0))
+            return out | {"times": [None] * len(out["words"])}
+
+        run.finish = lambda: {"words": [None] * len(times), "score": list(times), "times": list(times.values())}
+        return run
+
+    rows = stage(map_rows(clean.select("text"), factory, "words long, score double, times long"), "toxic-scores")
+    words = sorted((r.score, r.n) for r in rows.where("times is not null").groupBy("score").agg(F.sum("times").alias("n")).collect())
+    return words, sorted((r.words, r.score) for r in rows.where("times is null").select("words", "score").collect())
+
+
 def _evidence(counts: dict[str, tuple[int, int]], base: float) -> dict[str, float]:
     """Log-odds of each feature's toxic rate over those of all documents. A feature seen in just the documents of its stem has its stem's."""
     rate: dict[str, float] = {}
@@ -262,13 +281,13 @@ def _evidence(counts: dict[str, tuple[int, int]], base: float) -> dict[str, floa
     return {f: odds(x) - odds(base) for f, x in rate.items()}
 
 
-def _extreme_value(clean: list, drift: float) -> tuple[float, float]:
+def _extreme_value(words: list[tuple[float, int]], texts: list[tuple[int, float]], drift: float) -> tuple[float, float]:
     """lambda with sum p(s) exp(lambda s) = 1 over clean words (one word of the mean evidence is added, so that it is finite), and K from the tail."""
-    positive = np.concatenate([np.array(r.s) for r in clean] or [np.empty(0)])
-    n = sum(r.n for r in clean) + 1
-    positive = np.append(positive, positive.mean() if len(positive) else 1.0)
-    rest = max(0, n - len(positive)) / n
-    f = lambda x: rest * math.exp(-x * drift) + float(np.exp(x * positive).sum()) / n - 1
+    positive, times = np.array([s for s, _ in words]), np.array([t for _, t in words], dtype=float)
+    n = sum(t for t, _ in texts) + 1
+    positive, times = np.append(positive, (positive * times).sum() / times.sum() if len(words) else 1.0), np.append(times, 1.0)
+    rest = max(0.0, n - times.sum()) / n
+    f = lambda x: rest * math.exp(-x * drift) + float((times * np.exp(x * positive)).sum()) / n - 1
     low, high = 1e-6, 20.0 / float(positive.max())
     if f(low) >= 0:
         return 0.05, 1.0
@@ -277,11 +296,11 @@ def _extreme_value(clean: list, drift: float) -> tuple[float, float]:
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if f(mid) < 0 else (low, mid)
-    x = sorted(low * max(r.best) - math.log(max(r.n, 2)) for r in clean if r.best)
+    x = sorted(low * best - math.log(max(t, 2)) for t, best in texts if best > 0)
     if not x:
         return low, 0.1
     at = x[int(0.9 * (len(x) - 1))]
-    tail = sum(v >= at for v in x) / len(clean)
+    tail = sum(v >= at for v in x) / len(texts)
     return low, float(min(10.0, max(1e-3, tail * math.exp(at))))
 
 
@@ -362,7 +381,6 @@ def passages(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows whose text is predicted toxic; all its columns."""
-    make = scorer(train(docs, labels))
-    found = text_udf(make, "score double, predicted int")
-    return docs.withColumn("__toxic", found("text")).where("__toxic.predicted = 0").drop("__toxic")
+    """docs without the rows whose text is predicted toxic; all its columns, whatever their names. Null and empty texts stay."""
+    found = text_udf(scorer(train(docs, labels)), "score double, predicted int")
+    return packed(docs, found=found(docs["`text`"])).where("found.predicted = 0").select("row.*")
