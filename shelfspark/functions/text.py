@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 # The white space that the catalog's client counts as such (regex class bodies).
 SPACE = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
 NO_AUTHOR, NO_GENRE, NO_ANNOTATION, AND_OTHERS = "Автор не указан", "Жанр не указан", "Аннотация отсутствует", "и другие"
-# Language codes, aliases and their Russian names; anything else is compared as its own code.
-LANGUAGES = {
-    "ru": "русский", "rus": "русский", "en": "английский", "eng": "английский", "de": "немецкий", "deu": "немецкий", "ger": "немецкий",
-    "fr": "французский", "fra": "французский", "fre": "французский", "es": "испанский", "spa": "испанский", "it": "итальянский", "ita": "итальянский",
-    "uk": "украинский", "ukr": "украинский", "be": "белорусский", "bel": "белорусский", "pl": "польский", "pol": "польский",
+# The most frequent languages, answered without the locale data; all others are looked up there.
+LANGUAGES = {"ru": "русский", "en": "английский", "de": "немецкий", "fr": "французский", "es": "испанский", "it": "итальянский", "uk": "украинский", "be": "белорусский", "pl": "польский"}
+LANGUAGE_ALIASES = {
+    "rus": "ru", "eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "ukr": "uk", "bel": "be", "pol": "pl",
 }
+#: A language tag: a subtag of 2, 3 or 5 to 8 letters, then others.
+TAG = "^([a-z]{2,3}|[a-z]{5,8})(-[a-z0-9]{1,8})*$"
+ICU = "com.ibm.icu.util.ULocale"
 
 
 def literal_map(d: dict) -> Column:
@@ -36,6 +39,12 @@ def normalize(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.lower(trim(c)), f"[{SPACE}]+", " "), F.lit(""))
 
 
+def normalized(s: str) -> str:
+    """F-01 for a text of the driver, as a condition of a search."""
+    white = re.compile(f"[{SPACE}]+")
+    return white.sub(" ", white.sub(" ", s).strip(" ").lower())
+
+
 def clean(c: Column) -> Column:
     """F-03."""
     return F.coalesce(trim(F.regexp_replace(c, f"[{SPACE}]+", " ")), F.lit(""))
@@ -46,15 +55,31 @@ def unique_texts(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), clean), lambda x: x != ""))
 
 
+def language_tag(c: Column) -> Column:
+    return F.replace(normalize(c), F.lit("_"), F.lit("-"))
+
+
 def language_base(c: Column) -> Column:
-    return F.substring_index(F.replace(normalize(c), F.lit("_"), F.lit("-")), "-", 1)
+    """The canonical code of a tag's language, as the locale data has it; a text that is no tag stays as it is."""
+    tag = language_tag(c)
+    first = F.substring_index(tag, "-", 1)
+    short = F.coalesce(F.try_element_at(literal_map(LANGUAGE_ALIASES), first), first)
+    known = F.when(F.map_contains_key(literal_map(LANGUAGES), short), short)
+    canonical = F.reflect(F.lit(ICU), F.lit("getLanguage"), F.reflect(F.lit(ICU), F.lit("canonicalize"), tag))
+    return F.coalesce(known, F.when(tag.rlike(TAG), canonical), tag)
+
+
+def language_name(base: Column) -> Column:
+    """The Russian name of a canonical code; null if there is none."""
+    name = F.reflect(F.lit(ICU), F.lit("getDisplayLanguage"), base, F.lit("ru"))
+    looked_up = F.when(base.rlike("^[a-z]{2,8}$"), name)
+    return F.coalesce(F.try_element_at(literal_map(LANGUAGES), base), F.when((looked_up != base) & (looked_up != ""), looked_up))
 
 
 def language_key(c: Column) -> Column:
-    """F-02: languages with one name are equal; unknown codes are equal to themselves; blank is ''."""
-    whole = F.replace(normalize(c), F.lit("_"), F.lit("-"))
-    name = F.try_element_at(literal_map(LANGUAGES), language_base(c))
-    return F.when(whole == "", "").otherwise(F.coalesce(F.concat(F.lit("language:"), name), F.concat(F.lit("code:"), whole)))
+    """F-02: tags of one language are equal, whatever their region or script; texts without a language are equal to themselves; blank is ''."""
+    tag, name = language_tag(c), language_name(language_base(c))
+    return F.when(tag == "", "").when(name.isNotNull(), F.concat(F.lit("language:"), normalize(name))).otherwise(F.concat(F.lit("code:"), tag))
 
 
 def number(c: Column) -> Column:
@@ -148,9 +173,9 @@ def duration(ms: Column) -> Column:
     return F.when(s >= 60, F.concat((s / 60).cast("long").cast("string"), F.lit(" мин "), (s % 60).cast("string"), F.lit(" сек"))).otherwise(F.concat(s.cast("string"), F.lit(" сек")))
 
 
-def date_label(ts: Column) -> Column:
-    """F-17."""
-    return F.coalesce(F.date_format(ts, "dd.MM.yyyy, HH:mm"), F.lit("—"))
+def date_label(ts: Column, seconds: bool = False) -> Column:
+    """F-17; with seconds where administrators see it."""
+    return F.coalesce(F.date_format(ts, "dd.MM.yyyy, HH:mm:ss" if seconds else "dd.MM.yyyy, HH:mm"), F.lit("—"))
 
 
 def signature(*cols: Column) -> Column:
@@ -252,10 +277,11 @@ def title_fallback(file_name: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """O-01: sorts without regard to case, and digit runs by value."""
-    parts = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(\d+|\D+)"), 1)
-    pad = lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, r"^0+(?=\d)", ""), 20, "0")).otherwise(x)
-    return F.array_join(F.transform(parts, pad), "")
+    """O-01: sorts in Russian order without regard to case and accents, and digit runs of any length by value: the number of digits comes before them."""
+    parts = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    digits = lambda x: F.regexp_replace(x, r"^0+(?=[0-9])", "")
+    pad = lambda x: F.when(x.rlike(r"^[0-9]"), F.concat(F.lpad(F.length(digits(x)).cast("string"), 10, "0"), digits(x))).otherwise(x)
+    return russian(F.array_join(F.transform(parts, pad), ""))
 
 
 def russian(c: Column) -> Column:
@@ -312,7 +338,8 @@ def uid_ok(c: Column) -> Column:
 
 
 def mapping_code_ok(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"^[a-z0-9_]+$") & (F.length(c) <= 64), F.lit(False))
+    """FI-24: any text of 1 to 128 characters without control characters."""
+    return F.coalesce((F.length(c) > 0) & (F.length(c) <= 128) & ~c.rlike(r"[\x00-\x1f\x7f]"), F.lit(False))
 
 
 def badge(n: Column) -> Column:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .catalog import placed
 from .refresh import latest
 
 PERMISSIONS = ["viewUsers", "viewInvitations", "viewShares", "manageAdmins", "banUsers", "viewEvents"]
@@ -159,9 +159,9 @@ def project(rows: DataFrame, columns: list[str], private: list[str], may_see: bo
 
 
 def owner_colours(rows: DataFrame) -> DataFrame:
-    """W-05: owners alternate by when they first appear. Ranks are over one row an owner."""
-    first = rows.groupBy("owner_uid").agg(F.min("pos").alias("__first"))
-    rank = first.withColumn("colour", (F.row_number().over(W.orderBy("__first", "owner_uid")) - 1) % 2)
+    """W-05: owners alternate by when they first appear."""
+    first = rows.groupBy("owner_uid").agg(F.min("pos").alias("first_pos"))
+    rank = placed(first, [F.col("first_pos"), F.col("owner_uid")]).withColumn("colour", (F.col("place") - 1) % 2)
     return rows.join(rank.select("owner_uid", "colour"), "owner_uid")
 
 

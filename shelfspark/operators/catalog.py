@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.staging import stage
 
 
 def _texts(c: Column) -> Column:
@@ -22,7 +23,7 @@ def _some_has(fields: Column, part: str) -> Column:
 
 def search(books: DataFrame, query: str = "", title: str = "", author: str = "", series: str = "", genre: str = "", language: str = "") -> DataFrame:
     """FI-01, FI-02: every word of query in some field, and all given conditions; blank ones hold. Input order is kept by pos."""
-    one = lambda s: " ".join(s.lower().split())
+    one = X.normalized
     fields = F.concat(F.array(*[X.normalize(F.col(c)) for c in ("title", "series", "annotation", "file_name")]), _texts(F.col("authors")))
     out = books
     for w in filter(None, one(query).split(" ")):
@@ -57,6 +58,20 @@ def catalog_order() -> list[Column]:
     return [X.natural_key(F.col("file_name")).asc(), F.col("pos").asc()]
 
 
+def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """df with each row's place in one order over all rows; the order must be total.
+
+    Rows are dealt by ranges of the order; a range is numbered in its own task, after the rows of the
+    ranges before it, of which only the numbers meet in one place."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stage(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "placed")
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    rows = dealt.join(F.broadcast(before), "__part")
+    place = F.row_number().over(W.partitionBy("__part").orderBy(*order)) + F.col("__before")
+    return rows.withColumn(name, place.cast("long")).drop("__part", "__before")
+
+
 def series_order() -> list[Column]:
     """O-03."""
     return [X.number(F.col("series_number")).asc_nulls_last(), *catalog_order()]
@@ -71,7 +86,7 @@ def genre_facets(books: DataFrame, names: dict[str, str] | None = None) -> DataF
 
 def language_facets(books: DataFrame) -> DataFrame:
     """A-07: one row for each language key, with its least value and name."""
-    whole = F.replace(X.normalize(F.col("language")), F.lit("_"), F.lit("-"))
+    whole = X.language_tag(F.col("language"))
     key = X.language_key(F.col("language"))
     known = F.startswith(key, F.lit("language:"))
     rows = books.select(key.alias("key"), F.when(known, X.language_base(F.col("language"))).otherwise(whole).alias("value"))
@@ -81,7 +96,7 @@ def language_facets(books: DataFrame) -> DataFrame:
 
 def facet_order() -> list[Column]:
     """O-04."""
-    return [X.russian(F.col("label")).asc(), F.col("value").asc()]
+    return [F.collate(F.col("label"), "ru").asc(), F.col("value").asc()]
 
 
 def card_view(books: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -141,6 +156,18 @@ def decode_cursor(cursor: str, collection: str, n: int) -> tuple:
     return tuple(got["k"])
 
 
+def listed(df: DataFrame, **conditions) -> DataFrame:
+    """S-01, S-04, S-15 to S-18, S-30, FI-18: rows that equal every given value, or one of a list of them; all conditions reach the scan."""
+    for c, v in conditions.items():
+        df = df.where(F.col(c).isin(*v) if isinstance(v, (list, tuple)) else F.col(c) == v)
+    return df
+
+
+def first_page(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """S-15, S-16: the first n rows of an order, by a top-n in each task."""
+    return df.orderBy(*order).limit(n)
+
+
 def prefix_search(df: DataFrame, col: str, prefix: str) -> DataFrame:
     """FI-17: a range predicate, which reaches the scan; case matters; 1 to 80 characters."""
     p = prefix.strip()

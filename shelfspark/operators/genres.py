@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as X
 from .refresh import latest
@@ -12,27 +16,41 @@ LAYERS = ["override", "source", "seed", "existing"]
 
 
 def read_mapping(spark: SparkSession, path: str, layer: str, source_rank: int = 0) -> DataFrame:
-    """S-20: a JSON object of code to label; blanks and codes that can't be go."""
+    """S-20: a JSON object of code to label; blank codes and labels go, a code that can't be is an error."""
     m = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("code", "label"))
     return clean_mapping(m, layer, source_rank)
 
 
+@F.pandas_udf(StringType())
+def unescape(s: pd.Series) -> pd.Series:
+    """F-13: entities to characters. Dictionaries are small; Spark has no function that knows all entities."""
+    return s.map(html.unescape, na_action="ignore")
+
+
 def clean_mapping(m: DataFrame, layer: str, source_rank: int = 0) -> DataFrame:
-    rows = m.select(F.lit(layer).alias("layer"), F.lit(source_rank).alias("source_rank"), X.trim(F.col("code")).alias("code"), X.label(F.col("label")).alias("label"))
-    return rows.where(X.mapping_code_ok(F.col("code")) & (F.col("label") != ""))
+    rows = m.select(F.lit(layer).alias("layer"), F.lit(source_rank).alias("source_rank"), X.trim(F.col("code")).alias("code"), X.label(unescape("label")).alias("label"))
+    rows = rows.where("code <> '' and label <> ''")
+    bad = F.raise_error(F.concat(F.lit("invalid genre code: "), F.col("code"))).cast("string")
+    return rows.withColumn("code", F.when(X.mapping_code_ok(F.col("code")), F.col("code")).otherwise(bad))
 
 
 def xsd_codes(texts: DataFrame) -> DataFrame:
-    """S-21: enumeration values of XML schemas in column value."""
-    return texts.select(F.explode(F.expr("xpath(value, '//*[local-name()=\"enumeration\"]/@value')")).alias("code")).distinct()
+    """S-21: enumeration values of XML schemas in column value, trimmed; it is an error if there are none."""
+    values = texts.select(F.explode(F.expr("xpath(value, '//*[local-name()=\"enumeration\"]/@value')")).alias("code"))
+    found = values.select(X.trim(F.col("code")).alias("code")).where("code <> ''").distinct()
+    if found.isEmpty():
+        raise ValueError("the schema lists no genre codes")
+    return found
 
 
 def page_mapping(lines: DataFrame) -> DataFrame:
-    """S-22: codes and labels of text lines in three layouts: code and label apart by a dash, label (code), code and label apart by tabs; the first layout and line of a code wins."""
-    shapes = [(1, r"^([a-z0-9_]+)\s+[-–—]\s+(.+)$", 1, 2), (2, r"^(.+?)\s*\(([a-z0-9_]+)\)$", 2, 1), (3, r"^([a-z0-9_]+)\t+(.+)$", 1, 2)]
+    """S-22: codes and labels of text lines in three layouts: ``code - label``, ``label (code)`` with or without a number after a dash, and
+    ``1.2.3 code;label``; of a code the first layout counts, then its first line."""
+    code = "[a-z][a-z0-9_]*"
+    shapes = [(1, rf"^({code})\s*[-–—]\s*(.+)$", 1, 2), (2, rf"^(.+?)\s+\(({code})\)(?:\s*[-–—]\s*[\d\s]+)?$", 2, 1), (3, rf"^(?:\d+\.)+\d+\s+({code})\s*;\s*(.+)$", 1, 2)]
     rows = None
     for rank, p, c, t in shapes:
-        one = lines.select("pos", F.lit(rank).alias("rank"), F.regexp_extract("line", p, c).alias("code"), X.label(F.regexp_extract("line", p, t)).alias("label")).where("code <> ''")
+        one = lines.select("pos", F.lit(rank).alias("rank"), F.regexp_extract("line", p, c).alias("code"), X.label(unescape(F.regexp_extract("line", p, t))).alias("label")).where("code <> '' and label <> ''")
         rows = one if rows is None else rows.unionByName(one)
     return latest(rows, ["code"], [F.col("rank"), F.col("pos")]).select("code", "label")
 

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.staging import stage
+from .catalog import placed
 from .refresh import fingerprint, latest
 from .tree import shared_books, shared_folders
 
@@ -116,14 +118,14 @@ def sendable(requests: DataFrame, blocked: DataFrame, registered: DataFrame, ful
 
 
 def run_batches(items: DataFrame, parse, batch: int, save) -> int:
-    """ST-03: pending items in batches, each parsed and saved to the journal before the next; an interrupted run goes on with what is pending. ``items()`` reads the present state. Returns the number of batches."""
-    n = 0
-    while True:
-        some = items().where("state = 'pending'").orderBy("book_id").limit(batch)
-        if some.isEmpty():
-            return n
-        save(parse(some))
-        n += 1
+    """ST-03: pending items in batches, each parsed and saved to the journal before the next; an interrupted run, called again, goes on
+    with what is pending then. ``items()`` reads the present state. Items get their places once, and a batch reads
+    just the ranges of places it covers. Returns the number of batches."""
+    waiting = stage(placed(items().where("state = 'pending'"), [F.col("book_id")]).repartitionByRange("place").sortWithinPartitions("place"), "batches")
+    n = -(-waiting.count() // batch)
+    for i in range(n):
+        save(parse(waiting.where((F.col("place") > i * batch) & (F.col("place") <= (i + 1) * batch)).drop("place")))
+    return n
 
 
 def document_value(c: Column) -> Column:

@@ -222,3 +222,38 @@ def summary(friends_: DataFrame, pending: DataFrame, used: int, limit: int = 20)
     open_ = pending.select(X.email(F.col("invitee_email")).alias("email")).join(friends_.select(X.email(F.col("email")).alias("email")), "email", "left_anti")
     rows = friends_.select(F.lit(1).alias("friend"), "outbound", F.lit(None).cast("string").alias("email")).unionByName(open_.select(F.lit(0).alias("friend"), F.lit(None).cast("boolean").alias("outbound"), "email"))
     return rows.agg(F.coalesce(F.sum("friend"), F.lit(0)).alias("friends"), F.bool_or("outbound").alias("any_outbound"), F.count_distinct("email").alias("pending"), F.lit(max(0, limit - used)).alias("remaining"))
+
+
+def sync_statuses(statuses: DataFrame, drive_friends: DataFrame, accepted: DataFrame, owner: str, now: int) -> dict[str, DataFrame]:
+    """ST-29: what the server says of invitations, brought into friends, invitations and the ledger.
+
+    statuses: email, status, created_at, sent_at, registered, registered_uid, registered_name, accepted, accepted_uid,
+    accepted_name, accepted_at, one row an address. friends and accepted: uid, email, display_name, root_folder_id, inbound,
+    outbound; of drive friends also pos. A registered account comes before an acceptance; it is a friend in the directions
+    that the drive or the former row shows, an acceptance in both.
+
+    Returns accepted (the former rows overlaid), pending (invitation rows) and ledger (status changes)."""
+    s = statuses.withColumn("email", X.email(F.col("email"))).where("email <> '' and email <> '__quota'")
+    is_registered = F.coalesce("registered", F.lit(False)) & (F.coalesce("registered_uid", F.lit("")) != "")
+    is_accepted = F.coalesce("accepted", F.lit(False)) & (F.coalesce("accepted_uid", F.lit("")) != "")
+    s = s.withColumn("kind", F.when(is_registered, "registered").when(is_accepted, "accepted")).withColumn("found", F.when(is_registered, F.col("registered_uid")).when(is_accepted, F.col("accepted_uid")))
+    d = drive_friends.select("pos", F.col("uid").alias("d_uid"), X.email(F.col("email")).alias("d_email"), F.struct("display_name", "root_folder_id", "inbound", "outbound").alias("d"))
+    got = s.where("kind is not null")
+    by_email = got.select("email").join(d, F.col("email") == F.col("d_email")).select("email", "pos", "d")
+    by_uid = got.select("email", "found").join(d, F.col("found") == F.col("d_uid")).select("email", "pos", "d")
+    first = by_email.unionByName(by_uid).groupBy("email").agg(F.min_by("d", "pos").alias("d"))
+    old = latest(accepted.withColumn("email", X.email(F.col("email"))), ["email"], [F.col("uid")])
+    p = old.select("email", F.struct("root_folder_id", "inbound", "outbound").alias("p"))
+    rows = got.join(first, "email", "left").join(p, "email", "left")
+    reg = F.col("kind") == "registered"
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    either = lambda f: F.coalesce(F.col(f"d.{f}"), F.lit(False)) | F.coalesce(F.col(f"p.{f}"), F.lit(False)) | ~reg
+    new = rows.select(
+        F.col("found").alias("uid"), "email", F.coalesce(F.when(reg, text("registered_name")).otherwise(text("accepted_name")), text("d.display_name"), "email").alias("display_name"),
+        F.coalesce(text("d.root_folder_id"), F.when(reg, text("p.root_folder_id")), F.lit("")).alias("root_folder_id"), either("inbound").alias("inbound"), either("outbound").alias("outbound"),
+    )
+    kept = old.select(*new.columns).join(new.select("email"), "email", "left_anti").select(*new.columns)
+    time = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(other)).cast("long")
+    pending = s.where("status = 'pending'").select(F.col("email").alias("invitee_email"), F.lit(owner).alias("owner_uid"), F.lit(True).alias("active"), time("created_at", now).alias("created_at"), time("sent_at", 0).alias("sent_at"))
+    ledger = new.join(s.select("email", "kind", "accepted_at"), "email").where("kind = 'accepted'").select("email", F.lit("accepted").alias("status"), F.col("uid").alias("accepted_uid"), F.col("display_name").alias("accepted_display_name"), time("accepted_at", now).alias("accepted_at"))
+    return {"accepted": kept.unionByName(new), "pending": pending.join(new.select(F.col("email").alias("invitee_email")), "invitee_email", "left_anti"), "ledger": ledger}

@@ -17,22 +17,36 @@ from ..plans.staging import stage
 MOST_DEPTH = 10_000
 
 
-def descend(start: DataFrame, edges: DataFrame, carry=None) -> DataFrame:
+#: Levels after which those walked are written as one table.
+TOGETHER = 16
+
+
+def descend(start: DataFrame, edges: DataFrame, carry=None, stop=None) -> DataFrame:
     """All nodes reached from ``start`` (node, depth, ...) along ``edges`` (parent, node, ...), start included.
 
     ``carry``: columns of a child row from its parent's (``p.``) and its edge's (``e.``), in the order of start's other columns.
+    ``stop``: is given each level as it is reached, and ends the walk there when it returns true.
+
+    Where no node has two parents, only a cycle through a start node can lead back, so a level is held against the
+    start alone; else against all levels before it.
     """
     names = start.columns
-    seen = frontier = stage(start, "walk")
-    for _ in range(MOST_DEPTH):
+    start = seen = frontier = stage(start, "walk")
+    one_parent = edges.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and start.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    # a start node below another one would be reached from there too
+    for level in range(MOST_DEPTH):
+        if stop is not None and stop(frontier):
+            return seen
         step = frontier.alias("p").join(edges.alias("e"), F.col("p.node") == F.col("e.parent"))
         cols = [F.col("e.node").alias("node"), (F.col("p.depth") + 1).alias("depth"), *[c.alias(n) for c, n in zip(carry or [], names[2:])]]
         first = W.partitionBy("node").orderBy(*[c for c in names if c != "node"])
-        nxt = step.select(*cols).join(seen.select("node"), "node", "left_anti")
+        nxt = step.select(*cols).join((start if one_parent else seen).select("node"), "node", "left_anti")
         nxt = stage(nxt.withColumn("__r", F.row_number().over(first)).where("__r = 1").select(*names), "walk")
         if nxt.isEmpty():
             return seen
         frontier, seen = nxt, seen.unionByName(nxt)
+        if level % TOGETHER == TOGETHER - 1:
+            seen = stage(seen, "walked")
     raise ValueError(f"deeper than {MOST_DEPTH}")
 
 
@@ -61,6 +75,12 @@ def visible_child_counts(folders: DataFrame, books: DataFrame) -> DataFrame:
     return folders.select("id").join(n, "id", "left").fillna(0, ["visible_folders"])
 
 
+def with_children(folders: DataFrame, books: DataFrame) -> DataFrame:
+    """FI-07: folders with any folder or book right below."""
+    some = folders.select(F.col("parent_id").alias("id")).union(books.select("parent_id")).where("id is not null").distinct()
+    return folders.join(some, "id", "left_semi")
+
+
 def shareable_folders(folders: DataFrame, books: DataFrame, root: str) -> DataFrame:
     """G-09."""
     return folders.where(F.col("parent_id") == root).join(folders_with_books(folders, books), "id", "left_semi")
@@ -80,22 +100,37 @@ def book_paths(folders: DataFrame, books: DataFrame, root: str) -> DataFrame:
     return books.join(at, "parent_id", "left").withColumn("path", F.when(F.col("__path").isNotNull(), made).otherwise(F.col("path"))).drop("__path")
 
 
-def scan(items: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
-    """S-02: (folders, books) of all items below the root; trashed ones are left out, first of equal ids wins."""
+def _live(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """W-04: (folders, books) of what is not in the bin, the first of equal ids."""
     live = items.where(~F.coalesce("trashed", F.lit(False)))
     kind = X.classify(F.col("name"), F.col("mime_type"))
     first = W.partitionBy("id").orderBy("parent_id", "name")
     live = live.withColumn("kind", kind).withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
-    folders = live.where("kind = 'folder'")
+    return live.where("kind = 'folder'"), live.where("kind in ('fb2', 'zip', 'epub', 'mobi')")
+
+
+def scan(items: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """S-02: (folders, books) of all items below the root; trashed ones are left out, first of equal ids wins."""
+    folders, books = _live(items)
     inside = depths(folders.select("id", "parent_id", "name").unionByName(items.sparkSession.range(1).select(F.lit(root).alias("id"), F.lit(None).cast("string").alias("parent_id"), F.lit("").alias("name"))), root)
-    books = live.where("kind in ('fb2', 'zip', 'epub', 'mobi')").join(inside.select(F.col("node").alias("parent_id"), "path"), "parent_id")
+    books = books.join(inside.select(F.col("node").alias("parent_id"), "path"), "parent_id")
     books = books.select("id", "parent_id", F.col("name").alias("file_name"), F.col("kind").alias("source_type"), F.when(F.col("path") == "", F.col("name")).otherwise(F.concat("path", F.lit(" / "), "name")).alias("path"))
     return inside.where(F.col("node") != root).select(F.col("node").alias("id"), "depth", "path"), books
 
 
 def count_indexable(items: DataFrame, root: str, minimum: int = 10) -> int:
-    """S-03, FI-14: min(actual, minimum); stops reading once there are enough."""
-    return scan(items, root)[1].limit(minimum).count()
+    """S-03, FI-14: min(actual, minimum); goes no level deeper once there are enough."""
+    folders, books = _live(items)
+    found = 0
+
+    def enough(level: DataFrame) -> bool:
+        nonlocal found
+        found += books.join(level.select(F.col("node").alias("parent_id")), "parent_id", "left_semi").limit(minimum - found).count()
+        return found >= minimum
+
+    start = items.sparkSession.range(1).select(F.lit(root).alias("node"), F.lit(0).alias("depth"))
+    descend(start, _edges(folders), stop=enough)
+    return found
 
 
 def shared_folders(folders: DataFrame, root: str, excluded: list[str]) -> DataFrame:

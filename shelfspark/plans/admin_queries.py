@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import admin as A
+from ..operators import catalog as C
 from ..operators.catalog import page
 from ..registry import query
 
@@ -65,7 +66,7 @@ def _(t):
 
 @query("fi18_equality_page", "SELECT uid, display_name FROM users WHERE invited_by = 'u5' OR invited_by = 'u6'")
 def _(t):
-    return t.users.where(F.col("invited_by").isin("u5", "u6")).select("uid", "display_name")
+    return C.listed(t.users, invited_by=["u5", "u6"]).select("uid", "display_name")
 
 
 @query("g07_invited_page", "SELECT uid FROM users WHERE invited_by = 'u5' AND uid > 'u15' ORDER BY uid LIMIT 3")
@@ -84,9 +85,11 @@ def _(t):
     return A.library_access(t.users)
 
 
-@query("fi24_validators", "SELECT id, regexp_full_match(id, '[A-Za-z0-9_-]{1,128}') AS uid_ok, regexp_full_match(code, '[a-z0-9_]+') AND length(code) <= 64 AS code_ok FROM (SELECT id, name AS code FROM items)")
+@query("fi24_validators", "SELECT id, regexp_full_match(id, '[A-Za-z0-9_-]{1,128}') AS uid_ok, length(code) BETWEEN 1 AND 128 AND NOT contains(code, chr(9)) AS code_ok FROM (SELECT id, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 3 = 0 THEN name || chr(9) WHEN CAST(substr(id, 2) AS BIGINT) % 3 = 1 THEN repeat(name, 9) ELSE name || ' - ж' END AS code FROM items)")
 def _(t):
-    return t.items.select("id", X.uid_ok(F.col("id")).alias("uid_ok"), X.mapping_code_ok(F.col("name")).alias("code_ok"))
+    k = F.col("id").substr(2, 20).cast("long") % 3
+    code = F.when(k == 0, F.concat("name", F.lit("\t"))).when(k == 1, F.repeat("name", 9)).otherwise(F.concat("name", F.lit(" - ж")))
+    return t.items.select("id", X.uid_ok(F.col("id")).alias("uid_ok"), X.mapping_code_ok(code).alias("code_ok"))
 
 
 @query("fi25_blocked", "SELECT DISTINCT u.email FROM users u WHERE u.email IN (SELECT email FROM bans) OR u.uid IN (SELECT uid FROM bans)")
@@ -123,18 +126,19 @@ def _(t):
 
 @query("s16_s18_group_scan", "SELECT id, viewer_uid FROM shares_now WHERE owner_uid = 'u9' ORDER BY id LIMIT 100")
 def _(t):
-    return t.shares_now.where("owner_uid = 'u9'").select("id", "viewer_uid").orderBy("id").limit(100)
+    return C.first_page(C.listed(t.shares_now, owner_uid="u9"), [F.col("id")], 100).select("id", "viewer_uid")
 
 
 @query("s15_first_page", "SELECT uid FROM users ORDER BY created_at, uid LIMIT 40")
 def _(t):
-    return t.users.orderBy("created_at", "uid").limit(40).select("uid")
+    return C.first_page(t.users, [F.col("created_at"), F.col("uid")], 40).select("uid")
 
 
 @query("s30_lookups", "SELECT uid, 'superadmin' AS kind FROM (SELECT uid FROM users WHERE is_superadmin LIMIT 1) UNION ALL SELECT uid, 'admin' FROM admins WHERE active UNION ALL SELECT uid, 'directory' FROM users WHERE uid IN ('u1', 'u2', 'u3')")
 def _(t):
     one = lambda d, k: d.select("uid", F.lit(k).alias("kind"))
-    return one(t.users.where("is_superadmin").limit(1), "superadmin").unionByName(one(t.admins.where("active"), "admin")).unionByName(one(t.users.where(F.col("uid").isin("u1", "u2", "u3")), "directory"))
+    superadmin = C.first_page(C.listed(t.users, is_superadmin=True), [F.col("uid")], 1)
+    return one(superadmin, "superadmin").unionByName(one(C.listed(t.admins, active=True), "admin")).unionByName(one(C.listed(t.users, uid=["u1", "u2", "u3"]), "directory"))
 
 
 @query("pr09_f09_redacted_users", "SELECT uid, display_name, CAST(NULL AS VARCHAR) AS email FROM users")
@@ -175,13 +179,16 @@ def _(t):
     return t.raw("orders").select(F.col("o_orderkey").alias("k"), X.millis(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("ms"))
 
 
-@query("f18_signature", "SELECT count(*) AS n, count(DISTINCT c_custkey) AS same FROM customer")
+@query("f18_signature", """SELECT c_custkey AS k, sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}') AS signature FROM customer""")
 def _(t):
-    c = t.raw("customer")
-    return c.agg(F.count("*").alias("n"), F.count_distinct(X.signature(F.col("c_custkey"), F.col("c_name"))).alias("same"))
+    return t.raw("customer").select(F.col("c_custkey").alias("k"), X.signature(F.col("c_custkey"), F.col("c_name")).alias("signature"))
 
 
-@query("f29_delta36", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+@query(
+    "f29_delta36",
+    """SELECT user_id, string_agg(lower(to_base(d, 36)), '.' ORDER BY ms, event_id) AS packed, max(ms) AS last FROM (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000 - coalesce(lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS d FROM events) GROUP BY user_id""",
+)
 def _(t):
     g = t.raw("events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.unix_millis(F.col("ts").cast("timestamp")))).alias("a"))
-    return g.select("user_id", F.size(X.undelta36(X.delta36(F.col("a")))).cast("long").alias("n"))
+    packed = g.select("user_id", X.delta36(F.col("a")).alias("packed"))
+    return packed.select("user_id", "packed", F.element_at(X.undelta36(F.col("packed")), -1).alias("last"))

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import catalog as C
 from ..operators import tree as T
+from ..operators.publish import normalize_settings, positions
+from ..operators.store import zip_candidates, zip_totals
 from ..registry import query
 
 NAMES = {"ECONOMY": "Эконом", "SMALL": "Малый", "LARGE": "Большой", "brand_1": "Первый"}
 NAMES_SQL = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMES.items()) + " ELSE {0} END"
 NORM = "trim(regexp_replace(lower(coalesce({0}, '')), '\\s+', ' ', 'g'))"
-BASE = f"split_part(replace({NORM.format('language')}, '_', '-'), '-', 1)"
-LANG = f"CASE WHEN {NORM.format('language')} = '' THEN '' WHEN {BASE} IN ('ru', 'rus') THEN 'language:русский' WHEN {BASE} IN ('en', 'eng') THEN 'language:английский' WHEN {BASE} IN ('de', 'deu', 'ger') THEN 'language:немецкий' ELSE 'code:' || replace({NORM.format('language')}, '_', '-') END"
+TAG = f"replace({NORM.format('language')}, '_', '-')"
+# Tags of the test tables by language, and its name.
+LANGUAGES = {"ru": ("русский", ("ru", "rus")), "en": ("английский", ("en", "en-us", "eng")), "de": ("немецкий", ("ger",)), "ja": ("японский", ("ja", "ja-jp")), "pt": ("португальский", ("pt", "pt-br")), "zh": ("китайский", ("zh", "zh-cn")), "tyv": ("тувинский", ("tyv",))}
+BASE = "CASE " + " ".join(f"WHEN {TAG} IN ({', '.join(map(repr, tags))}) THEN '{code}'" for code, (_, tags) in LANGUAGES.items()) + f" ELSE {TAG} END"
+LANG = f"CASE WHEN {TAG} = '' THEN '' " + " ".join(f"WHEN {TAG} IN ({', '.join(map(repr, tags))}) THEN 'language:{name}'" for name, tags in LANGUAGES.values()) + f" ELSE 'code:' || {TAG} END"
 HAS = "(contains({t}, '{w}') OR contains({s}, '{w}') OR contains({a}, '{w}') OR contains({f}, '{w}') OR len(list_filter(authors, lambda x: contains({x}, '{w}'))) > 0)"
 
 
@@ -62,19 +67,13 @@ def _(t):
 
 @query("o01_natural_order", "SELECT id, row_number() OVER (ORDER BY split_part(lower(file_name), ' ', 1), split_part(lower(file_name), ' ', 2), CAST(regexp_extract(file_name, '([0-9]+)\\.', 1) AS BIGINT), pos) AS place FROM books")
 def _(t):
-    from pyspark.sql import Window as W
-
-    # the place over all rows needs one order; the page query above is what runs at scale
-    keyed = t.books.withColumn("key", X.natural_key(F.col("file_name")))
-    return keyed.select("id", F.row_number().over(W.orderBy("key", "pos")).cast("long").alias("place"))
+    return C.placed(t.books, C.catalog_order()).select("id", "place")
 
 
-@query("o03_series_order", f"SELECT id, trim(series) AS series_name, row_number() OVER (PARTITION BY trim(series) ORDER BY {NUM} NULLS LAST, pos) AS place FROM books WHERE coalesce(trim(series), '') <> ''")
+@query("o03_series_order", f"SELECT id, trim(series) AS series_name, row_number() OVER (PARTITION BY trim(series) ORDER BY {NUM} NULLS LAST, split_part(lower(file_name), ' ', 1), split_part(lower(file_name), ' ', 2), CAST(regexp_extract(file_name, '([0-9]+)\\.', 1) AS BIGINT), pos) AS place FROM books WHERE coalesce(trim(series), '') <> ''")
 def _(t):
-    from pyspark.sql import Window as W
-
-    name = X.trim(F.col("series"))
-    return t.books.where(name != "").select("id", name.alias("series_name"), F.row_number().over(W.partitionBy(name).orderBy(X.number(F.col("series_number")).asc_nulls_last(), "pos")).cast("long").alias("place"))
+    rows = t.books.withColumn("series_name", X.trim(F.col("series"))).where("series_name <> ''")
+    return positions(rows, "series_name", C.series_order()).select("id", "series_name", F.col("place").cast("long").alias("place"))
 
 
 @query("a07_genre_facets", f"SELECT DISTINCT g AS value, {NAMES_SQL.format('g')} AS label FROM (SELECT unnest(genres) AS g FROM books) WHERE trim(g) <> ''")
@@ -82,7 +81,7 @@ def _(t):
     return C.genre_facets(t.books, NAMES)
 
 
-@query("a07_language_facets", f"SELECT key, min(value) AS value, regexp_replace(key, '^(language|code):', '') AS label FROM (SELECT {LANG} AS key, CASE WHEN starts_with({LANG}, 'language:') THEN {BASE} ELSE replace({NORM.format('language')}, '_', '-') END AS value FROM books) WHERE key <> '' GROUP BY key")
+@query("a07_language_facets", f"SELECT key, min(value) AS value, regexp_replace(key, '^(language|code):', '') AS label FROM (SELECT {LANG} AS key, {BASE} AS value FROM books) WHERE key <> '' GROUP BY key")
 def _(t):
     return C.language_facets(t.books)
 
@@ -174,7 +173,7 @@ def _(t):
 
 @query("s01_list_children", "SELECT id, name FROM items WHERE parent_id = 'n3' AND NOT trashed")
 def _(t):
-    return t.items.where((F.col("parent_id") == "n3") & ~F.col("trashed")).select("id", "name")
+    return C.listed(t.items, parent_id="n3", trashed=False).select("id", "name")
 
 
 @query("g03_pr07_book_paths", f"{WALK} SELECT b.id, CASE WHEN w.path = '' THEN file_name ELSE w.path || ' / ' || file_name END AS path FROM books b LEFT JOIN walk w ON w.node = b.parent_id")
@@ -212,7 +211,7 @@ def _(t):
 
 @query("fi07_has_children", "SELECT id FROM folders WHERE id IN (SELECT parent_id FROM folders UNION SELECT parent_id FROM books)")
 def _(t):
-    return t.folders.join(t.folders.select(F.col("parent_id").alias("id")).union(t.books.select("parent_id")).distinct(), "id", "left_semi").select("id")
+    return T.with_children(t.folders, t.books).select("id")
 
 
 @query("g01_shared_books", "WITH walk AS (SELECT 'root' AS node UNION ALL SELECT f.id FROM walk w JOIN folders f ON f.parent_id = w.node WHERE f.id NOT IN ('r1', 'n4')) SELECT id, parent_id FROM books WHERE parent_id IN (SELECT node FROM walk)")
@@ -261,9 +260,23 @@ def _(t):
     return C.prefix_search(t.users, "display_name", " Customer#00000001 ").select("uid")
 
 
-@query("s04_s05_s06_lookups", "SELECT id, name FROM items WHERE starts_with(name, 'src1_') AND contains(name, 'src1_')")
+@query("s04_single_item", "SELECT id, name, mime_type FROM items WHERE id = 'd17'")
 def _(t):
-    return t.items.where(F.startswith("name", F.lit("src1_"))).select("id", "name")
+    return C.listed(t.items, id="d17").select("id", "name", "mime_type")
+
+
+@query("s05_newest_of_name", "SELECT lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) AS name, max(CAST(substr(id, 2) AS BIGINT)) AS newest FROM items WHERE NOT trashed GROUP BY 1")
+def _(t):
+    from ..operators.refresh import latest
+
+    k = F.col("id").substr(2, 20).cast("long")
+    rows = C.listed(t.items, trashed=False).select(F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]+)$", 1)).alias("name"), k.alias("newest"))
+    return latest(rows, ["name"], [F.desc("newest")])
+
+
+@query("s06_prefix_listing", "SELECT id, name FROM items WHERE starts_with(name, 'src1_')")
+def _(t):
+    return C.prefix_search(t.items, "name", "src1_").select("id", "name")
 
 
 @query("f10_book_count", "SELECT c_custkey AS k, CASE WHEN c_custkey >= 1000000 THEN CAST(c_custkey // 1000000 AS VARCHAR) || chr(160) || lpad(CAST(c_custkey // 1000 % 1000 AS VARCHAR), 3, '0') || chr(160) || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') WHEN c_custkey >= 1000 THEN CAST(c_custkey // 1000 AS VARCHAR) || chr(160) || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') ELSE CAST(c_custkey AS VARCHAR) END || ' ' || CASE WHEN c_custkey % 100 BETWEEN 11 AND 19 THEN 'книг' WHEN c_custkey % 10 = 1 THEN 'книга' WHEN c_custkey % 10 BETWEEN 2 AND 4 THEN 'книги' ELSE 'книг' END AS text FROM customer")
@@ -308,12 +321,15 @@ def _(t):
     return t.raw("part").select(k.alias("k"), X.cover_score(k % 900 + 1, k * 7 % 1100 + 1).alias("score"))
 
 
-@query("a25_best_cover", "SELECT parent, k FROM (SELECT p_partkey % 50 AS parent, p_partkey AS k, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY (p_partkey * 7 % 1100) * (p_partkey % 900) DESC, p_partkey) AS r FROM part) WHERE r = 1")
+SCORE = "CASE WHEN w < 120 OR h < 160 OR h <= w OR h / w::DOUBLE < 1.15::DOUBLE OR h / w::DOUBLE > 3 THEN 0.0::DOUBLE ELSE w * h * least(h / w::DOUBLE, 2.0::DOUBLE) END"
+
+
+@query("a25_best_cover", f"SELECT parent, k FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY score DESC, k) AS r FROM (SELECT p_partkey % 50 AS parent, p_partkey AS k, {SCORE} AS score FROM (SELECT p_partkey, p_partkey % 900 + 1 AS w, p_partkey * 7 % 1100 + 1 AS h FROM part)) WHERE score > 0) WHERE r = 1")
 def _(t):
     from ..operators.refresh import latest
 
     k = F.col("p_partkey")
-    rows = t.raw("part").select((k % 50).alias("parent"), k.alias("k"), ((k * 7 % 1100) * (k % 900)).alias("score"))
+    rows = t.raw("part").select((k % 50).alias("parent"), k.alias("k"), X.cover_score(k % 900 + 1, k * 7 % 1100 + 1).alias("score")).where("score > 0")
     return latest(rows, ["parent"], [F.desc("score"), F.col("k")]).select("parent", "k")
 
 
@@ -339,13 +355,12 @@ def _(t):
 
 @query("fi13_zip_candidates", "SELECT id FROM items WHERE regexp_matches(name, '\\.(fb2|epub|mobi)$', 'i') AND NOT list_contains(string_split(lower(name), '/'), '__macosx') AND NOT ends_with(lower(name), 'thumbs.db')")
 def _(t):
-    n = F.lower("name")
-    return t.items.where(X.zip_entry_kind(F.col("name")).isNotNull() & ~F.array_contains(F.split(n, "/"), "__macosx") & ~F.endswith(n, F.lit("thumbs.db"))).select("id")
+    return zip_candidates(t.items).select("id")
 
 
 @query("a15_zip_totals", "SELECT parent_id, CAST(sum(size) AS BIGINT) AS total, bool_or(size > 500 * pos) AS over FROM books GROUP BY parent_id")
 def _(t):
-    return t.books.groupBy("parent_id").agg(F.sum("size").alias("total"), F.bool_or(F.col("size") > 500 * F.col("pos")).alias("over"))
+    return zip_totals(t.books.select("parent_id", "size", F.col("pos").alias("packed")), "parent_id").select("parent_id", "total", "over")
 
 
 @query("p14_sniff", "SELECT page_id, CASE WHEN regexp_matches(lower(trim(substr(html, 1, 200))), '^(<!doctype html|<html)') THEN 'html' WHEN starts_with(trim(html), '<') THEN 'xml' ELSE 'binary' END AS kind FROM pages")
@@ -353,16 +368,23 @@ def _(t):
     return t.raw("pages").select("page_id", X.sniff(F.encode("html", "UTF-8")).alias("kind"))
 
 
-@query("c03_folder_notes", "SELECT parent_id, count(*) AS n FROM (SELECT parent_id, trim(series) AS note FROM books WHERE parent_id IN ('n1', 'n2', 'c5')) WHERE note <> '' GROUP BY parent_id")
+def _settings(t):
+    """One row a region: notes of its folders, some blank, and exclusions, some twice or of folders that can't be shared."""
+    k = F.col("r_regionkey").cast("string")
+    notes = F.create_map(F.concat(F.lit("n"), k), F.concat(F.lit("  "), F.col("r_name"), F.lit(" ")), F.lit("x"), F.lit("   "))
+    asked = F.array(F.lit("r3"), F.concat(F.lit("r"), k), F.lit("gone"), F.lit("r3"))
+    s = t.raw("region").select(F.concat(F.lit("root"), k).alias("root_folder_id"), asked.alias("excluded_folder_ids"), notes.alias("folder_notes"))
+    return normalize_settings(s, t.folders_top.select("id", F.substring("id", 2, 9).cast("int").alias("pos")))
+
+
+@query("c03_folder_notes", "SELECT 'root' || r_regionkey AS root_folder_id, 'n' || r_regionkey AS folder, r_name AS note FROM region")
 def _(t):
-    m = t.books.select("parent_id", F.map_filter(F.transform_values(F.create_map(F.col("parent_id"), F.coalesce("series", F.lit(""))), lambda k, v: X.trim(v)), lambda k, v: k.isin("n1", "n2", "c5") & (v != "")).alias("m"))
-    return m.where(F.size("m") > 0).groupBy("parent_id").agg(F.count("*").alias("n"))
+    return _settings(t).select("root_folder_id", F.explode("folder_notes").alias("folder", "note"))
 
 
-@query("c04_exclusions", "SELECT id FROM (SELECT id FROM folders WHERE parent_id = 'root') WHERE id IN ('r3', 'r1', 'gone')")
+@query("c04_v03_k10_exclusions", "SELECT 'root' || r_regionkey AS root_folder_id, CASE WHEN r_regionkey = 3 THEN 'r3' WHEN r_regionkey < 3 THEN 'r' || r_regionkey || ',r3' ELSE 'r3,r' || r_regionkey END AS excluded FROM region")
 def _(t):
-    asked = t.spark.createDataFrame([("r3",), ("r1",), ("gone",), ("r3",)], "id string")
-    return t.folders.where("parent_id = 'root'").join(asked, "id", "left_semi").select("id")
+    return _settings(t).select("root_folder_id", F.array_join("excluded_folder_ids", ",").alias("excluded"))
 
 
 @query("c07_split_flatten", "SELECT conv_id, turn, len(string_split(text, ';')) AS n FROM conversations")
@@ -370,9 +392,12 @@ def _(t):
     return t.raw("conversations").select("conv_id", "turn", F.size(F.flatten(F.transform(F.array("text"), lambda x: F.split(x, ";")))).cast("long").alias("n"))
 
 
-@query("pr02_shared_projection", "SELECT id, parent_id, file_name, source_type, size, title FROM books WHERE metadata_status = 'ready'")
+@query("pr02_shared_projection", "SELECT id, parent_id, file_name, source_type, size, title FROM books WHERE metadata_status = 'ready' AND parent_id IN (SELECT id FROM folders)")
 def _(t):
-    return t.books.where("metadata_status = 'ready'").select("id", "parent_id", "file_name", "source_type", "size", "title")
+    from ..operators.publish import published_rows
+
+    rows = published_rows(t.folders, t.books.where("metadata_status = 'ready'"), "root", [])
+    return rows.select("id", "parent_id", "file_name", "source_type", "size", "title")
 
 
 @query("f14_html_lines")

@@ -108,7 +108,7 @@ def _(t):
     return R.prepare_build(t.books, t.books.where("pos % 3 = 0"), "r1", "retry")[1]
 
 
-@query("st02_can_resume", "SELECT true AS same, false AS other")
+@query("st02_can_resume", "SELECT (SELECT count(*) FROM (SELECT id FROM books EXCEPT SELECT id FROM books WHERE pos >= 0)) = 0 AS same, (SELECT count(*) FROM (SELECT id FROM books EXCEPT SELECT id FROM books WHERE pos > 0)) = 0 AS other")
 def _(t):
     head = {"signature": "s", "mode": "full", "root": "root", "status": "paused"}
     items = R.prepare_build(t.books, t.books.where("pos % 3 = 0"), "r1", "full")[1]
@@ -148,9 +148,9 @@ def _(t):
     return R.merge_source(t.previous.select("id", "size", "title"), t.current.select("id", "size")).select("id", "size", "title")
 
 
-@query("pr17_action_labels", "SELECT 'Переиндексировать все книги (' || n || ')' AS full, 'Повторить ошибки (' || f || ')' AS retry, f = '0' AS retry_hidden FROM (SELECT CASE WHEN count(*) >= 1000 THEN CAST(count(*) // 1000 AS VARCHAR) || chr(160) || lpad(CAST(count(*) % 1000 AS VARCHAR), 3, '0') ELSE CAST(count(*) AS VARCHAR) END AS n FROM books), (SELECT CAST(count(*) AS VARCHAR) AS f FROM books WHERE metadata_status = 'none')")
+@query("pr17_action_labels", "SELECT 'Переиндексировать все книги (' || n || ')' AS full, 'Повторить ошибки (' || f || ')' AS retry, f = '0' AS retry_hidden FROM (SELECT CASE WHEN count(*) >= 1000 THEN CAST(count(*) // 1000 AS VARCHAR) || chr(160) || lpad(CAST(count(*) % 1000 AS VARCHAR), 3, '0') ELSE CAST(count(*) AS VARCHAR) END AS n FROM books), (SELECT CAST(count(*) AS VARCHAR) AS f FROM books WHERE metadata_status = 'error')")
 def _(t):
-    return R.action_labels(t.books.agg(F.count("*").alias("total"), F.count_if(F.col("metadata_status") == "none").alias("failed")))
+    return R.action_labels(t.books.agg(F.count("*").alias("total"), F.count_if(F.col("metadata_status") == "error").alias("failed")))
 
 
 @query("v01_index_problems", "SELECT r_regionkey AS version, CASE WHEN r_regionkey NOT IN (1, 2, 3, 4) THEN 'version' ELSE 'root' END AS problem FROM region WHERE r_regionkey NOT IN (1, 2, 3, 4) OR r_name <> 'ASIA'")
@@ -199,7 +199,7 @@ def _(t):
     return G.report(t.mappings, t.mappings.where("layer = 'seed'"))
 
 
-@query("s20_clean_mapping", "SELECT 'source' AS layer, 0 AS source_rank, code, label FROM mappings WHERE regexp_full_match(code, '[a-z0-9_]+')")
+@query("s20_clean_mapping", "SELECT 'source' AS layer, 0 AS source_rank, code, label FROM mappings")
 def _(t):
     return G.clean_mapping(t.mappings, "source", 0)
 

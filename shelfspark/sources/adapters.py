@@ -27,7 +27,7 @@ SHAPES: dict[str, tuple[str, str]] = {
         CASE WHEN p_partkey % 13 = 0 THEN 'x' WHEN p_partkey % 13 = 1 THEN ' ' ELSE CAST(p_size AS STRING) END AS series_number,
         CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE concat(p_type, '  ', p_name) END AS annotation,
         p_name AS preview,
-        CASE p_partkey % 7 WHEN 0 THEN 'ru' WHEN 1 THEN 'rus' WHEN 2 THEN 'en_US' WHEN 3 THEN ' ENG ' WHEN 4 THEN 'ger' WHEN 5 THEN 'qx' ELSE NULL END AS language,
+        CASE p_partkey % 17 WHEN 0 THEN 'ru' WHEN 1 THEN 'rus' WHEN 2 THEN 'en_US' WHEN 3 THEN ' ENG ' WHEN 4 THEN 'ger' WHEN 5 THEN 'qx' WHEN 6 THEN 'ja' WHEN 7 THEN 'ja-JP' WHEN 8 THEN 'pt-BR' WHEN 9 THEN 'PT' WHEN 10 THEN 'zh_CN' WHEN 11 THEN 'zh' WHEN 12 THEN 'tyv' WHEN 13 THEN 'русский' WHEN 14 THEN 'en' ELSE NULL END AS language,
         CASE WHEN p_partkey % 17 = 0 THEN concat('cover', CAST(p_partkey % 400 AS STRING)) ELSE NULL END AS cover_file_id,
         CASE WHEN p_partkey % 19 = 0 THEN 'metadata_only_recovered' ELSE NULL END AS metadata_warning,
         p_partkey AS pos""",

@@ -2,13 +2,55 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..shipping import ship
-from .parsers.text import decode_page, lines
+
+# Elements that stand on lines of their own.
+OWN_LINE = frozenset(
+    "address article aside blockquote br dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split()
+)
+#: Encodings of pages without a declaration, the likeliest first; the last is read with replacements if none fits.
+ENCODINGS = ("utf-8", "cp1251")
+
+
+def page_text(data: bytes | str) -> str:
+    """S-23."""
+    if isinstance(data, str):
+        return data
+    fit = (e for e in ENCODINGS if _fits(data, e))
+    return data.decode(next(fit, ENCODINGS[0]), "replace")
+
+
+def _fits(data: bytes, encoding: str) -> bool:
+    try:
+        return data.decode(encoding) is not None
+    except UnicodeDecodeError:
+        return False
+
+
+def events(source: str) -> list[tuple[str, str]]:
+    """("tag", name) of each start and end tag, and ("text", characters), in order."""
+    out: list[tuple[str, str]] = []
+    p = HTMLParser(convert_charrefs=True)
+    p.handle_starttag = lambda tag, attrs: out.append(("tag", tag))
+    p.handle_endtag = lambda tag: out.append(("tag", tag))
+    p.handle_data = lambda text: out.append(("text", text))
+    p.feed(source)
+    p.close()
+    return out
+
+
+def lines(source: str) -> list[str]:
+    """F-14: the text of a page, scripts included; elements of OWN_LINE end a line, blanks inside it are one, empty lines go."""
+    text = "".join("\n" if kind == "tag" else x for kind, x in events(source) if kind == "text" or x in OWN_LINE)
+    whole = (re.sub("[ \t]+", " ", x).strip() for x in text.replace("\u00a0", " ").splitlines())
+    return [x for x in whole if x]
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -17,7 +59,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, n, x) for i, h in zip(b["page_id"], b["html"]) if h is not None for n, x in enumerate(lines(decode_page(h) if isinstance(h, bytes) else h))]
+            rows = [(i, n, x) for i, h in zip(b["page_id"], b["html"]) if h is not None for n, x in enumerate(lines(page_text(h)))]
             yield pd.DataFrame(rows, columns=["page_id", "pos", "line"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, pos long, line string")

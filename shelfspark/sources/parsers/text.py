@@ -58,18 +58,8 @@ def decode(data: bytes) -> str:
     return data.decode(encoding_of(data), "replace")
 
 
-def decode_page(data: bytes) -> str:
-    """S-23: UTF-8, else windows-1251, else UTF-8 with replacements."""
-    for name in ("utf-8", "cp1251"):
-        try:
-            return data.decode(name)
-        except UnicodeDecodeError:
-            continue
-    return data.decode("utf-8", "replace")
-
-
 class Lines(HTMLParser):
-    """F-14: text lines of a page: blocks and breaks end a line; scripts and styles are left out. With ``links`` false their text is too."""
+    """Text lines of a book's page or description: blocks and breaks end a line; scripts and styles are left out. With ``links`` false their text is too."""
 
     BLOCKS = frozenset("p div br li ul ol tr td th table h1 h2 h3 h4 h5 h6 section article header footer blockquote pre title".split())
     HIDDEN = frozenset(("script", "style", "head"))

@@ -109,7 +109,11 @@ def test_xsd_and_mapping_files(spark, tmp_path):
     x = spark.createDataFrame([('<s xmlns="http://x"><enumeration value="sf"/><enumeration value="det"/></s>',)], "value string")
     assert ids(genres.xsd_codes(x), "code") == ["det", "sf"]
     (tmp_path / "m.json").write_text('{"sf": " - Sci  Fi ", "bad code": "x", "det": " "}', encoding="utf-8")
-    assert [(r.code, r.label) for r in genres.read_mapping(spark, str(tmp_path / "m.json"), "seed").collect()] == [("sf", "Sci Fi")]
+    assert sorted((r.code, r.label) for r in genres.read_mapping(spark, str(tmp_path / "m.json"), "seed").collect()) == [("bad code", "x"), ("sf", "Sci Fi")]
+    with pytest.raises(Exception, match="invalid genre code"):
+        genres.clean_mapping(spark.createDataFrame([("a\tb", "x")], "code string, label string"), "seed").collect()
+    with pytest.raises(ValueError, match="no genre codes"):
+        genres.xsd_codes(spark.createDataFrame([("<s/>",)], "value string"))
 
 
 def test_redaction(spark):

@@ -11,7 +11,8 @@ from shelfspark.sources.parsers.book import parse
 from shelfspark.sources.parsers.epub import resolve
 from shelfspark.sources.parsers.image import dimensions
 from shelfspark.sources.parsers.mobi import palmdoc
-from shelfspark.sources.parsers.text import FormatError, decode_page, encoding_of, lines, preview
+from shelfspark.sources import pages
+from shelfspark.sources.parsers.text import FormatError, encoding_of, lines, preview
 
 PNG = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 300, 400) + b"\x08\2\0\0\0"
 
@@ -97,12 +98,36 @@ def test_mobi():
 
 
 def test_texts():
-    assert encoding_of(b"\xef\xbb\xbf<a/>") == "utf-8-sig" and encoding_of(b"<\0a\0") == "utf-16-le" and decode_page("Привет".encode("cp1251")) == "Привет"
+    assert encoding_of(b"\xef\xbb\xbf<a/>") == "utf-8-sig" and encoding_of(b"<\0a\0") == "utf-16-le"
     assert lines("<style>x</style><p>a &amp; b<br>c</p>") == ["a & b", "c"]
     assert len(preview(["word " * 500])) <= 1200 and preview(["one"]) is None
     assert dimensions(PNG) == (300, 400) and dimensions(b"GIF89a\x05\0\x06\0") == (5, 6) and dimensions(b"?") is None
 
 
+def test_pages(spark):
+    """Block elements, also those of definition lists, figures and tables, end lines; scripts are text like any other."""
+    assert pages.lines("<dl><dt>sf</dt><dd>Fantastika</dd></dl><nav>n</nav><hr>x&nbsp; y\t z<script>s</script>") == ["sf", "Fantastika", "n", "x y zs"]
+    assert pages.page_text("Привет".encode("cp1251")) == "Привет" == pages.page_text("Привет".encode()) and pages.page_text(b"\x98\xff") == "\ufffd\ufffd"
+    df = spark.createDataFrame([(1, "<p>a<p>b &amp; c".encode()), (2, None)], "page_id long, html binary")
+    assert [(r.page_id, r.pos, r.line) for r in pages.page_lines(df).collect()] == [(1, 0, "a"), (1, 1, "b & c")]
+
+
+def test_binary_boundaries():
+    wrap = lambda x: f"<FictionBook><body/>{x}</FictionBook>"
+    from shelfspark.sources.parsers.fb2 import payload_problem, repair_binaries
+
+    whole = wrap('<binary id="a">AA<!-- c -->AA</binary><binary/><n:binary xmlns:n="x">AAA=</n:binary>')
+    assert repair_binaries(whole) == (whole, 0)
+    assert repair_binaries(wrap("<binary>!A<A\x01</binary><binary>AAAA</binary>")) == (wrap("<binary></binary><binary>AAAA</binary>"), 1)
+    for lost in ("<binary>AAAA<binary>AAAA</binary>", "<binary>A<p>x</p></binary>", "<binary>A<!ENTITY x></binary>", "<binary>AAAA", "<a></b>"):
+        with pytest.raises(FormatError):
+            repair_binaries(wrap(lost))
+    for outside in ("<!DOCTYPE x><FictionBook/>", "<x/>", "<FictionBook/><FictionBook/>"):
+        with pytest.raises(FormatError):
+            repair_binaries(outside)
+    assert [bool(payload_problem(x)) for x in ("AAAA", " AA A\nA", "AA==", "A===", "AAA", "=AAA", "AA\x02A", "A-AA", "")] == [False, False, False, True, True, True, True, True, False]
+
+
 def test_rows(spark):
     files = spark.createDataFrame([("1", "a.fb2", "fb2", fb2()), ("2", "b.mobi", "mobi", b"junk"), ("3", "c.epub", "epub", None), ("4", "d.pdf", "other", b"x")], "id string, name string, source_type string, content binary")
     got = {r.id: (r.title, r.error) for r in extract_metadata(files).collect()}

@@ -22,7 +22,8 @@ def test_languages(spark):
     key = lambda s: value(spark, X.language_key(F.lit(s)))
     assert len({key(s) for s in ("ru", "rus", "ru-RU", "ru_RU", " RU ")}) == 1
     assert key("ger") == key("de-DE") != key("en-US") == key("eng")
-    assert key("zz-top") == "code:zz-top" and key(" ") == ""
+    assert key("qx-top") == "code:qx-top" and key(" ") == "" and key("русский язык") == "code:русский язык"
+    assert key("ja") == key("ja-JP") == "language:японский" and key("zh_CN") == key("zh") and key("pt-BR") == key("por")
 
 
 @pytest.mark.parametrize("n,want", [(0, "0 книг"), (1, "1 книга"), (3, "3 книги"), (11, "11 книг"), (21, "21 книга"), (112, "112 книг"), (1004, "1 004 книги"), (1234567, "1 234 567 книг")])
@@ -36,6 +37,10 @@ def test_natural_order(spark):
     assert [r.n for r in rows] == ["book1a", "Book2", "BOOK02b", "book10"]
 
 
+def test_query_texts_are_normalized_like_rows():
+    assert X.normalized("\ufeff A\u00a0\t b ") == "a b" and X.normalized("\x1c") == "\x1c"
+
+
 @pytest.mark.parametrize("t,c,want", [(1, 1, []), (5, 2, [1, 2, 3, 4, 5]), (20, 3, [1, 2, 3, 4, 5, 0, 20]), (20, 18, [1, 0, 16, 17, 18, 19, 20]), (20, 10, [1, 0, 8, 9, 10, 11, 12, 0, 20])])
 def test_page_tokens(spark, t, c, want):
     assert value(spark, X.page_tokens(F.lit(t), F.lit(c))) == want
