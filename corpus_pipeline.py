@@ -1,7 +1,8 @@
 """A corpus from documents: toxic ones out, one of each group of near-duplicates, secrets masked, sources mixed, texts encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and
-read again as the next one's docs. All but the last return the columns of documents.
+read again as the next one's docs. All but the last return the columns of documents, and further
+columns of any name as they came. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -22,28 +23,28 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted toxic go. The model learns from the labelled documents among docs."""
+    """Documents that are predicted toxic go; null and empty texts stay. The model learns from the labelled documents among docs; without both labels nothing goes."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingle Jaccard 0.75 stays, that of least doc_id."""
+    """One document of each component of five-word shingle Jaccard 0.75 stays, that of least doc_id. Rows with one doc_id become one; rows without doc_id, and null and empty texts, stay."""
     return jaccard.keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every found secret is replaced by a mark."""
+    """Every found secret is replaced by a mark, and n_chars counted anew; null texts stay null. No row goes."""
     return secrets.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Each row as often as the mix of sources takes it; rows of one source share its target, null is a source. Sources without words go."""
     return mixing.repeat_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of ids and decoded text."""
-    return bpe.encode_documents(docs, vocabulary())
+    """doc_id and token ids of every row, with their number and the digests of ids and decoded text; a null text has none."""
+    return bpe.encode_documents(docs, vocabulary(), ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("secrets", mask_secrets), ("mixing", mix), ("bpe", encode)]
