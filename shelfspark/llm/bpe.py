@@ -14,11 +14,12 @@ import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterable
 
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_rows, own_columns
+from .common import kept, map_rows, own_columns
 
 #: The White_Space property, which the tokenizer's \s means.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -47,22 +48,10 @@ class Remembered(dict):
         return out
 
 
-_KEPT: dict = {}
-
-
-def kept(make, spec: str):
-    """``make(spec)``, kept by the Python worker for its next tasks; one at a time."""
-    key = make, hash(spec), len(spec)
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = make(spec)
-    return _KEPT[key]
-
-
 class Bpe:
     """A byte-level BPE with word ends, from the JSON of a tokenizer file."""
 
-    def __init__(self, spec: str, most_cached: int = 600_000):
+    def __init__(self, spec: str, most_cached: int = 250_000):
         j = json.loads(spec)
         model = j["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -132,9 +121,8 @@ class Bpe:
                     heapq.heappush(heap, (self.pairs[q], k, q))
         return [x for x in s if x is not None]
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        ids = [self.vocab[t] for f in self.fragments(word) for t in self.merge(f)]
-        return array("I", ids).tobytes(), " ".join([self.tokens[i] for i in ids])
+    def _word(self, word: str) -> bytes:
+        return array("I", [self.vocab[t] for f in self.fragments(word) for t in self.merge(f)]).tobytes()
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text without special tokens. White space only separates, so its runs need no collapsing."""
@@ -142,29 +130,24 @@ class Bpe:
             return self.ascii_words.findall(text.lower())
         return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
-        return list(map(self.cache.__getitem__, self.split(text)))
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.cache.__getitem__, self.split(text)))
 
-    def encode_parts(self, text: str) -> list[tuple[bytes, str]]:
-        """(ids as little-endian 32-bit integers, their tokens joined by spaces) of each piece of the text."""
+    def encode(self, text: str) -> array:
+        """Ids as unsigned 32-bit integers."""
         if self.cut is None or not self.cut.search(text):
-            return self._plain(text)
-        out: list[tuple[bytes, str]] = []
-        for part in self.cut.split(text):
-            if part in self.special:
-                out.append((array("I", [self.special[part]]).tobytes(), part))
-            elif part:
-                out += self._plain(part)
-        return out
-
-    def encode(self, text: str) -> list[int]:
-        ids = array("I")
-        ids.frombytes(b"".join(p[0] for p in self.encode_parts(text)))
-        return list(ids)
+            out = self._plain(text)
+        else:
+            ids = lambda part: array("I", [self.special[part]]).tobytes() if part in self.special else self._plain(part)
+            out = b"".join(map(ids, self.cut.split(text)))
+        return array("I", out)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """Without a decoder in the file, tokens joined by spaces; ids that name no token are left out."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+        try:
+            return " ".join(map(self.tokens.__getitem__, ids))
+        except KeyError:
+            return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
 def read_spec(path: str) -> str:
@@ -173,35 +156,31 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, path: str, full: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; with ``full`` also ids and decoded.
+def encode_documents(docs: DataFrame, path: str, ids: bool = False, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; the ids and the text decoded from them where asked.
 
     A null text is the empty text: no ids, the hashes of nothing. Each row is encoded alone,
     so repeated rows and ids repeat; further columns are ignored.
     """
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    more = [c for c, wanted in (("ids", ids), ("decoded", decoded)) if wanted]
 
     def factory():
         bpe = kept(Bpe, spec.value)
 
         def run(rows):
-            out = {"doc_id": rows["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            if full:
-                out |= {"ids": [], "decoded": []}
+            out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | {c: [] for c in more}
             for text in rows["text"]:
-                parts = bpe.encode_parts(text or "")
-                ids = b"".join([p[0] for p in parts])
-                back = " ".join([p[1] for p in parts])
-                out["n_tokens"].append(len(ids) // 4)
-                out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
-                if full:
-                    out["ids"].append(array("I", ids).tolist())
-                    out["decoded"].append(back)
-            return out
+                got = bpe.encode(text or "")
+                back = bpe.decode(got)
+                sha = hashlib.sha256(got.tobytes()).hexdigest()
+                for c, v in {"n_tokens": len(got), "ids_sha256": sha, "decoded_sha256": hashlib.sha256(back.encode()).hexdigest(), "ids": got, "decoded": back}.items():
+                    if c in out:
+                        out[c].append(v.tolist() if c == "ids" else v)
+            return {"doc_id": rows["doc_id"]} | out
 
         return run
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if full else "")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "") + (", decoded string" if decoded else "")
     d = own_columns(docs, "doc_id", "text")
     return map_rows(d.select(d.doc_id.cast("long"), "text"), factory, schema)

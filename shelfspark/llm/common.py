@@ -24,6 +24,29 @@ U64 = np.uint64
 SLICE = 256
 
 
+_KEPT: dict = {}
+_USED: set = set()
+
+
+def kept(make, spec: str):
+    """``make(spec)``, kept by the Python worker for its next tasks, until a task comes that does not ask for it."""
+    key = make, hash(spec), len(spec)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make(spec)
+    _USED.add(key)
+    return _KEPT[key]
+
+
+def _begun(factory):
+    """``factory()`` at the start of a task; what was kept for other operators goes, so that a worker holds one operator's tables at most."""
+    _USED.clear()
+    f = factory()
+    for k in [k for k in _KEPT if k not in _USED]:
+        del _KEPT[k]
+    return f
+
+
 def map_rows(df: DataFrame, factory, schema: str | T.StructType) -> DataFrame:
     """mapInArrow in slices of at most SLICE rows, so that memory follows the slice, not the task.
 
@@ -36,7 +59,7 @@ def map_rows(df: DataFrame, factory, schema: str | T.StructType) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        f = factory()
+        f = _begun(factory)
         for batch in batches:
             for s in range(0, batch.num_rows, SLICE):
                 out = f(batch.slice(s, SLICE).to_pydict())
@@ -46,6 +69,7 @@ def map_rows(df: DataFrame, factory, schema: str | T.StructType) -> DataFrame:
             out = f.finish()
             if out is not None:
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -171,7 +195,7 @@ def text_udf(factory, schema: str):
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        f = factory()
+        f = _begun(factory)
         for s in batches:
             parts = [pd.DataFrame(f(s.iloc[i : i + SLICE].tolist()), columns=names) for i in range(0, len(s), SLICE)]
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({n: [] for n in names})

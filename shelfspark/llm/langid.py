@@ -1,6 +1,6 @@
 """Language ID with hyperdimensional profiles.
 
-Every letter has a random bipolar vector. A trigram is the product of its letters' vectors,
+Every letter has a random bipolar vector of its own, made from its code point. A trigram is the product of its letters' vectors,
 permuted by their place; a text is the sum of its trigrams; a language is the sum of its
 training texts, each counted once whatever its length. Texts and languages, both less the mean of
 all languages, are compared by cosine.
@@ -12,55 +12,54 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, own_columns
+from .common import map_rows, own_columns, stage
 
 DIM = 512
-SLOTS = 64
 SEED = 7
-#: Profiles are kept for at most so many languages, so that the model is bounded: 4 KB each.
+#: A table with more languages is refused, so that the model is bounded: 4 KB each.
 MOST_LANGUAGES = 10_000
+#: Letters whose vectors a task remembers, DIM bytes each.
+MOST_LETTERS = 20_000
 #: Training sums are whole numbers in these units, so that any order of summing gives the same bits.
 UNIT = float(1 << 30)
 SHARPNESS = 12.0
 
 
-def _slots() -> np.ndarray:
-    """Slot of each code point below 65,536: a-z their own, other letters by remainder, non-letters 0."""
-    out = np.zeros(1 << 16, dtype=np.uint8)
-    for c in range(1 << 16):
-        if "a" <= chr(c) <= "z":
-            out[c] = c - 96
-        elif chr(c).isalpha():
-            out[c] = 27 + c % (SLOTS - 27)
-    return out
-
-
 class Space:
-    """Letters, trigrams and bundles of one dimension and seed."""
+    """Letters, trigrams and bundles of one dimension and seed. A letter's number is its code point; 0 is a boundary."""
 
     def __init__(self, dim: int = DIM, seed: int = SEED):
-        self.dim = dim
-        self.letters = np.random.default_rng(seed).choice(np.array([-1, 1], dtype=np.int8), (SLOTS, dim))
-        self.shifted = [np.roll(self.letters, k, axis=1) for k in (2, 1, 0)]
-        self.slots = _slots()
+        self.dim, self.seed = dim, seed
+        self.letters: dict[int, np.ndarray] = {}
+        self.alpha = np.array([chr(c).isalpha() for c in range(1 << 16)])
+
+    def letter(self, c: int) -> np.ndarray:
+        v = self.letters.get(c)
+        if v is None:
+            if len(self.letters) >= MOST_LETTERS:
+                self.letters.clear()
+            v = self.letters[c] = np.random.default_rng((self.seed, c)).choice(np.array([-1, 1], dtype=np.int8), self.dim)
+        return v
 
     def trigrams(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Distinct trigram codes and their counts; None for a text without letters. Words are padded by one boundary on either side."""
         cp = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-        ids = self.slots[np.minimum(cp, 0xFFFF)]
-        wide = np.flatnonzero(cp > 0xFFFF)
-        for i in wide:
-            c = int(cp[i])
-            ids[i] = 27 + c % (SLOTS - 27) if chr(c).isalpha() else 0
-        if not ids.any():
+        is_letter = self.alpha[np.minimum(cp, 0xFFFF)]
+        for i in np.flatnonzero(cp > 0xFFFF):
+            is_letter[i] = chr(int(cp[i])).isalpha()
+        if not is_letter.any():
             return None
-        ids = np.concatenate(([0], ids, [0])).astype(np.int32)
+        ids = np.concatenate(([0], np.where(is_letter, cp, 0), [0])).astype(np.int64)
         ids = ids[np.concatenate(([True], (ids[1:] != 0) | (ids[:-1] != 0)))]
-        return np.unique(ids[:-2] * (SLOTS * SLOTS) + ids[1:-1] * SLOTS + ids[2:], return_counts=True)
+        return np.unique(ids[:-2] << 42 | ids[1:-1] << 21 | ids[2:], return_counts=True)
 
     def vectors(self, codes: np.ndarray) -> np.ndarray:
-        a, b, c = codes // (SLOTS * SLOTS), codes // SLOTS % SLOTS, codes % SLOTS
-        return (self.shifted[0][a] * self.shifted[1][b] * self.shifted[2][c]).astype(np.float32)
+        mask = (1 << 21) - 1
+        abc = np.stack([codes >> 42, codes >> 21 & mask, codes & mask])
+        own, at = np.unique(abc, return_inverse=True)
+        at = at.reshape(abc.shape)
+        v = np.array([self.letter(c) for c in own.tolist()])
+        return (np.roll(v, 2, axis=1)[at[0]] * np.roll(v, 1, axis=1)[at[1]] * v[at[2]]).astype(np.float32)
 
     def bundles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """One row a text, divided by its number of trigrams; and which texts have letters."""
@@ -100,12 +99,15 @@ def train(docs: DataFrame, dim: int = DIM, seed: int = SEED) -> tuple[list[str],
         return run
 
     rows = own_columns(docs, "text", "lang").where("text is not null and lang is not null")
-    parts = map_rows(rows, factory, "lang string, n long, v array<long>")
+    parts = stage(map_rows(rows, factory, "lang string, n long, v array<long>"), "lang-profiles")
+    n = parts.select("lang").distinct().count()
+    if n > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages; profiles are made for {MOST_LANGUAGES} at most")
     each = parts.select("lang", "n", F.posexplode("v").alias("i", "x"))
     # averages in units fit a long at any number of texts
     got = each.groupBy("lang", "i").agg((F.sum(F.col("x").cast("decimal(38,0)")) / F.sum("n")).cast("double").alias("x"))
     found: dict[str, np.ndarray] = {}
-    for r in got.limit(MOST_LANGUAGES * dim).collect():
+    for r in got.collect():
         found.setdefault(r.lang, np.zeros(dim))[r.i] = r.x / UNIT
     langs = sorted(found)
     return langs, np.array([found[x] for x in langs]).reshape(len(langs), dim)

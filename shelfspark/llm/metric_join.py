@@ -110,14 +110,17 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, b
 
     Links hold between rows with one non-null label, one dimension and cosine >= ``cosine``.
     Vectors that are null, empty, zero or hold null or non-finite components have none. Equal rows
-    count each. Labels are compared as text.
+    count each. Rows that share a vec_id are vectors of their own: each has its own links. A null
+    vec_id links with nothing. Labels are compared as text.
     """
     d = own_columns(vectors, "vec_id", "label", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = stage(_vectors(d), "metric-rows")
     used = rows.where("key is not null and vec_id is not null")
-    once = stage(used.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")), "metric-once")
-    reps = used.alias("u").join(once.alias("o"), F.expr("u.label = o.label and u.dim = o.dim and u.key = o.key and u.vec_id = o.rep")).select("u.label", "u.dim", "u.vec_id", "o.w", "u.unit").dropDuplicates(["label", "dim", "vec_id", "unit"])
-    reps = stage(reps, "metric-reps")
+    # a distinct vector is a node; its number holds as the table is written
+    once = used.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"))
+    once = stage(once.withColumn("node", F.monotonically_increasing_id()), "metric-once")
+    reps = used.alias("u").join(once.alias("o"), F.expr("u.label = o.label and u.dim = o.dim and u.key = o.key and u.vec_id = o.rep"))
+    reps = stage(reps.select("u.label", "u.dim", F.col("o.node").alias("vec_id"), "o.w", "u.unit").dropDuplicates(["vec_id"]), "metric-reps")
     r = math.sqrt(2 - 2 * cosine)
     # vectors are pivots by their hash, so that a label has about one for each CELL; bounded over all labels
     sizes = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > cell)
@@ -138,6 +141,9 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, b
     links = stage(blocks.groupBy("label", "dim", "cell", "i", "j").applyInPandas(_block(cosine), "vec_id long, n long, least long"), "metric-links")
     n = links.groupBy("vec_id").agg(F.sum("n").alias("n"))
     comps = components(links.where("vec_id <> least").select(F.col("vec_id").alias("a"), F.col("least").alias("b")).distinct())
-    of_rep = once.join(n, F.col("rep") == F.col("vec_id")).drop("vec_id").join(comps, F.col("rep") == F.col("node"), "left").select("label", "dim", "key", (F.col("n") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = rows.join(of_rep, ["label", "dim", "key"], "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("c", "vec_id")).alias("component_id"))
+    nodes = once.join(n, F.col("node") == F.col("vec_id")).join(comps.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    nodes = stage(nodes.select("label", "dim", "key", "rep", (F.col("n") - 1).alias("n"), F.coalesce("component", "node").alias("top")), "metric-nodes")
+    least = stage(nodes.groupBy("top").agg(F.min("rep").alias("c")), "metric-components")
+    of_rep = nodes.join(least, "top").select("label", "dim", "key", "n", "c")
+    out = rows.withColumn("key", F.when(F.col("vec_id").isNotNull(), F.col("key"))).join(of_rep, ["label", "dim", "key"], "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("c", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

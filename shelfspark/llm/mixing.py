@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import own_columns, stage
+from .common import own_columns, packed, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A plan of at most so many sources (some 100 bytes each) is broadcast; a larger one is joined by shuffle.
@@ -71,10 +71,20 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs:
     The cut is found from sums over 256 key buckets a source, then over 256 inside the one that
     holds it; only the last bucket's rows are ordered one by one. Null or empty texts have size 0; an empty table gives an empty
     table; equal rows count once each; a null doc_id is a document like others; further
-    columns are ignored.
+    columns are ignored. A source without any words has the target 0 and repeats 0.
     """
+    sizes = stage(_sized(own_columns(docs, "doc_id", "source", "text"), seed), "mix-sizes")
+    rows = _take(sizes, _plan(sizes, weights, max_epochs, share))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
+
+
+def _sized(docs: DataFrame, seed: int, *more: str) -> DataFrame:
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sizes = stage(own_columns(docs, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "mix-sizes")
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *more)
+
+
+def _plan(sizes: DataFrame, weights: Sequence[int], max_epochs: int, share: float) -> DataFrame:
+    """One row a source: source_size, target, whole, rest, and the last bucket with the words before it."""
     bucket = F.substring("key", 1, DIGITS)
     coarse = sizes.groupBy("source", F.substring("key", 1, DIGITS // 2).alias("bucket")).agg(F.sum("size").alias("words"))
     targets = source_targets(coarse.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs, share)
@@ -86,23 +96,34 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs:
     cut = stage(_cut(targets, coarse), "mix-cut")
     inside = sizes.alias("d").join((F.broadcast(cut) if few else cut).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & F.startswith("key", F.col("cut")))
     fine = inside.groupBy("d.source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-    plan = stage(_cut(cut.drop("cut"), fine), "mix-plan")
-    side = F.broadcast(plan) if few else plan
-    rows = sizes.alias("d").join(side.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(
-        "doc_id", "d.source", "size", "source_size", "target", "whole", "rest", "cut", "base", "key", bucket.alias("bucket")
-    )
+    return stage(_cut(cut.drop("cut"), fine), "mix-plan")
+
+
+def _take(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """sizes with their source's plan and repeats. Only rows of the last buckets are shuffled if the plan is small."""
+    side = F.broadcast(plan) if plan.count() <= MOST_BROADCAST else plan
+    rows = sizes.alias("d").join(side.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    rows = rows.select("d.*", "source_size", "target", "whole", "rest", "cut", "base", F.substring("key", 1, DIGITS).alias("bucket"))
     is_cut = F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False))
-    before = W.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
+    ties = ["tie"] if "tie" in sizes.columns else []
+    before = W.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first(), "size", *ties).rowsBetween(W.unboundedPreceding, -1)
     start = F.col("base") + F.coalesce(F.sum("size").over(before), F.lit(0))
-    at_cut = rows.where(is_cut).withColumn("extra", (start + F.col("size") / F.lit(2.0) <= F.col("rest")))
-    clear = rows.where(~is_cut).withColumn("extra", F.coalesce(F.col("bucket") < F.col("cut"), F.lit(False)))
-    repeats = F.col("whole") + F.col("extra").cast("long")
-    return clear.unionByName(at_cut).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))
-
-
-def repeat_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as the mix takes it, with docs' own columns."""
-    mixed = mix_sources(docs, **options).groupBy("doc_id").agg(F.max("repeats").alias("__n"))
-    n = F.col("__m.__n")
-    out = docs.alias("__d").join(mixed.alias("__m"), F.col("__d.doc_id").eqNullSafe(F.col("__m.doc_id")))
-    return out.where(n > 0).select("__d.*", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("__i")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # no rest, no extra: rows of size 0 too stay within the epochs
+    at_cut = rows.where(is_cut).withColumn("extra", (F.col("rest") > 0) & (start + F.col("size") / F.lit(2.0) <= F.col("rest")))
+    clear = rows.where(~is_cut).withColumn("extra", (F.col("rest") > 0) & F.coalesce(F.col("bucket") < F.col("cut"), F.lit(False)))
+    return clear.unionByName(at_cut).withColumn("repeats", F.col("whole") + F.col("extra").cast("long"))
+
+
+def repeat_rows(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, share: float = 1.0, seed: int = 17) -> DataFrame:
+    """The mix itself: each row of docs as often as the mix takes that row, with docs' own columns, whatever their names.
+
+    Rows that share a doc_id or have none are decided one by one, each by its own source. A null
+    or empty text comes as often as its source's whole epochs and its place in the fractional one
+    say; a source without any words does not come at all.
+    """
+    own = own_columns(docs, "doc_id", "source", "text")
+    plan = _plan(stage(_sized(own, seed), "mix-sizes"), weights, max_epochs, share)
+    c = lambda name: docs[f"`{name}`"]
+    rows = packed(docs, doc_id=c("doc_id"), source=c("source"), text=c("text"), tie=F.xxhash64(c("text")))
+    taken = _take(_sized(rows, seed, "tie", "row"), plan).where("repeats > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select("row.*")

@@ -219,3 +219,168 @@ def test_pipeline(spark, tmp_path):
     ids = {r.doc_id for r in out}
     assert out and not ids & {1000, 1001, 1002, 1003, 1004} and len(ids & toxic) <= 2
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "secrets", "mixing", "bpe"]
+
+
+def test_language_against_loops(spark):
+    """The whole method again, letter by letter, without the module's own steps."""
+    r = random.Random(8)
+    words = {"aa": "häuser über straße gäste", "bb": "дом река небо", "cc": "山水 火山 日本語 東京"}
+    rows = [(i, " ".join(r.choice(words[k].split()) for _ in range(r.randint(1, 12))), k) for i in range(60) for k in [r.choice(list(words))]]
+    rows += [(100, "Река Häuser 山", None), (101, "東京 12 reka", "aa"), (102, "ÜBER", None)]
+    dim, seed, vectors = 256, 3, {}
+
+    def letter(c):
+        if c not in vectors:
+            vectors[c] = np.random.default_rng((seed, c)).choice(np.array([-1, 1], dtype=np.int8), dim).astype(float)
+        return vectors[c]
+
+    def bundle(text):
+        s = [0]
+        for ch in text.lower():
+            c = ord(ch) if ch.isalpha() else 0
+            if c or s[-1]:
+                s.append(c)
+        s += [0] if s[-1] else []
+        grams = [np.roll(letter(s[i]), 2) * np.roll(letter(s[i + 1]), 1) * letter(s[i + 2]) for i in range(len(s) - 2)]
+        return np.sum(grams, axis=0) / len(grams)
+
+    learnt = {}
+    for i, t, k in rows:
+        if k and zlib.crc32(str(i).encode()) % 5:
+            learnt.setdefault(k, []).append(bundle(t))
+    langs = sorted(learnt)
+    p = np.array([np.mean(learnt[k], axis=0) for k in langs])
+    mean = p.mean(axis=0)
+    got = {x.doc_id: x for x in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dim=dim, seed=seed).collect()}
+    for i, t, _ in rows:
+        v = bundle(t) - mean
+        cos = np.array([v @ (x - mean) / np.linalg.norm(v) / np.linalg.norm(x - mean) for x in p])
+        e = np.exp(langid.SHARPNESS * cos)
+        assert got[i].lang_pred == langs[int(cos.argmax())] and abs(got[i].score - e.max() / e.sum()) < 1e-4
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    rows = [(i, "abc def", f"l{i % 3}") for i in range(30)]
+    with pytest.raises(ValueError, match="3 languages"):
+        langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def test_toxicity_score_against_brute_force(spark):
+    """Given the evidence of words: best intervals by trying all, damping, and the curve, without the module's own steps."""
+    import math
+
+    rows, labels = toxic_rows(n=300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    y = spark.createDataFrame(labels, "doc_id long, toxic int")
+    m = toxicity.train(docs, y)
+    assert m.evidence
+
+    def evidence(word):
+        w = word.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").lower()
+        for f in [f"={w}", *(w[:k] for k in range(8, 2, -1) if k <= len(w))]:
+            if w and f in m.evidence:
+                return m.evidence[f] if m.evidence[f] > toxicity.LEAST else -m.drift
+        return -m.drift
+
+    def best(s, a, b):
+        top, at = 1e-12, None
+        for i in range(a, b):
+            t = 0.0
+            for j in range(i, b):
+                t += s[j]
+                if t > top + 1e-12:
+                    top, at = t, (i, j + 1)
+        return [] if at is None else [*best(s, a, at[0]), at, *best(s, at[1], b)]
+
+    got = {x.doc_id: x for x in toxicity.score_documents(docs, y).collect()}
+    for i, text in rows[:60]:
+        w = text.split()
+        s = [evidence(x) for x in w]
+        came, sig = Counter(), []
+        for a, b in best(s, 0, len(s)):
+            seen, run, top = Counter(), 0.0, 0.0
+            for k in range(a, b):
+                e = -m.drift
+                if s[k] > 0:
+                    seen[w[k]] += 1
+                    e = s[k] / seen[w[k]] if s[k] / seen[w[k]] > toxicity.LEAST else -m.drift
+                run = max(0.0, run) + e
+                top = max(top, run)
+            key = tuple(w[k] for k in range(a, b) if s[k] > 0)
+            came[key] += 1
+            excess = m.lam * top - math.log(m.k * max(len(w), 2))
+            if excess > 0:
+                sig.append((excess, came[key]))
+        z = m.coef[0] + (m.coef[1] * max(sig)[0] + m.coef[2] * math.log1p(sum(e / t for e, t in sig)) if sig else 0.0)
+        assert abs(got[i].score - 1 / (1 + math.exp(-z))) < 1e-6, i
+
+
+def test_toxicity_keeps_columns_of_any_name(spark):
+    rows, labels = toxic_rows(n=150)
+    rows += [(900, None), (901, ""), (900, None)]
+    docs = spark.createDataFrame([(i, t, "a", 1, 2) for i, t in rows], "doc_id long, text string, __toxic string, found int, row int")
+    y = spark.createDataFrame(labels, "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, y)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert {tuple(x)[2:] for x in got} == {("a", 1, 2)} and sum(x.doc_id == 900 for x in got) == 2 and len(got) < len(rows)
+    assert toxicity.drop_toxic(docs.where("false"), y).count() == 0
+
+
+def test_vectors_of_one_id_have_their_own_links(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [1.0, 0.01], "a"), (3, [0.01, 1.0], "a"), (4, [0.02, 1.0], "a"), (1, [0.0, 1.0], "b"), (9, [0.0, 1.0], "b"), (None, [1.0, 0.0], "a")]
+    got = metric_join.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert Counter((x.vec_id, x.n_links, x.component_id) for x in got) == Counter([(1, 1, 1), (2, 1, 1), (1, 2, 1), (3, 2, 1), (4, 2, 1), (1, 1, 1), (9, 1, 1), (None, 0, None)])
+
+
+def test_one_of_the_rows_of_an_id_stays(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, 1, "g"), (1, "quite another text of some words", 2, "g"), (2, long, 3, "g"), (3, None, 4, "g"), (3, "", 5, "g"), (None, long, 6, "g"), (None, long, 6, "g"), (4, "own text", 7, "g"), (4, "own text", 7, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, __gone string").withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    first = jaccard.keep_one(docs).drop("m").collect()
+    assert Counter(x.doc_id for x in first) == Counter([1, 3, 4, None, None]) and jaccard.keep_one(docs).columns == docs.columns
+    again = jaccard.keep_one(docs.repartition(3)).drop("m").collect()
+    assert sorted(map(str, first)) == sorted(map(str, again))
+    assert jaccard.keep_one(docs.where("false")).count() == 0
+
+
+def test_pipeline_of_hard_rows(spark, tmp_path):
+    """Each stage's rows against what it says, with clashing columns, nulls, repeated rows, and without any row."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from shelfspark.llm.queries import vocabulary
+
+    rows, labels = toxic_rows(n=150)
+    rows += [(900, None), (901, ""), (None, rows[1][1] + " tail of a text"), (902, rows[2][1]), (902, rows[2][1]), (903, "password=abcdef1234 " + "plain " * 30_000)]
+    more = ("c", "n", "r", 1)
+    docs = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 4}", len(t or ""), *more) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __clean string, component_id string, row string, repeats int")
+    spark.createDataFrame([(i, 1, v) for i, v in labels], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    toxic, sf = {i for i, v in labels if v}, str(tmp_path)
+    for d in (docs, docs.where("false")):
+        before = d
+        for name, stage in corpus_pipeline.STAGES:
+            at = f"{tmp_path}/{name}-{d is docs}"
+            stage(spark, before, sf).write.parquet(at)
+            after = spark.read.parquet(at)
+            old, new = before.collect(), after.collect()
+            if name != "bpe":
+                assert after.columns == docs.columns
+            if d is not docs:
+                assert not new
+            elif name == "toxicity":
+                assert {x.doc_id for x in old} - {x.doc_id for x in new} <= toxic and {x.doc_id for x in new} >= {900, 901, 902, 903, None}
+            elif name == "near_duplicates":
+                ids = Counter(x.doc_id for x in new)
+                assert 902 not in ids and ids[None] == 1 and ids[900] == ids[901] == 1 and set(ids.values()) == {1}
+            elif name == "secrets":
+                assert sorted(str(x.doc_id) for x in new) == sorted(str(x.doc_id) for x in old)
+                assert next(x.text for x in new if x.doc_id == 903).startswith("[SECRET] plain") and next(x.text for x in new if x.doc_id == 900) is None
+                assert all(x.n_chars == (None if x.text is None else len(x.text)) for x in new)
+            elif name == "mixing":
+                assert {tuple(x) for x in new} <= {tuple(x) for x in old} and max(Counter(x.doc_id for x in new).values()) <= 3
+            else:
+                t, text = Tokenizer.from_file(vocabulary()), {x.doc_id: x.text for x in old}
+                assert len(new) == len(old) and all(list(x.ids) == t.encode(text[x.doc_id] or "", add_special_tokens=False).ids for x in new)
+            before = after
