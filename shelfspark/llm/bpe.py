@@ -51,7 +51,7 @@ class Remembered(dict):
 class Bpe:
     """A byte-level BPE with word ends, from the JSON of a tokenizer file."""
 
-    def __init__(self, spec: str, most_cached: int = 250_000):
+    def __init__(self, spec: str, most_cached: int = 120_000):
         j = json.loads(spec)
         model = j["model"]
         self.vocab: dict[str, int] = model["vocab"]

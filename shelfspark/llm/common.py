@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -22,6 +22,8 @@ from ..shipping import ship
 
 U64 = np.uint64
 SLICE = 256
+#: Rows of an Arrow batch.
+ROWS = 1000
 
 
 _KEPT: dict = {}
@@ -163,12 +165,24 @@ def shingles(h: np.ndarray, n: int = 5) -> np.ndarray:
     return g[np.concatenate(([True], g[1:] != g[:-1]))]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ROWS at most, for texts can be long: a batch is held by the executor and by its Python worker, as Arrow data and as objects."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS:
+        spark.conf.set(key, ROWS)
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns, by exact name; any others (clashing or not) stay outside the operator. Every operator starts here, so executors get the package here."""
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.select(*[df[f"`{n}`"].alias(n) for n in names])
 
 
+def total_bytes(df: DataFrame, col: str = "text") -> int:
+    return df.agg(F.sum(F.octet_length(col).cast("long"))).first()[0] or 0
+
+
 def packed(df: DataFrame, **more: Column) -> DataFrame:
     """``row``, a struct of all columns of df whatever their names, and further columns beside it; ``select("row.*")`` undoes it."""
     return df.select(F.struct(*[df[f"`{c}`"].alias(c) for c in df.columns]).alias("row"), *[v.alias(k) for k, v in more.items()])

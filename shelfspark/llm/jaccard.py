@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, map_rows, own_columns, packed, shingles, stage, word_hashes
 from .components import components
-from .repeats import SENT, SENT_COLUMNS, among, answers_with_busy, batch_of, batches, distinct_of_documents, send, unpack_with_spread
+from .repeats import SENT, SENT_COLUMNS, among, answers_with_busy, batch_of, batches, buckets, distinct_of_documents, send, unpack_with_spread
 
 SIMILARITY = 75  # percent
 COUNTERS_LOG2, BLOCKS = 24, 16
@@ -130,7 +130,8 @@ def _shared(rows: DataFrame, heads: DataFrame, spark) -> DataFrame:
     those that others have too, pop of them together; heads with none are left out.
 
     heads: (gid, prefix_key) of the rows that count."""
-    m = batches(spark)
+    # prefixes are a quarter of the sets, 8 bytes an element
+    m, into = batches(spark, 2 * (rows.agg(F.sum("n")).first()[0] or 0)), buckets(spark)
     by = rows.select("doc_id", "n", "prefix_key", "prefix", batch_of(m, "doc_id").alias("batch")).groupBy("batch")
     heads = heads.select(batch_of(m, "gid").alias("batch"), "gid", "prefix_key")
 
@@ -144,7 +145,7 @@ def _shared(rows: DataFrame, heads: DataFrame, spark) -> DataFrame:
         if not own:
             return pd.DataFrame(columns=SENT_COLUMNS)
         keys, many = distinct_of_documents([turned(x) for _, _, x in own])
-        return send(int(rows["batch"].iloc[0]), keys, many, m)
+        return send(int(rows["batch"].iloc[0]), keys, many, into)
 
     def second(rows: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
         (again, busy), out = unpack_with_spread(its[its["keys"].notna()]), []

@@ -3,9 +3,10 @@
 On unit vectors, cosine >= c is distance <= r = sqrt(2 - 2c). Pivots cut a label's vectors into
 cells, each vector at home in the cell of its nearest pivot. By the triangle inequality a vector can
 be within r of another that is at home in cell i only if it lies within r of the plane between
-pivot i and its own; it is copied into those cells. A cell then counts, for each vector at home
-in it, all links, apart from all other cells. Large cells are dealt out in blocks. Equal vectors are
-joined once, with their number.
+pivot i and its own; it is copied into those cells. A cell that is still large is cut again by pivots
+of its own, as long as that copies few vectors. A cell then counts, for each vector at home
+in it, all links, apart from all other cells; what is large and can't be cut is dealt out in blocks.
+Equal vectors are joined once, with their number.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from .common import map_rows, own_columns, stage
 from .components import components
 
 COSINE = 0.93
-#: A label gets a pivot for so many vectors; all labels together at most MOST_PIVOTS.
-CELL, MOST_PIVOTS = 4096, 4096
+#: A cell with more vectors at home is cut, by about one pivot for each CELL of them, at most PIVOTS.
+CELL, PIVOTS = 4096, 64
+#: A cut pays if the comparisons left, as a part of those before, times the copies of each vector are at most this.
+PAYS = 0.5
 #: Rows of a block on either side.
 BLOCK = 4096
 
@@ -52,30 +55,62 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return map_rows(rows, factory, "vec_id long, label string, dim int, key binary, unit binary")
 
 
-def _cells(rows: DataFrame, pivots: dict, r: float) -> DataFrame:
-    """label, dim, cell, home, vec_id, w, unit: one row for a vector's own cell and one for each it is copied to."""
+CELLS = "label string, dim int, cell string, home boolean, vec_id long, w long, unit binary"
 
-    def factory():
-        apart = {g: np.sqrt(np.maximum(2 - 2 * p @ p.T, 0)) for g, p in pivots.items()}
 
-        def run(rows):
-            out = {c: [] for c in ("label", "dim", "cell", "home", "vec_id", "w", "unit")}
-            for label, dim, vec_id, w, unit in zip(*(rows[c] for c in ("label", "dim", "vec_id", "w", "unit"))):
-                p = pivots.get((label, dim))
-                if p is None:
-                    near, own = [0], 0
-                else:
-                    d2 = 2 - 2 * (p @ np.frombuffer(unit))
-                    own = int(d2.argmin())
-                    near = np.flatnonzero(d2 - d2[own] <= 2 * apart[label, dim][own] * r + 1e-9).tolist()
-                for i in near:
-                    for c, v in zip(out, (label, dim, i, i == own, vec_id, w, unit)):
-                        out[c].append(v)
-            return out
+def _split(r: float):
+    """Vectors of a part of a cell, and the cell's pivots -> one row for a vector's own new cell and one for each it is copied to."""
+
+    def run(rows: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame(columns=[c.split()[0] for c in CELLS.split(", ")])
+        p = np.frombuffer(b"".join(its.sort_values("vec_id")["unit"]), dtype=np.float64).reshape(len(its), -1)
+        v = np.frombuffer(b"".join(rows["unit"]), dtype=np.float64).reshape(len(rows), -1)
+        d2 = 2 - 2 * (v @ p.T)
+        own = d2.argmin(1)
+        apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))
+        near = d2 - d2[np.arange(len(v)), own][:, None] <= 2 * apart[own] * r + 1e-9
+        i, j = np.nonzero(near)
+        out = rows.iloc[i].drop(columns="part").reset_index(drop=True)
+        return out.assign(cell=out["cell"] + "." + pd.Series(j).astype(str), home=out["home"] & (j == own[i]))
+
+    return run
 
-        return run
 
-    return map_rows(rows, factory, "label string, dim int, cell int, home boolean, vec_id long, w long, unit binary")
+def _cells(reps: DataFrame, r: float, cell: int) -> DataFrame:
+    """label, dim, cell, home, vec_id, w, unit of all cells, cut as often as it helps. A row a cell and its pivots are tables; none meets on the driver."""
+    key = ["label", "dim", "cell"]
+    open_, done = stage(reps.select("label", "dim", F.lit("").alias("cell"), F.lit(True).alias("home"), "vec_id", "w", "unit"), "metric-cells"), None
+    while True:
+        size = stage(open_.groupBy(*key).agg(F.count_if("home").alias("homes"), F.count("*").alias("all")), "metric-sizes")
+        large = size.where(F.col("homes") > cell)
+        # by a hash that differs from level to level, so that each cell has pivots of its own
+        lot = F.pmod(F.xxhash64(F.lit("pivot"), "cell", "vec_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        wanted = F.least(F.col("homes") / F.lit(cell) + 1, F.lit(PIVOTS))
+        pivots = open_.where("home").join(large, key).where(lot < wanted / F.col("homes")).select(*key, "vec_id", "unit")
+        pivots = stage(pivots, "metric-pivots")
+        cut = stage(pivots.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n").between(2, 4 * PIVOTS)), "metric-cut")
+        if cut.isEmpty():
+            return open_ if done is None else done.unionByName(open_)
+        parts = F.greatest(F.lit(1), F.ceil(F.col("all") / BLOCK)).cast("int")
+        rows = open_.join(size.join(cut.select(*key), key).select(*key, parts.alias("parts")), key)
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+        its = pivots.join(size.join(cut.select(*key), key).select(*key, parts.alias("parts")), key)
+        its = its.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "unit")
+        new = stage(rows.groupBy(*key, "part").cogroup(its.groupBy(*key, "part")).applyInPandas(_split(r), CELLS), "metric-cells")
+        came = new.groupBy(*key).agg(F.count_if("home").cast("double").alias("h"), F.count("*").cast("double").alias("n"))
+        came = came.groupBy("label", "dim", F.regexp_replace("cell", r"\.[0-9]+$", "").alias("cell")).agg(F.sum("n").alias("n"), F.sum(F.col("h") * F.col("n")).alias("work"))
+        pays = F.col("work") / (F.col("homes") * F.col("all")) * F.col("n") / F.col("all") <= PAYS
+        good = stage(came.join(size, key).where(pays).select(*key), "metric-good")
+        # what was not cut, or to no use, is done; cells of a cut that helped go on
+        rest = open_.join(good, key, "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        parent = F.regexp_replace("n.cell", r"\.[0-9]+$", "")
+        g = good.alias("g")
+        open_ = new.alias("n").join(g, (F.col("n.label") == F.col("g.label")) & (F.col("n.dim") == F.col("g.dim")) & (parent == F.col("g.cell")), "left_semi")
+        if good.isEmpty():
+            return done
+        open_ = stage(open_, "metric-cells")
 
 
 def _block(cosine: float):
@@ -122,16 +157,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, b
     reps = used.alias("u").join(once.alias("o"), F.expr("u.label = o.label and u.dim = o.dim and u.key = o.key and u.vec_id = o.rep"))
     reps = stage(reps.select("u.label", "u.dim", F.col("o.node").alias("vec_id"), "o.w", "u.unit").dropDuplicates(["vec_id"]), "metric-reps")
     r = math.sqrt(2 - 2 * cosine)
-    # vectors are pivots by their hash, so that a label has about one for each CELL; bounded over all labels
-    sizes = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > cell)
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    part = min(1.0 / cell, MOST_PIVOTS / max(1, total))
-    lot = F.pmod(F.xxhash64(F.lit("pivot"), "vec_id"), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))
-    pivots: dict[tuple, list] = {}
-    for x in reps.where(lot).join(sizes, ["label", "dim"]).select("label", "dim", "vec_id", "unit").orderBy("vec_id").limit(2 * MOST_PIVOTS).collect():
-        pivots.setdefault((x.label, x.dim), []).append(np.frombuffer(bytes(x.unit)))
-    pivots = {g: np.array(p) for g, p in pivots.items() if len(p) > 1}
-    cells = stage(_cells(reps, pivots, r), "metric-cells")
+    cells = _cells(reps, r, cell)
     count = cells.groupBy("label", "dim", "cell").agg(F.ceil(F.sum(F.col("home").cast("long")) / block).cast("int").alias("nx"), F.ceil(F.count("*") / block).cast("int").alias("ny"))
     cells = cells.join(count.where("nx > 0"), ["label", "dim", "cell"])
     lot = F.xxhash64("vec_id")

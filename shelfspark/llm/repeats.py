@@ -19,11 +19,19 @@ SENT_COLUMNS = ["bucket", "batch", "keys", "many"]
 ANSWER = "batch int, keys binary"
 
 
-def batches(spark: SparkSession) -> int:
-    """Batches for the session's number of shuffle partitions, which is set by the data's size."""
+#: Bytes of a batch, about; a task holds one batch.
+BATCH_BYTES = 64 << 20
+
+
+def buckets(spark: SparkSession) -> int:
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def batches(spark: SparkSession, size: int) -> int:
+    """Batches for ``size`` bytes of documents: two a shuffle partition, or more so that each is of BATCH_BYTES at most."""
+    return max(buckets(spark), -(-size // BATCH_BYTES))
+
+
 def batch_of(n: int, *cols: str):
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 

@@ -25,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, grams, mix64, own_columns, stage, word_hashes
+from .common import U64, grams, mix64, own_columns, stage, total_bytes, word_hashes
 from .fm_index import FmIndex
-from .repeats import SENT, answers_with_spread, batch_of, batches, distinct_of_documents, runs, send, unpack_with_spread
+from .repeats import SENT, answers_with_spread, batch_of, batches, buckets, distinct_of_documents, runs, send, unpack_with_spread
 
 WINDOW, GRAM = 13, 5
 #: An anchor that one in so many batches holds is dealt out by second anchors too.
@@ -225,14 +225,14 @@ def remove_repeats(docs: DataFrame, full: bool = False) -> DataFrame:
     input. Words are compared by 64-bit hashes, 13 in a row.
     """
     spark = docs.sparkSession
-    n = batches(spark)
     d = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n, into = batches(spark, 4 * total_bytes(d)), buckets(spark)  # words and their hashes take some three times the text
     d = d.withColumn("batch", batch_of(n, "doc_id", "text"))
     rows = d.groupBy("batch")
-    found = stage(answers_with_spread(rows.applyInPandas(_send_anchors(n), SENT), max(2, n // SPREAD)), "substring-anchors")
-    segments = rows.cogroup(found.groupBy("batch")).applyInPandas(_send_segments(n), SEGMENTS)
+    found = stage(answers_with_spread(rows.applyInPandas(_send_anchors(into), SENT), max(2, n // SPREAD)), "substring-anchors")
+    segments = rows.cogroup(found.groupBy("batch")).applyInPandas(_send_segments(into), SEGMENTS)
     marks = segments.groupBy("shard").applyInPandas(_search, MARKS)
-    close = _close(n)
+    close = _close(into)
 
     def last(own: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
         out = close(own, sent)

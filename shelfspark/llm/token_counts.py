@@ -68,7 +68,7 @@ class PieceCounter:
 class TextCounter:
     """Piece counts of texts; words are normalized and split as the vocabulary's tokenizer does."""
 
-    def __init__(self, spec: str, most: int = 250_000):
+    def __init__(self, spec: str, most: int = 120_000):
         self.bpe = Bpe(spec)
         self.pieces = PieceCounter([tuple(self.bpe._symbols(t)) for t in self.bpe.vocab])
         self.counts = Remembered(self._word, most)

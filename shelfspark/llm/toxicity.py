@@ -85,7 +85,7 @@ class Model:
 
 
 class WordScores(dict):
-    def __init__(self, model: Model, most: int = 200_000):
+    def __init__(self, model: Model, most: int = 120_000):
         super().__init__()
         self.model, self.most = model, most
 
