@@ -23,9 +23,23 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The application's folder in the shared one; it goes when the driver ends."""
+    sc = spark.sparkContext
+    own = getattr(sc, "_shelfspark_own_dir", None)
+    if own is None:
+        own = f"{shared_dir(spark)}/shelfspark/{sc.applicationId}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc._shelfspark_own_dir = own
+    return own
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back; the planner then knows real sizes."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/shelfspark/{name}-{uuid.uuid4().hex}"
+    at = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
