@@ -57,12 +57,13 @@ def distinct_of_documents(per_doc: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return keys, n > 1
 
 
-def send(batch: int, keys: np.ndarray, many: np.ndarray, buckets: int) -> pd.DataFrame:
-    """One row a bucket; keys must be sorted. A key's bucket is its top bits' share of the range."""
+def send(batch: int, keys: np.ndarray, many: np.ndarray, buckets: int, kinds: np.ndarray | None = None) -> pd.DataFrame:
+    """One row a bucket; keys must be sorted. A key's bucket is its top bits' share of the range. kinds: a number a key, to be added up."""
     at = np.searchsorted(keys, np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=U64))
-    parts = list(zip(range(buckets), np.split(keys, at), np.split(many, at)))
-    rows = [(b, batch, k.tobytes(), m.tobytes()) for b, k, m in parts if len(k)]
-    return pd.DataFrame(rows, columns=SENT_COLUMNS)
+    each = [keys, many] if kinds is None else [keys, many, kinds]
+    parts = zip(range(buckets), *(np.split(x, at) for x in each))
+    rows = [(b, batch, *(x.tobytes() for x in p)) for b, *p in parts if len(p[0])]
+    return pd.DataFrame(rows, columns=[*SENT_COLUMNS, "kinds"][: 2 + len(each)])
 
 
 def answer(rows: pd.DataFrame) -> pd.DataFrame:
@@ -80,11 +81,15 @@ def answers(sent: DataFrame) -> DataFrame:
 
 
 def answers_with_spread(sent: DataFrame, wide: int) -> DataFrame:
-    """answers, and which of their keys ``wide`` batches or more have sent."""
+    """answers, and which of their keys have ``wide`` kinds or more, all batches together."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        uniq, n = runs(np.sort(np.concatenate([np.frombuffer(k, dtype=U64) for k in rows["keys"]])))
-        uniq = uniq[n >= wide]
+        keys = np.concatenate([np.frombuffer(k, dtype=U64) for k in rows["keys"]])
+        kinds = np.concatenate([np.frombuffer(k, dtype=np.uint16) for k in rows["kinds"]])
+        order = np.argsort(keys, kind="stable")
+        uniq, n = runs(keys[order])
+        total = np.add.reduceat(kinds[order].astype(np.int64), np.cumsum(n) - n) if len(n) else n
+        uniq = uniq[total >= wide]
         out = answer(rows)
         return out.assign(spread=[among(np.frombuffer(k, dtype=U64), uniq).tobytes() for k in out["keys"]])
 

@@ -5,7 +5,7 @@ Every window has an anchor, the 5-gram of least hash inside it, so equal windows
 1. Anchors that occur in one document only are set aside (``repeats``).
 2. Around each other anchor, the words of its windows make a segment. A batch of documents sends each
    distinct segment once, with the least doc_id, to the shard that the anchor's hash names; where
-   very many batches hold an anchor, its windows are dealt out further by their second anchor.
+   an anchor has very many different surroundings, its windows are dealt out further by their second anchor.
 3. A shard builds a compressed FM-index over its distinct segments and streams them through it: the
    backward search gives, for each end of a window, how many words match and the earliest document
    that has the match. Intervals of 13 words or more are reported with that document.
@@ -30,17 +30,18 @@ from .fm_index import FmIndex
 from .repeats import SENT, answers_with_spread, batch_of, batches, buckets, distinct_of_documents, runs, send, unpack_with_spread
 
 WINDOW, GRAM = 13, 5
-#: An anchor that one in so many batches holds is dealt out by second anchors too.
-SPREAD = 4
+#: An anchor with so many different surroundings, counted in each batch, is dealt out by second anchors too.
+SPREAD = 4096
 
 
 def _least(g: np.ndarray, m: int, places: int, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(hash, place) of the least of g[i], ..., g[i + places - 1] for each i below m, leftmost of equal ones, without place but[i]."""
+    if but is None:
+        at = np.lib.stride_tricks.sliding_window_view(g[: m + places - 1], places).argmin(1) + np.arange(m)
+        return g[at], at
     best, at = np.full(m, np.iinfo(np.uint64).max, dtype=U64), np.full(m, -1, dtype=np.int64)
     for j in range(places):
-        less = (g[j : j + m] < best) | (at < 0)
-        if but is not None:
-            less &= but != j + np.arange(m)
+        less = ((g[j : j + m] < best) | (at < 0)) & (but != j + np.arange(m))
         best[less] = g[j : j + m][less]
         at[less] = j
     return best, at + np.arange(m)
@@ -65,6 +66,20 @@ def anchors(h: np.ndarray, window: int = WINDOW, gram: int = GRAM, second: bool
     return (best[first], first, np.diff(np.append(first, m)), *(x[first] for x in more))
 
 
+def _around(h: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A number for the surroundings of each anchor: the words at either end of its windows."""
+    return mix64(h[start] + U64(3) * h[start + n + WINDOW - 2] + n.astype(U64)) if len(start) else np.empty(0, dtype=U64)
+
+
+def _kinds(anchor: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """How many different surroundings each distinct anchor has, in the anchors' order; 65,535 at most."""
+    order = np.lexsort((around, anchor))
+    a, b = anchor[order], around[order]
+    first = np.concatenate(([len(a) > 0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    _, n = runs(a[first[: len(a)]])
+    return np.minimum(n, 65_535).astype(np.uint16)
+
+
 class Batch:
     """The documents of a batch, in one order whatever order they come in; those without doc_id last."""
 
@@ -100,8 +115,11 @@ class Batch:
 
 def _send_anchors(buckets: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, many = distinct_of_documents([runs(np.sort(d[3][0]))[0] for d in Batch(rows).docs])
-        return send(int(rows["batch"].iloc[0]), keys, many, buckets)
+        docs = Batch(rows).docs
+        keys, many = distinct_of_documents([runs(np.sort(d[3][0]))[0] for d in docs])
+        anchor = np.concatenate([d[3][0] for d in docs])
+        kinds = _kinds(anchor, np.concatenate([_around(d[2], *d[3][1:]) for d in docs]))
+        return send(int(rows["batch"].iloc[0]), keys, many, buckets, kinds)
 
     return run
 
@@ -229,7 +247,7 @@ def remove_repeats(docs: DataFrame, full: bool = False) -> DataFrame:
     n, into = batches(spark, 4 * total_bytes(d)), buckets(spark)  # words and their hashes take some three times the text
     d = d.withColumn("batch", batch_of(n, "doc_id", "text"))
     rows = d.groupBy("batch")
-    found = stage(answers_with_spread(rows.applyInPandas(_send_anchors(into), SENT), max(2, n // SPREAD)), "substring-anchors")
+    found = stage(answers_with_spread(rows.applyInPandas(_send_anchors(into), SENT + ", kinds binary"), SPREAD), "substring-anchors")
     segments = rows.cogroup(found.groupBy("batch")).applyInPandas(_send_segments(into), SEGMENTS)
     marks = segments.groupBy("shard").applyInPandas(_search, MARKS)
     close = _close(into)
