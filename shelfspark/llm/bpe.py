@@ -19,7 +19,7 @@ from collections.abc import Iterable
 import regex
 from pyspark.sql import DataFrame
 
-from .common import kept, map_rows, own_columns
+from .common import Remembered, kept, map_rows, own_columns
 
 #: The White_Space property, which the tokenizer's \s means.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -32,32 +32,16 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
 
 
-class Remembered(dict):
-    """Results of a function of words; forgets all when it holds ``most``."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, word):
-        out = self.make(word)
-        if len(word) <= 48:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = out
-        return out
-
-
 class Bpe:
     """A byte-level BPE with word ends, from the JSON of a tokenizer file."""
 
-    def __init__(self, spec: str, most_cached: int = 120_000):
+    def __init__(self, spec: str, most_cached: int = 300_000):
         j = json.loads(spec)
         model = j["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
-        self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.token_bytes = {i: t.encode() for t, i in (self.vocab | self.special).items()}
         self.pairs: dict[tuple[str, str], int] = {}
         for rank, m in enumerate(model["merges"]):
             self.pairs.setdefault(tuple(m if not isinstance(m, str) else m.split(" ")), rank)
@@ -142,12 +126,15 @@ class Bpe:
             out = b"".join(map(ids, self.cut.split(text)))
         return array("I", out)
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """Without a decoder in the file, tokens joined by spaces; ids that name no token are left out."""
+    def decode_bytes(self, ids: Iterable[int]) -> bytes:
+        """Without a decoder in the file, tokens joined by spaces, in UTF-8; ids that name no token are left out."""
         try:
-            return " ".join(map(self.tokens.__getitem__, ids))
+            return b" ".join(map(self.token_bytes.__getitem__, ids))
         except KeyError:
-            return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+            return b" ".join(self.token_bytes[i] for i in ids if i in self.token_bytes)
+
+    def decode(self, ids: Iterable[int]) -> str:
+        return self.decode_bytes(ids).decode()
 
 
 def read_spec(path: str) -> str:
@@ -172,11 +159,14 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = False, decoded: boo
             out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | {c: [] for c in more}
             for text in rows["text"]:
                 got = bpe.encode(text or "")
-                back = bpe.decode(got)
-                sha = hashlib.sha256(got.tobytes()).hexdigest()
-                for c, v in {"n_tokens": len(got), "ids_sha256": sha, "decoded_sha256": hashlib.sha256(back.encode()).hexdigest(), "ids": got, "decoded": back}.items():
-                    if c in out:
-                        out[c].append(v.tolist() if c == "ids" else v)
+                back = bpe.decode_bytes(got)
+                out["n_tokens"].append(len(got))
+                out["ids_sha256"].append(hashlib.sha256(got).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
+                if ids:
+                    out["ids"].append(got.tolist())
+                if decoded:
+                    out["decoded"].append(back.decode())
             return {"doc_id": rows["doc_id"]} | out
 
         return run

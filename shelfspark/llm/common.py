@@ -26,6 +26,26 @@ SLICE = 256
 ROWS = 1000
 
 
+class Remembered(dict):
+    """Results of a function of words, ``most`` at most. When half of them are new since the last time, the older half goes
+    but for what is asked for again, so frequent words stay."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.half, self.old = make, max(1, most // 2), {}
+
+    def __missing__(self, word):
+        out = self.old.get(word)
+        if out is None:
+            out = self.make(word)
+        if len(word) <= 64:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[word] = out
+        return out
+
+
 _KEPT: dict = {}
 _USED: set = set()
 

@@ -11,8 +11,8 @@ from collections import deque
 
 from pyspark.sql import DataFrame
 
-from .bpe import Bpe, Remembered, read_spec
-from .common import kept, map_rows, own_columns
+from .bpe import Bpe, read_spec
+from .common import Remembered, kept, map_rows, own_columns
 
 
 class PieceCounter:
@@ -68,7 +68,7 @@ class PieceCounter:
 class TextCounter:
     """Piece counts of texts; words are normalized and split as the vocabulary's tokenizer does."""
 
-    def __init__(self, spec: str, most: int = 120_000):
+    def __init__(self, spec: str, most: int = 300_000):
         self.bpe = Bpe(spec)
         self.pieces = PieceCounter([tuple(self.bpe._symbols(t)) for t in self.bpe.vocab])
         self.counts = Remembered(self._word, most)

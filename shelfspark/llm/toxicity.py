@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, first_by_hash, map_rows, mix64, own_columns, packed, shingles, stage, text_udf, word_hashes
+from .common import U64, Remembered, first_by_hash, map_rows, mix64, own_columns, packed, shingles, stage, text_udf, word_hashes
 
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PREFIXES = range(3, 9)
@@ -84,18 +84,10 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, t))))
 
 
-class WordScores(dict):
+class WordScores(Remembered):
     def __init__(self, model: Model, most: int = 120_000):
-        super().__init__()
-        self.model, self.most = model, most
-
-    def __missing__(self, word: bytes) -> float:
-        s = self.model.score(word)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = s
-        return s
+        super().__init__(model.score, most)
+        self.model = model
 
 
 def maximal_segments(scores: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
