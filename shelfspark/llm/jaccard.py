@@ -232,9 +232,11 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     rest = stage(_rest(candidates, keys, members, shared, found, tried), "jaccard-rest")
     edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verify(d, rest, n))
     # rows that share a doc_id but not a text make one document of their sets
-    owners = used.join(sets.select("set_key", "rep"), "set_key").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a"), F.collect_set("rep").alias("reps")).where("a <> b")
-    owners = owners.select("b", F.explode("reps").alias("a")).where("a <> b").select("a", "b")
-    final = components(edges.unionByName(owners))
+    held = used.select("doc_id", "set_key").join(sets.select("set_key", "rep"), "set_key")
+    shared_ids = stage(held.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b <> most").select("doc_id", "b"), "jaccard-shared-ids")
+    if not shared_ids.isEmpty():
+        edges = edges.unionByName(held.join(shared_ids, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
+    final = components(edges)
     of_set = stage(sets.join(final, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component")), "jaccard-components")
     key = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("set_key"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), key.alias("own_key"))
