@@ -234,6 +234,11 @@ def base_signature(version: Column, metadata: Column, root: Column, updated: Col
     return F.concat_ws(":", *[c.cast("string") for c in (version, metadata, root, updated, n)])
 
 
+def query_literal(c: Column) -> Column:
+    """F-08: a text inside the quotes of a listing query."""
+    return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+
+
 def fill_template(template: Column, inviter: Column, slot: str = "{{name}}") -> Column:
     """F-28."""
     return F.replace(template, F.lit(slot), inviter)

@@ -269,6 +269,12 @@ def _(t):
     return t.raw("orders").select(F.col("o_orderkey").alias("k"), X.date_label(at, seconds=True).alias("text"))
 
 
+@query("f08_query_literals", "SELECT event_id, replace(replace(props || '\\' || event_type || '''', '\\', '\\\\'), '''', '\\''') AS text FROM events")
+def _(t):
+    c = F.concat("props", F.lit("\\"), "event_type", F.lit("'"))
+    return t.raw("events").select("event_id", X.query_literal(c).alias("text"))
+
+
 @query("f11_friend_plural", "SELECT c_custkey AS k, CASE WHEN c_custkey % 100 BETWEEN 11 AND 19 THEN 'друзей' WHEN c_custkey % 10 = 1 THEN 'друг' WHEN c_custkey % 10 BETWEEN 2 AND 4 THEN 'друга' ELSE 'друзей' END AS word FROM customer")
 def _(t):
     return t.raw("customer").select(F.col("c_custkey").alias("k"), X.plural(F.col("c_custkey"), "друг", "друга", "друзей").alias("word"))
@@ -369,3 +375,35 @@ def _(t):
 @query("p07_damaged_fb2_files", PARSED.format(warning="CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'binary_corruption_recovered' ELSE 'metadata_only_recovered' END"))
 def _(t):
     return _parsed(t, "fb2")
+
+
+@query("f31_scan_status", "SELECT parent_id, 'Папок: ' || count(DISTINCT source_type) || ', книг: ' || count(*) AS text FROM books GROUP BY parent_id")
+def _(t):
+    n = t.books.groupBy("parent_id").agg(F.count_distinct("source_type").alias("f"), F.count("*").alias("b"))
+    return n.select("parent_id", X.scan_status(F.col("f"), F.col("b")).alias("text"))
+
+
+@query("f23_image_kinds", "SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/webp' END AS kind FROM part")
+def _(t):
+    k = F.col("p_partkey")
+    head = F.when(k % 5 == 0, "89504E470D0A1A0A00").when(k % 5 == 1, "FFD8FFE0").when(k % 5 == 2, "474946383961").when(k % 5 == 3, "524946460000000057454250").otherwise("52494646000000005741564500")
+    return t.raw("part").select(k.alias("k"), X.image_kind(F.unhex(head)).alias("kind"))
+
+
+@query("pr16_index_header", "SELECT 'root' AS root_folder_id, count(*) AS total, count(*) FILTER (metadata_status = 'error') AS failed FROM books")
+def _(t):
+    counts = t.books.agg(F.count("*").alias("total"), F.count_if(F.col("metadata_status") == "error").alias("failed"))
+    index = t.spark.range(1).select(F.lit("root").alias("root_folder_id"))
+    return P.header(index, counts).select("root_folder_id", "indexing_counts.total", "indexing_counts.failed")
+
+
+@query("w04_first_of_equal_ids", "SELECT id, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 2 = 0 THEN 'a' ELSE parent_id END AS parent_id FROM items")
+def _(t):
+    even = F.col("id").substr(2, 20).cast("long") % 2 == 0
+    rows = t.items.unionByName(t.items.where(even).withColumn("parent_id", F.lit("a"))).withColumn("parent_id", F.coalesce("parent_id", F.lit("")))
+    return R.latest(rows, ["id"], [F.col("parent_id"), F.col("name")]).select("id", "parent_id")
+
+
+@query("s14_whole_collection", "SELECT uid, CAST(floor((row_number() OVER (ORDER BY uid) - 1) / 1000.0) AS BIGINT) AS page FROM users")
+def _(t):
+    return C.placed(t.users.select("uid"), [F.col("uid")]).select("uid", F.floor((F.col("place") - 1) / 1000).cast("long").alias("page"))
