@@ -235,3 +235,32 @@ def text_udf(factory, schema: str):
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({n: [] for n in names})
 
     return run
+
+
+def broadcast_if(df: DataFrame, most: int) -> DataFrame:
+    """df, marked for broadcast if it has ``most`` rows at most; else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+#: A key is hot if it holds more than 1 / HOT of all rows, so there are fewer than HOT of them.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: Sequence[str], total: int) -> DataFrame:
+    """rows with the columns of keyed, which has one row a key and the number n of the ``total`` rows that hold it.
+
+    Hot keys are broadcast and their rows stay where they are; all others meet in a shuffle join, in
+    which no key has more than 1 / HOT of the rows. Null keys meet null keys; rows of other keys go.
+    """
+    is_hot = F.col("n") * HOT > total
+    hot, cold = F.broadcast(keyed.where(is_hot)), keyed.where(~is_hot)
+    more = [c for c in keyed.columns if c not in on]
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        a, b = left.alias("a"), right.alias("b")
+        same = [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in on]
+        return a.join(b, same).select("a.*", *[F.col(f"b.`{c}`") for c in more])
+
+    a, b = rows.alias("a"), hot.alias("b")
+    rest = a.join(b, [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in on], "left_anti")
+    return met(rows, hot).unionByName(met(rest, cold))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, metric_join, mixing, secrets, sketch, substring, token_counts, toxicity
+from . import bpe, divergence, jaccard, langid, lines, metric_join, mixing, secrets, sketch, substring, token_counts, toxicity, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,8 +63,27 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (
+    op1_mixing, op2_token_counts, op3_secrets, op4_substring_dedup, op5_embedding_dedup, op6_language, op7_toxicity,
+    op8_jaccard_join, op9_bpe, op10_fingerprints, op11_vector_codes, op12_line_dedup, op13_divergence,
+)
+
+
 def queries() -> dict[str, Query]:
-    found = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_secrets, op4_substring_dedup, op5_embedding_dedup, op6_language, op7_toxicity, op8_jaccard_join, op9_bpe, op10_fingerprints)}
+    found = {f.__name__: f for f in OPERATORS}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
@@ -155,5 +175,83 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FR
 """
 
 
+def _op11_sql(rounds: int = 4) -> str:
+    near = """
+), a{r} AS MATERIALIZED (
+  SELECT vec_id, part, best % 256 AS idx, best // 256 AS error FROM (
+    SELECT p.vec_id, p.part, min(256 * CAST(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) + c.idx) AS best
+    FROM p JOIN c{r} c ON c.part = p.part GROUP BY p.vec_id, p.part)"""
+    move = """
+), m{r} AS (
+  SELECT part, idx, list((s - (s % n + n) % n) // n ORDER BY i) AS x FROM (
+    SELECT part, idx, i, CAST(sum(v) AS BIGINT) AS s, count(*) AS n
+    FROM (SELECT vec_id, part, unnest(x) AS v, unnest(range(len(x))) AS i FROM p) JOIN a{q} USING (vec_id, part) GROUP BY part, idx, i) GROUP BY part, idx
+), c{r} AS MATERIALIZED (
+  SELECT c.part, c.idx, coalesce(m.x, c.x) AS x FROM c{q} c LEFT JOIN m{r} m USING (part, idx)"""
+    steps = near.format(r=0) + "".join(move.format(r=r, q=r - 1) + near.format(r=r) for r in range(1, rounds + 1))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT vec_id, part, list_slice(e, 1 + part * len(e) // 4, (part + 1) * len(e) // 4) AS x FROM v, (SELECT unnest(range(4)) AS part)
+), c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS idx, x FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 256){steps}
+), books AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, idx)) AS codebooks_sha256 FROM c{rounds}
+), coded AS (
+  SELECT vec_id, label, string_agg(lpad(printf('%x', idx), 2, '0'), '' ORDER BY part) AS code, CAST(sum(error) AS BIGINT) AS error
+  FROM a{rounds} JOIN v USING (vec_id) GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, books
+"""
+
+
+OP12_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), k AS (
+  SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l
+), f AS (
+  SELECT k, min(doc_id) AS first FROM k WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2
+), m AS (
+  SELECT k.*, f.first IS NOT NULL AND f.first <> k.doc_id AS gone FROM k LEFT JOIN f USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), t AS (
+  SELECT row, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), l AS (
+  SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang
+), g AS (
+  SELECT lang, source, coalesce(sum(c.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source
+), p AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n,
+    CAST(1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // CAST(g.n + 5 * l.v AS HUGEINT) AS BIGINT) AS p,
+    CAST(1 + 1000000000::HUGEINT * (kept.n + 5) // CAST(l.n + 5 * l.v AS HUGEINT) AS BIGINT) AS q
+  FROM g JOIN l USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), ranked AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM ranked) WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op8_jaccard_join": OP8_SQL}
+    return {
+        "op1_mixing": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op8_jaccard_join": OP8_SQL,
+        "op11_vector_codes": _op11_sql(), "op12_line_dedup": OP12_SQL, "op13_divergence": OP13_SQL,
+    }
