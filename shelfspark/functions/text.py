@@ -265,9 +265,20 @@ def identity(name: Column, mail: Column, fallback: str = "Пользовател
     return F.coalesce(blank_to_null(name), blank_to_null(mail), F.lit(fallback))
 
 
-def scan_status(folders: Column, books: Column) -> Column:
-    """F-31."""
-    return F.format_string("Папок: %d, книг: %d", folders, books)
+# Texts of a refresh.
+SCANNING, RETRYING = "Сканирование библиотеки…", "Google Drive временно не ответил. Повторяем запрос…"
+SCAN_STATUS = "%s Обработано папок: %d. В очереди: %d. Найдено книг: %d. Прошло: %d с."
+FOLDER_FAILED, SCAN_FAILED, OLD_KEPT = "Не удалось прочитать папку «%s».", "Не удалось завершить обновление библиотеки. Не удалось прочитать одну из папок Google Drive.", " Старая версия библиотеки сохранена."
+
+
+def scan_status(processed: Column, queued: Column, books: Column, seconds: Column, retrying: Column) -> Column:
+    """F-31: what a refresh shows while it runs."""
+    return F.format_string(SCAN_STATUS, F.when(retrying, RETRYING).otherwise(SCANNING), processed, queued, books, seconds)
+
+
+def scan_failure(folder: Column) -> Column:
+    """F-31: what a refresh that failed shows; the folder's name may be unknown."""
+    return F.concat(F.when(F.coalesce(folder, F.lit("")) == "", SCAN_FAILED).otherwise(F.format_string(FOLDER_FAILED, folder)), F.lit(OLD_KEPT))
 
 
 def retry_delay(attempt: Column, after_ms: Column | None = None, base: int = 700, most: int = 10_000) -> Column:
@@ -290,10 +301,15 @@ def natural_key(c: Column) -> Column:
 
 
 def russian(c: Column) -> Column:
-    """O-02, O-04, O-05: Russian order, without regard to case and accents."""
+    """Russian order without regard to case and accents, of books and folders."""
     return F.collate(c, "ru_CI_AI")
 
 
+def person_key(c: Column) -> Column:
+    """O-05, O-07 to O-09: names of people in Russian order: letters, then accents (е before ё), then case (small before capital)."""
+    return F.collate(F.coalesce(c, F.lit("")), "ru")
+
+
 def page_tokens(total: Column, current: Column) -> Column:
     """O-11: page numbers to show, 0 for an ellipsis."""
     t, c = total.cast("int"), current.cast("int")

@@ -66,16 +66,16 @@ def named_pairs(rows: DataFrame, users: DataFrame, a: str, b: str) -> DataFrame:
 
 def share_order() -> list[Column]:
     """O-09."""
-    return [X.russian(F.col("owner_uid_name")).asc(), X.russian(F.col("viewer_uid_name")).asc(), F.col("id").asc()]
+    return [X.person_key(F.col("owner_uid_name")).asc(), X.person_key(F.col("viewer_uid_name")).asc(), F.col("id").asc()]
 
 
 def user_order(kind: str) -> list[Column]:
-    """O-08: by name, by registration (oldest first), or admins first and banned last."""
-    name = [X.russian(F.coalesce(X.blank_to_null(F.col("display_name")), F.col("email"), F.col("uid"))).asc(), F.col("uid").asc()]
+    """O-08: by name and address, by registration (oldest first), or admins first, banned ones last among either, and then by name."""
+    name = [X.person_key(F.col("display_name")).asc(), X.person_key(F.col("email")).asc(), F.col("uid").asc()]
     if kind == "registered":
-        return [F.col("created_at").asc_nulls_first(), F.col("uid").asc()]
+        return [F.col("created_at").asc_nulls_first(), *name]
     if kind == "role":
-        return [F.when(F.col("admin"), 0).when(F.col("banned"), 2).otherwise(1).asc(), *name]
+        return [F.coalesce("admin", F.lit(False)).desc(), F.coalesce("banned", F.lit(False)).asc(), *name]
     return name
 
 

@@ -58,6 +58,11 @@ def catalog_order() -> list[Column]:
     return [X.natural_key(F.col("file_name")).asc(), F.col("pos").asc()]
 
 
+def sibling_order() -> list[Column]:
+    """O-02: folders of one parent, numbers in their names by value."""
+    return [X.natural_key(F.col("name")).asc(), F.col("id").asc()]
+
+
 def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """df with each row's place in one order over all rows; the order must be total.
 

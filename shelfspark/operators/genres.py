@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as X
+from .catalog import placed
 from .refresh import latest
 
 LAYERS = ["override", "source", "seed", "existing"]
@@ -43,15 +44,20 @@ def xsd_codes(texts: DataFrame) -> DataFrame:
     return found
 
 
+# The three layouts of a line: how it looks, and which group is the code, which the label. The first that is found of a code counts.
+CODE = "[a-z][a-z0-9_]*"
+LAYOUTS = [
+    (rf"^({CODE})\s*[-–—]\s*(.+)$", 1, 2),
+    (rf"^(.+?)\s+\(({CODE})\)(?:\s*[-–—]\s*[\d\s]+)?$", 2, 1),
+    (rf"^(?:\d+\.)+\d+\s+({CODE})\s*;\s*(.+)$", 1, 2),
+]
+
+
 def page_mapping(lines: DataFrame) -> DataFrame:
     """S-22: codes and labels of text lines in three layouts: ``code - label``, ``label (code)`` with or without a number after a dash, and
     ``1.2.3 code;label``; of a code the first layout counts, then its first line."""
-    code = "[a-z][a-z0-9_]*"
-    shapes = [(1, rf"^({code})\s*[-–—]\s*(.+)$", 1, 2), (2, rf"^(.+?)\s+\(({code})\)(?:\s*[-–—]\s*[\d\s]+)?$", 2, 1), (3, rf"^(?:\d+\.)+\d+\s+({code})\s*;\s*(.+)$", 1, 2)]
-    rows = None
-    for rank, p, c, t in shapes:
-        one = lines.select("pos", F.lit(rank).alias("rank"), F.regexp_extract("line", p, c).alias("code"), X.label(unescape(F.regexp_extract("line", p, t))).alias("label")).where("code <> '' and label <> ''")
-        rows = one if rows is None else rows.unionByName(one)
+    found = [F.struct(F.lit(rank).alias("rank"), F.regexp_extract("line", p, c).alias("code"), F.regexp_extract("line", p, t).alias("label")) for rank, (p, c, t) in enumerate(LAYOUTS)]
+    rows = lines.select("pos", F.inline(F.array(*found))).where("code <> ''").withColumn("label", X.label(unescape("label"))).where("label <> ''")
     return latest(rows, ["code"], [F.col("rank"), F.col("pos")]).select("code", "label")
 
 
@@ -93,3 +99,26 @@ def check_growth(new: DataFrame, old: DataFrame) -> DataFrame:
     if not lost.isEmpty():
         raise ValueError("the new dictionary lacks codes of the old one")
     return new
+
+
+def write_dictionary(new: DataFrame, path: str, old: DataFrame | None = None) -> None:
+    """K-11: the dictionary as one JSON object with a line an entry, sorted by code; it is an error if codes of the old one are missing.
+
+    The files of the folder, one after the other in the order of their names, are the object, so no task has to write it all."""
+    if old is not None:
+        check_growth(new, old)
+    rows = placed(new.select("code", "label"), [F.col("code")])
+    n = rows.count()
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("k"))), r"(?s)^\{\"k\":(.*)\}$", 1)
+    line = F.concat(F.lit("  "), quoted("code"), F.lit(": "), quoted("label"), F.when(F.col("place") < n, ",").otherwise(""))
+    spark = new.sparkSession
+    ends = spark.range(2).select(F.when(F.col("id") == 0, 0).otherwise(n + 1).cast("long").alias("place"), F.when(F.col("id") == 0, "{").otherwise("}").alias("line"))
+    whole = rows.select("place", line.alias("line")).unionByName(ends)
+    whole.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "place").sortWithinPartitions("place").select("line").write.text(path)
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(code, label) of what ``write_dictionary`` has written, whatever the number of its files."""
+    lines = spark.read.text(path).where("value not in ('{', '}')")
+    one = F.from_json(F.concat(F.lit("{"), F.regexp_replace("value", ",$", ""), F.lit("}")), "map<string,string>")
+    return lines.select(F.explode(one).alias("code", "label"))

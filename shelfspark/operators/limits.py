@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..shipping import ship
 
 SHORT_S, SHORT_LIMIT, DAY_S, DAY_LIMIT, SEEN_S, SEEN_KEPT = 600, 30, 86_400, 100, 600, 30
@@ -78,30 +79,71 @@ def lookup_budget(requests: DataFrame) -> DataFrame:
     return replay(requests.select("uid", "t", "pos", "addresses"), start, "uid string, pos long, accepted boolean, charged long")
 
 
+class Lease:
+    """ST-12 for one address of one owner: status, when it was set, and when it was last sent to."""
+
+    def __init__(self, status: str | None = None, at: float = 0.0, sent: float = 0.0):
+        self.status, self.at, self.sent = status, at, sent
+
+    def reserve(self, now: float, sent_elsewhere: float | None = None, quota: int | None = None) -> str:
+        """cooldown, sending (another run has the lease), quota (nothing can be sent today), or reserved. What another source knows to have been sent counts too."""
+        sent = max(self.sent, sent_elsewhere or 0.0)
+        if sent and now - sent < COOLDOWN_S:
+            return "cooldown"
+        if self.status == "sending" and now - self.at < LEASE_S:
+            return "sending"
+        if quota is not None and quota < 1:
+            return "quota"
+        self.status, self.at, self.sent = "sending", now, sent
+        return "reserved"
+
+    def finish(self, now: float, op: str) -> str:
+        """sent or failed; what failed may be tried again at once."""
+        self.status, self.at, self.sent = op, now, now if op == "sent" else self.sent
+        return op
+
+    def step(self, now: float, op: str, sent_elsewhere: float | None = None, quota: int | None = None) -> str:
+        return self.reserve(now, sent_elsewhere, quota) if op == "reserve" else self.finish(now, op)
+
+
+#: A request, with what else is known of it: when the directory says that it was last sent to, and how many may be sent today; null: not known.
+REQUEST = ["uid", "t", "pos", "op", "sent_elsewhere", "quota"]
+
+
+def with_sent_elsewhere(log: DataFrame, directory: DataFrame) -> DataFrame:
+    """ST-12: requests with the directory's last time of sending (uid, sent_at; the latest of a uid), from 0 to null where it has none."""
+    last = directory.groupBy(F.col("uid").alias("__u")).agg(F.max("sent_at").cast("double").alias("sent_elsewhere"))
+    rows = log.join(last, F.col("uid") == F.col("__u"), "left").drop("__u")
+    return rows if "quota" in log.columns else rows.withColumn("quota", F.lit(None).cast("int"))
+
+
 def send_reservations(log: DataFrame) -> DataFrame:
-    """ST-12: (uid is owner and address, t, pos, op in reserve, sent, failed) -> (uid, pos, status)."""
+    """ST-12: (uid is owner and address, t, pos, op in reserve, sent, failed; sent_elsewhere, quota) -> (uid, pos, status)."""
 
     def start():
-        s = {"status": None, "at": 0.0, "sent": None}
+        lease = Lease()
 
         def one(row):
-            now = float(row.t)
-            if row.op == "reserve":
-                if s["sent"] is not None and now - s["sent"] < COOLDOWN_S:
-                    got = "cooldown"
-                elif s["status"] == "sending" and now - s["at"] < LEASE_S:
-                    got = "sending"
-                else:
-                    s.update(status="sending", at=now)
-                    got = "reserved"
-            else:
-                s.update(status=row.op, at=now, sent=now if row.op == "sent" else s["sent"])
-                got = row.op
-            return {"uid": row.uid, "pos": row.pos, "status": got}
+            known = [None if x is None or x != x else x for x in (row.sent_elsewhere, row.quota)]
+            return {"uid": row.uid, "pos": row.pos, "status": lease.step(float(row.t), row.op, *known)}
 
         return one
 
-    return replay(log.select("uid", "t", "pos", "op"), start, "uid string, pos long, status string")
+    full = log.select(*[F.col(c) if c in log.columns else F.lit(None).cast("double").alias(c) for c in REQUEST])
+    return replay(full, start, "uid string, pos long, status string")
+
+
+#: Idle users' states are looked for so often.
+PRUNE_EVERY_S = 6 * 3_600
+
+
+def prune_budgets(states: DataFrame, now_s: int, last_s: int | None = None) -> DataFrame:
+    """ST-14: stored budgets (uid, times: seconds, packed as by ``delta36``) without those of users who did not ask for a day. A text that can't be read stays, for it must not set a budget free. Nothing goes within six hours of the last time (``last_s``)."""
+    if last_s is not None and now_s - last_s < PRUNE_EVERY_S:
+        return states
+    readable = F.coalesce(F.col("times").rlike(r"^(-?[0-9a-z]+(\.-?[0-9a-z]+)*)?$"), F.lit(False))
+    last = F.array_max(X.undelta36(F.when(readable, F.col("times")).otherwise("")))
+    return states.where(~readable | (F.lit(now_s) - last < DAY_S))
 
 
 def window_counts(log: DataFrame) -> DataFrame:

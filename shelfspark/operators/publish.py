@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.staging import stage
+from ..plans.staging import own_dir
 from .catalog import placed
 from .refresh import fingerprint, latest
 from .tree import shared_books, shared_folders
 
 # Fields of a published book.
 PUBLISHED = "id parent_id file_name extension path size modified_time source_type title authors genres series series_number annotation preview language metadata_status".split()
-ERROR_LABELS = {"error": "Ошибка", "xml": "Повреждённый файл", "zip_encrypted": "Архив защищён паролем", "unsupported": "Формат не поддерживается"}
+# Codes of errors and what is shown for them.
+NO_CODE = "Ошибка"
+ERROR_LABELS = {
+    "binary_file": "Не распознан как FB2/XML",
+    "not_xml_html": "HTML-файл вместо FB2",
+    "not_xml_rtf": "RTF-файл вместо FB2",
+    "invalid_xml": "Повреждённый XML/FB2",
+    "malformed_zip": "Повреждённый ZIP",
+    "zip_no_supported_book": "ZIP не содержит поддерживаемую книгу",
+    "zip_compressed_limit_exceeded": "ZIP превышает безопасный лимит",
+}
 
 
 def normalize_settings(settings: DataFrame, shareable: DataFrame) -> DataFrame:
@@ -39,9 +52,21 @@ def publish(folders: DataFrame, books: DataFrame, root: str, excluded: list[str]
     return (None if signature == last else rows), signature
 
 
-def tombstone(owner: str, root: str) -> dict:
-    """K-06."""
-    return {"owner_uid": owner, "root_folder_id": root, "published": False, "folders": [], "books": []}
+def tombstones(catalogs: DataFrame) -> DataFrame:
+    """K-06: what takes the place of each owner's catalogs: one row a catalog, not published, without folders and books."""
+    none = F.array().cast("array<string>")
+    return catalogs.select("owner_uid", "root_folder_id").distinct().select("owner_uid", "root_folder_id", F.lit(False).alias("published"), none.alias("folders"), none.alias("books"))
+
+
+def publish_all(catalogs: DataFrame, published: DataFrame) -> DataFrame:
+    """K-05: what has to be written for each owner: ``create`` (nothing published yet), ``move`` (published under another root, which is
+    unpublished too), ``update`` (another signature) or ``skip``. catalogs: owner_uid, root_folder_id, signature, the last of an owner by
+    ``pos`` (what was asked meanwhile is not written one by one); published: owner_uid, root_folder_id, signature, published."""
+    asked = latest(catalogs, ["owner_uid"], [F.desc("pos")])
+    p = published.where("published").select(F.col("owner_uid").alias("__o"), F.col("root_folder_id").alias("from_root"), F.col("signature").alias("__s"))
+    rows = asked.join(p, F.col("owner_uid") == F.col("__o"), "left")
+    action = F.when(F.col("__o").isNull(), "create").when(F.col("from_root") != F.col("root_folder_id"), "move").when(F.col("signature") == F.col("__s"), "skip").otherwise("update")
+    return rows.select("owner_uid", "root_folder_id", "signature", action.alias("action"), F.when(action == "move", F.col("from_root")).alias("unpublish_root"))
 
 
 def live_catalogs(catalogs: DataFrame) -> DataFrame:
@@ -75,8 +100,8 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 
 def error_label(code: Column) -> Column:
-    """PR-15."""
-    return F.coalesce(F.try_element_at(X.literal_map(ERROR_LABELS), F.coalesce(code, F.lit("error"))), code)
+    """PR-15: the text of a known code, else the code, else a word for an error."""
+    return F.coalesce(F.try_element_at(X.literal_map(ERROR_LABELS), F.coalesce(code, F.lit(""))), F.nullif(code, F.lit("")), F.lit(NO_CODE))
 
 
 def label_rows(rows: DataFrame, code: str, names: DataFrame) -> DataFrame:
@@ -105,7 +130,8 @@ def register(users: DataFrame, new: DataFrame, inviters: DataFrame) -> DataFrame
     """ST-17: new users, each with the inviter that holds the address's first invitation; known uids stay as they are."""
     i = inviters.select(F.col("invitee_email").alias("__e"), F.col("owner_uid").alias("invited_by"))
     rows = new.withColumn("__m", X.email(F.col("email"))).join(i, F.col("__m") == F.col("__e"), "left").select("uid", "display_name", "invited_by")
-    return users.select("uid", "display_name", "invited_by").unionByName(rows.dropDuplicates(["uid"]).join(users.select("uid"), "uid", "left_anti"))
+    one = latest(rows, ["uid"], [F.col("invited_by").asc_nulls_last(), F.col("display_name").asc_nulls_last()])
+    return users.select("uid", "display_name", "invited_by").unionByName(one.join(users.select("uid"), "uid", "left_anti"))
 
 
 def sendable(requests: DataFrame, blocked: DataFrame, registered: DataFrame, full_owners: DataFrame) -> DataFrame:
@@ -117,18 +143,89 @@ def sendable(requests: DataFrame, blocked: DataFrame, registered: DataFrame, ful
     return q.withColumn("stopped_by", stop).drop("__b", "__r", "__o")
 
 
-def run_batches(items: DataFrame, parse, batch: int, save) -> int:
+def numbered_batches(items: DataFrame, batch: int) -> DataFrame:
+    """ST-03: pending items with the number of their batch, from 0, in the order of book_id."""
+    return placed(items.where("state = 'pending'"), [F.col("book_id")]).withColumn("batch", F.floor((F.col("place") - 1) / batch).cast("long")).drop("place")
+
+
+def run_batches(items: Callable[[], DataFrame], parse, batch: int, save) -> int:
     """ST-03: pending items in batches, each parsed and saved to the journal before the next; an interrupted run, called again, goes on
-    with what is pending then. ``items()`` reads the present state. Items get their places once, and a batch reads
-    just the ranges of places it covers. Returns the number of batches."""
-    waiting = stage(placed(items().where("state = 'pending'"), [F.col("book_id")]).repartitionByRange("place").sortWithinPartitions("place"), "batches")
-    n = -(-waiting.count() // batch)
+    with what is pending then. ``items()`` reads the present state. Batches are numbered once and written by number, so that a batch
+    reads its own files. Saving must come between two batches, so it is a loop; take ``batch`` as large as what may be lost.
+    Returns the number of batches."""
+    spark = items().sparkSession
+    at = f"{own_dir(spark)}/batches-{uuid.uuid4().hex}"
+    numbered_batches(items(), batch).write.partitionBy("batch").parquet(at)
+    waiting = spark.read.parquet(at) if not items().where("state = 'pending'").isEmpty() else None
+    n = 0 if waiting is None else waiting.agg(F.max("batch")).first()[0] + 1
     for i in range(n):
-        save(parse(waiting.where((F.col("place") > i * batch) & (F.col("place") <= (i + 1) * batch)).drop("place")))
+        save(parse(waiting.where(F.col("batch") == i)))
     return n
 
 
-def document_value(c: Column) -> Column:
-    """PR-11: a typed document value as JSON to a plain one as text."""
-    v = F.try_parse_json(c)
-    return F.coalesce(*[F.try_variant_get(v, f"$.{k}", "string") for k in ("stringValue", "integerValue", "doubleValue", "booleanValue", "timestampValue")])
+#: Documents nest so deep at most.
+MOST_NESTED = 20
+
+
+def document_value(c: Column, depth: int = MOST_NESTED) -> Column:
+    """PR-11: a typed document value, as JSON text, to a plain one, as JSON text: null, arrays and maps at any depth up to ``depth`` (deeper
+    is an error), integers as such whatever their length. What has no known kind is null; text that is no JSON gives null. Apply it to a
+    column, not to ``typed_document``'s expression: the analyzer follows a limited number of nested functions at a time."""
+    return _once(F.try_parse_json(c), lambda v: F.when(v.isNotNull(), _plain(v, depth)))
+
+
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), where c is evaluated once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _wrapped(opening: str | Column, text: Column, closing: str | Column) -> Column:
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in (opening, text, closing)])
+
+
+def _quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(text.alias("k"))), r"(?s)^\{\"k\":(.*)\}$", 1)
+
+
+def _plain(v: Column, depth: int) -> Column:
+    if depth < 0:
+        return F.raise_error(F.lit(f"a document nests deeper than {MOST_NESTED}")).cast("string")
+    get = lambda k, t: F.try_variant_get(v, f"$.{k}", t)
+    # one list of (name, value) for maps and arrays alike, so that each level is written once
+    entry = "array<struct<key:string,value:variant>>"
+    fields = F.map_entries(get("mapValue.fields", "map<string,variant>"))
+    values = F.transform(get("arrayValue.values", "array<variant>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
+    inner = F.coalesce(fields.cast(entry), values.cast(entry), F.array().cast(entry))
+    some = F.transform(inner, lambda e: F.concat(F.when(e["key"].isNull(), "").otherwise(F.concat(_quoted(e["key"]), F.lit(":"))), _plain(e["value"], depth - 1)))
+    has = lambda k: F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
+    out = F.when(has("stringValue"), _quoted(get("stringValue", "string"))).when(has("integerValue"), get("integerValue", "string"))
+    out = out.when(has("doubleValue"), F.to_json(get("doubleValue", "variant"))).when(has("booleanValue"), get("booleanValue", "string"))
+    out = out.when(has("timestampValue"), _quoted(get("timestampValue", "string"))).when(has("nullValue"), "null")
+    # the inner level is named once only, or the expression would double with each level
+    is_map = has("mapValue")
+    both = _wrapped(F.when(is_map, "{").otherwise("["), F.array_join(some, ","), F.when(is_map, "}").otherwise("]"))
+    return out.when(is_map | has("arrayValue"), both).otherwise("null")
+
+
+def typed_document(c: Column, depth: int = MOST_NESTED) -> Column:
+    """PR-11, the other way: a plain value as JSON text to a typed one. A whole number is an integerValue, a text of digits, however it was written; any other number a doubleValue."""
+    return _once(F.try_parse_json(c), lambda v: F.when(v.isNotNull(), _typed(v, depth)))
+
+
+def _typed(v: Column, depth: int) -> Column:
+    if depth < 0:
+        return F.raise_error(F.lit(f"a document nests deeper than {MOST_NESTED}")).cast("string")
+    kind = F.schema_of_variant(v)
+    entry = "array<struct<key:string,value:variant>>"
+    is_map, is_list = F.startswith(kind, F.lit("OBJECT")), F.startswith(kind, F.lit("ARRAY"))
+    fields = F.when(is_map, F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")).cast(entry))
+    values = F.when(is_list, F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value"))).cast(entry))
+    inner = F.coalesce(fields, values, F.array().cast(entry))
+    some = F.transform(inner, lambda e: F.concat(F.when(e["key"].isNull(), "").otherwise(F.concat(_quoted(e["key"]), F.lit(":"))), _typed(e["value"], depth - 1)))
+    number = F.try_variant_get(v, "$", "double")
+    whole = F.when(kind == "BIGINT", F.try_variant_get(v, "$", "string")).when(number % 1 == 0, F.try_variant_get(v, "$", "decimal(38,0)").cast("string"))
+    out = F.when(kind == "STRING", _wrapped('{"stringValue":', F.to_json(v), "}")).when(kind == "BOOLEAN", _wrapped('{"booleanValue":', F.to_json(v), "}"))
+    both = _wrapped(F.when(is_map, '{"mapValue":{"fields":{').otherwise('{"arrayValue":{"values":['), F.array_join(some, ","), F.when(is_map, "}}}").otherwise("]}}"))
+    out = out.when(is_map | is_list, both).when(kind == "VOID", '{"nullValue":null}').when(whole.isNotNull(), _wrapped('{"integerValue":"', whole, '"}'))
+    return out.when(number.isNotNull(), _wrapped('{"doubleValue":', F.to_json(v), "}")).otherwise('{"nullValue":null}')

@@ -12,7 +12,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.staging import stage
 
 # The fields that metadata extraction sets, and those that a scan sets.
 METADATA_FIELDS = "metadata_status title authors series series_number annotation preview metadata_error metadata_error_message entry_path metadata_warning genres language metadata_version cover_file_id cover_mime_type inner_format metadata_warning_details".split()
@@ -220,6 +219,27 @@ def export_errors(errors: DataFrame) -> DataFrame:
     return e.select("file_id", F.coalesce("i", F.lit(0)).alias("i"), F.concat_ws("\t", *parts).alias("value"))
 
 
+def error_details(errors: DataFrame) -> DataFrame:
+    """PR-14: an error as it is kept: pos, and what the columns that there are say, with defaults; what holds for some kinds of errors only is null for others.
+
+    errors: pos and any of stage, status, code, name, message, reason, attempt, range, retry_result, folder_id, folder_name,
+    entry_path, inner_format, metadata_indexed, previous_cover_preserved.
+    """
+    text = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in errors.columns else F.lit(None).cast("string")
+    status = F.nullif(F.col("status"), F.lit(0)) if "status" in errors.columns else F.lit(None).cast("int")
+    code = F.coalesce(text("code"), text("name"), F.lit("error"))
+    flag = lambda c: F.col(c) if c in errors.columns else F.lit(None).cast("boolean")
+    only = code == "metadata_only_recovered"
+    return errors.select(
+        "pos", F.coalesce(text("stage"), F.when(status.isNotNull(), "download").otherwise("metadata-extraction")).alias("stage"), status.alias("status"), code.alias("code"),
+        F.substring(F.coalesce(text("message"), text("reason"), F.lit("")), 1, 1000).alias("message"), F.coalesce(F.nullif(text("attempt").cast("int"), F.lit(0)), F.lit(1)).alias("attempt"), text("range").alias("range"), F.coalesce(text("retry_result"), F.lit("not-retried")).alias("retry_result"),
+        text("folder_id").alias("folder_id"), F.when(text("folder_id").isNotNull(), F.coalesce(text("folder_name"), F.lit(""))).alias("folder_name"),
+        F.substring(F.regexp_replace(text("entry_path"), r"[\r\n\t]", " "), 1, 240).alias("entry_path"), F.upper(text("inner_format")).alias("inner_format"),
+        F.when(only, F.lit(False)).alias("full_xml_parsed"), F.when(only, F.lit(False)).alias("body_indexed"), F.when(only, F.lit(False)).alias("preview_indexed"), F.when(only, flag("metadata_indexed")).alias("metadata_indexed"),
+        F.when(only, flag("previous_cover_preserved")).alias("previous_cover_preserved"),
+    )
+
+
 def previous_version_shown(books: DataFrame, errors: DataFrame) -> DataFrame:
     """FI-12."""
     return books.join(errors.where("previous_entry_preserved and outcome = 'failed'").select(F.col("file_id").alias("id")), "id", "left_semi")
@@ -253,12 +273,3 @@ def fingerprint(df: DataFrame) -> tuple[int, str]:
     cols = [F.to_json(F.struct(*sorted(df.columns)))]
     r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*cols).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("h")).first()
     return r.n, r.h
-
-
-def commit_verified(df: DataFrame, name: str) -> DataFrame:
-    """K-01..K-04, ST-06: write a snapshot, read it back, compare; only a snapshot that reads back equal is returned."""
-    before = fingerprint(df)
-    out = stage(df, name)
-    if fingerprint(out) != before:
-        raise RuntimeError(f"{name} reads back unlike what was written; the journal is kept")
-    return out

@@ -31,7 +31,7 @@ def friends(shares: DataFrame, profiles: DataFrame, contacts: DataFrame, uid: st
 
 def friend_order() -> list[Column]:
     """O-05."""
-    return [X.russian(F.col("display_name")).asc(), F.col("uid").asc()]
+    return [X.person_key(F.col("display_name")).asc(), F.col("uid").asc()]
 
 
 def merge_accepted(known: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -60,6 +60,11 @@ def overlay_verified(rows: DataFrame, verified: DataFrame) -> DataFrame:
     return out.drop("__u", "__i", "__o").where("coalesce(inbound, true) or coalesce(outbound, true)")
 
 
+def reset_verified(verified: DataFrame, root: str) -> DataFrame:
+    """ST-19: what was verified while another root was shared says nothing of outbound any more: unknown, not false."""
+    return verified.withColumn("outbound", F.when(F.col("root_folder_id").eqNullSafe(F.lit(root)), F.col("outbound")))
+
+
 def ledger(records: DataFrame, owner: str) -> DataFrame:
     """V-04, W-02: an owner's records, one an address, the newest, later of equal ones; bad addresses go, unknown statuses are pending."""
     r = records.where(F.col("owner_uid") == owner).withColumn("invitee_email", X.email(F.col("invitee_email"))).where(X.valid_email(F.col("invitee_email")))
@@ -79,14 +84,15 @@ def pending_rows(rows: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def merge_invitations(live: DataFrame, old: DataFrame, accepted: DataFrame) -> DataFrame:
-    """W-03, O-06: live rows beat ledger rows of an address; accepted ones go. Order by ``invitation_order``."""
+    """W-03: live rows beat ledger rows of an address; accepted ones go. Order by ``invitation_order``."""
     rows = live.withColumn("__rank", F.lit(0)).unionByName(old.withColumn("__rank", F.lit(1)), allowMissingColumns=True)
     rows = rows.withColumn("invitee_email", X.email(F.col("invitee_email"))).where("invitee_email <> ''")
     return latest(rows, ["invitee_email"], [F.col("__rank"), F.col("pos")]).drop("__rank").join(accepted.select(X.email(F.col("email")).alias("invitee_email")), "invitee_email", "left_anti")
 
 
 def invitation_order() -> list[Column]:
-    return [F.greatest(F.coalesce("updated_at", F.lit(0)), F.coalesce("created_at", F.lit(0))).desc(), F.col("invitee_email").asc()]
+    """O-06: the last sent first, by creation where nothing was sent."""
+    return [F.coalesce(F.nullif(F.col("sent_at"), F.lit(0)), F.col("created_at"), F.lit(0)).desc(), F.col("invitee_email").asc()]
 
 
 def invitation_statuses(asked: DataFrame, reservations: DataFrame, registry: DataFrame, directory: DataFrame, users: DataFrame, own: str) -> DataFrame:
@@ -143,7 +149,8 @@ def visible_notifications(events: DataFrame, inbound: DataFrame) -> DataFrame:
 
 
 def notification_order() -> list[Column]:
-    return [F.desc("unread"), F.desc("created_at"), X.russian(F.col("display_name")).asc(), F.col("notification_key").asc()]
+    """O-07: unread ones first, then the newest, then by name."""
+    return [F.desc("unread"), F.coalesce("created_at", F.lit(0)).desc(), X.person_key(F.col("display_name")).asc(), F.col("notification_key").asc()]
 
 
 def mark_seen(events: DataFrame, seen: DataFrame) -> DataFrame:
@@ -178,8 +185,9 @@ def apply_invitation_changes(rows: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def insert_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """ST-24, ST-26, ST-31: rows whose key is not there yet, one a key."""
-    return table.unionByName(rows.dropDuplicates([key]).join(table.select(key), key, "left_anti").select(*table.columns))
+    """ST-24, ST-26, ST-31: rows whose key is not there yet, one a key: the least by all columns in their order."""
+    one = latest(rows, [key], [F.col(c).asc_nulls_last() for c in table.columns])
+    return table.unionByName(one.join(table.select(key), key, "left_anti").select(*table.columns))
 
 
 def fill_share_emails(shares: DataFrame, directory: DataFrame) -> DataFrame:
@@ -204,6 +212,39 @@ def folder_access_plan(wanted: DataFrame, actual: DataFrame) -> DataFrame:
     return wanted.select(k).distinct().join(actual, k, "left_anti").withColumn("step", F.lit("grant")).unionByName(actual.select(k).distinct().join(wanted, k, "left_anti").withColumn("step", F.lit("revoke")))
 
 
+def access_steps(folders: DataFrame, settings: DataFrame, states: DataFrame) -> DataFrame:
+    """ST-21, the plan: one row for each folder right below a library's root, in the order of pos: previous, desired, and what forbids the change.
+
+    folders: library, id, name, pos; settings: library, excluded_folder_ids; states: id, is_folder, inherited_off, can_turn_off, can_turn_on (null: not known, so it may be tried).
+    """
+    asked = settings.select("library", F.explode("excluded_folder_ids").alias("id")).distinct().withColumn("__off", F.lit(True))
+    rows = folders.join(asked, ["library", "id"], "left").join(states, "id", "left")
+    desired, previous = F.coalesce("__off", F.lit(False)), F.coalesce("inherited_off", F.lit(False))
+    may = F.coalesce(F.when(desired, F.col("can_turn_off")).otherwise(F.col("can_turn_on")), F.lit(True))
+    problem = F.when(F.col("is_folder").isNull(), "not found").when(~F.col("is_folder"), "not a folder").when((previous != desired) & ~may, "not allowed")
+    return rows.select("library", "pos", "id", "name", previous.alias("previous"), desired.alias("desired"), problem.alias("problem"))
+
+
+def access_outcomes(steps: DataFrame, answers: DataFrame) -> DataFrame:
+    """ST-21, the outcome: steps with status applied, unchanged, failed or not reached. Steps of a library go in order and end with its first failure. answers: id, ok, error (of the calls that were made)."""
+    a = answers.select(F.col("id").alias("__id"), "ok", "error")
+    rows = steps.join(a, F.col("id") == F.col("__id"), "left").drop("__id")
+    differs = F.col("previous") != F.col("desired")
+    fails = F.col("problem").isNotNull() | (differs & ~F.coalesce("ok", F.lit(False)))
+    before = F.coalesce(F.bool_or(fails).over(W.partitionBy("library").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
+    status = F.when(before, "not reached").when(fails, "failed").when(differs, "applied").otherwise("unchanged")
+    why = F.when(~before & fails, F.coalesce("problem", "error", F.lit("no answer")))
+    return rows.select("library", "pos", "id", "name", "previous", "desired", status.alias("status"), why.alias("error"))
+
+
+def access_compensation(outcomes: DataFrame) -> DataFrame:
+    """ST-21, the way back: for each library with a failure what was applied, the last first, set to what it was; the failure stays the error to show, whatever comes of these steps."""
+    failed = outcomes.where("status = 'failed'").select("library", F.col("error").alias("because"))
+    applied = outcomes.where("status = 'applied'").join(failed, "library")
+    place = F.row_number().over(W.partitionBy("library").orderBy(F.desc("pos")))
+    return applied.select("library", place.alias("place"), "id", F.col("previous").alias("set_to"), "because")
+
+
 def discovered_friends(catalogs: DataFrame, roots: DataFrame, granted: DataFrame, me: str) -> DataFrame:
     """J-26, S-07, PR-13: inbound from live catalogs whose root folder is seen, outbound from grants on the own root; null where the side was not looked at."""
     c = latest(catalogs.where(F.col("owner_uid") != me), ["owner_uid"], [F.desc("marked"), F.desc("published"), F.desc("modified_time"), F.col("id")])
@@ -212,9 +253,40 @@ def discovered_friends(catalogs: DataFrame, roots: DataFrame, granted: DataFrame
     return i.join(granted.select("uid", F.col("granted").alias("outbound")), "uid", "full")
 
 
+def inbound_friends(friends_: DataFrame) -> DataFrame:
+    """FI-29: friends whose library is seen, with a uid of their own (not one made of an address)."""
+    return friends_.where("coalesce(inbound, false) and coalesce(uid, '') <> '' and not startswith(uid, 'email:')")
+
+
+def library_tabs(own: DataFrame, friends_: DataFrame) -> DataFrame:
+    """PR-13: (owner, place, uid, display_name): an owner's own library first, then those of inbound friends in their order. own: owner, display_name; friends: owner, uid, display_name, inbound, pos."""
+    mine = own.select("owner", F.col("owner").alias("uid"), "display_name", F.lit(0).alias("__mine"), F.lit(None).cast("long").alias("pos"))
+    theirs = inbound_friends(friends_).where("uid <> owner").select("owner", "uid", "display_name", F.lit(1).alias("__mine"), F.col("pos").cast("long").alias("pos"))
+    place = F.row_number().over(W.partitionBy("owner").orderBy("__mine", "pos", "uid"))
+    return mine.unionByName(theirs).select("owner", place.alias("place"), "uid", "display_name")
+
+
+# The texts of a friend that are kept, and how much of each.
+CACHED = {"display_name": 160, "email": 254, "catalog_id": 256, "root_folder_id": 256}
+
+
 def friend_cache(rows: DataFrame, most: int = 500) -> DataFrame:
-    """PR-12, V-08: what is kept for the next start: inbound friends, short fields."""
-    return rows.where("inbound and uid is not null and not startswith(uid, 'email:')").orderBy(*friend_order()).limit(most).select(F.substring("uid", 1, 128).alias("uid"), F.substring("display_name", 1, 160).alias("display_name"))
+    """PR-12: what is kept for the next start of each owner: the first ``most`` inbound friends in their order (pos), texts cut, absent ones empty, flags true only where they are known to be."""
+    first = F.row_number().over(W.partitionBy("owner").orderBy("pos", "uid"))
+    kept = rows.where("coalesce(inbound, false) and uid is not null").withColumn("__r", first).where(F.col("__r") <= most)
+    texts = [F.substring(F.coalesce(c, F.lit("")), 1, n).alias(c) for c, n in CACHED.items()]
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("inbound", "outbound", "is_admin")]
+    return kept.select("owner", "pos", "uid", *texts, *flags)
+
+
+def read_friend_cache(stored: DataFrame) -> DataFrame:
+    """V-08: (owner, value as JSON text) -> (owner, pos, uid, ...) of the entries that have their shape: uid and display name are texts, inbound is true, outbound a boolean. A value that is no list has no rows."""
+    entries = stored.select("owner", F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("pos", "v"))
+    kind = lambda f: F.schema_of_variant(F.try_variant_get("v", f"$.{f}", "variant"))
+    text = lambda f: F.try_variant_get("v", f"$.{f}", "string")
+    flag = lambda f: F.coalesce(F.when(kind(f) == "BOOLEAN", F.try_variant_get("v", f"$.{f}", "boolean")), F.lit(False))
+    ok = (kind("uid") == "STRING") & (kind("display_name") == "STRING") & flag("inbound") & (kind("outbound") == "BOOLEAN")
+    return entries.where(ok).select("owner", "pos", text("uid").alias("uid"), *[text(c).alias(c) for c in CACHED], flag("inbound").alias("inbound"), flag("outbound").alias("outbound"), flag("is_admin").alias("is_admin"))
 
 
 def summary(friends_: DataFrame, pending: DataFrame, used: int, limit: int = 20) -> DataFrame:

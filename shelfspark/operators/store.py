@@ -1,4 +1,4 @@
-"""Files of the application: what is listed, read by ranges, written, moved and never deleted; checkpoints; settings; covers.
+"""Files of the application: what is listed, read by ranges, written, moved and never deleted; settings; covers; the refresh of a library.
 
 A files table has a row a file: id, name, parent, mime_type, owner_uid (the app's own mark), content.
 Changes are rows too, applied in the order of ``pos``; what is not allowed comes back as problems.
@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.staging import stage
-from .refresh import commit_verified, index_problems, latest, overlay, preserve_metadata, stale_covers
-from .tree import scan
+from .refresh import latest, preserve_metadata, stale_covers
+from .snapshots import SnapshotStore
+from .tree import listing_problems, scan
 
 # Where the application's own files lie, and what they are called.
 APP_DATA, JSON, FOLDER = "appDataFolder", "application/json", "application/vnd.google-apps.folder"
 CATALOG, COVER_PREFIX = "secret-library-catalog.json", "cover-"
-#: The key of a journal's header row.
-HEADER = ""
 
 
 def shared_catalog_files(files: DataFrame, name: str = CATALOG) -> DataFrame:
@@ -49,8 +48,8 @@ def read_range(files: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """S-10: whole files of a folder: path, size, content."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), "content")
+    """S-10: whole files of a folder and those below it: path, size, content."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), "content")
 
 
 def read_json(files: DataFrame, schema: str) -> DataFrame:
@@ -99,24 +98,6 @@ def building_index_changes(saved: DataFrame, files: DataFrame, drop: bool = Fals
     return rows.select(F.lit(0).alias("pos"), op.alias("op"), F.coalesce("had", name).alias("id"), name.alias("name"), F.lit(APP_DATA).alias("parent"), F.lit(None).cast("string").alias("old_parent"), F.lit(None).cast("string").alias("owner_uid"), F.col("s.content").alias("content"))
 
 
-def checkpoint(base: DataFrame, journal: DataFrame, books: DataFrame, header: str, changed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """K-03: (base, journal) after a checkpoint. Journal rows are (id, header, book); the header's id is ``HEADER``.
-
-    A full one is the new base and clears the journal; a delta replaces the header and the changed books that there are,
-    in one written table, so that neither is ever seen without the other."""
-    if changed is None:
-        return stage(books, "checkpoint-base"), journal.limit(0)
-    rows = books.join(changed.select("id").distinct(), "id", "left_semi").select("id", F.lit(None).cast("string").alias("header"), F.struct(*books.columns).alias("book"))
-    head = books.sparkSession.range(1).select(F.lit(HEADER).alias("id"), F.lit(header).alias("header"), F.lit(None).cast(rows.schema["book"].dataType).alias("book"))
-    new = rows.unionByName(head)
-    return base, stage(journal.join(new.select("id"), "id", "left_anti").unionByName(new), "checkpoint-journal")
-
-
-def load_checkpoint(base: DataFrame, journal: DataFrame) -> DataFrame:
-    """S-12, ST-04: the books of a base with the journal's laid over."""
-    return overlay(base, journal.where(F.col("id") != HEADER).select("book.*", F.lit(0).alias("pos")))
-
-
 def stored_settings(files: DataFrame, name: str, owner: str = "owner_uid") -> DataFrame:
     """S-31: one row an owner of the newest file of this name: version 1, its root folder and key; else ``problem``."""
     rows = latest(files.where(F.col("name") == name), [owner], [F.desc("modified_time"), F.col("id")])
@@ -141,35 +122,60 @@ def cover_removals(ids: DataFrame) -> DataFrame:
     return one.select(F.lit(0).alias("pos"), F.lit("delete").alias("op"), "id", none.alias("name"), none.alias("parent"), none.alias("old_parent"), none.alias("owner_uid"), F.lit(None).cast("binary").alias("content"))
 
 
-def refresh_library(items: DataFrame, active: DataFrame, root: str, name: str = "snapshot") -> dict:
-    """ST-06: a refresh as one chain. The tree is scanned, metadata of unchanged books is kept, the index is checked, saved and read
-    back, and only then do the active rows change; covers that nothing needs any more come last. An error leaves ``active`` as it is.
-
-    items: id, parent_id, name, mime_type, trashed, size, modified_time. Returns books, folders, stale_covers."""
-    folders, found = scan(items, root)
-    details = items.select("id", "size", "modified_time").dropDuplicates(["id"])
-    books = preserve_metadata(found.join(details, "id", "left").withColumn("metadata_status", F.lit("pending")), active)
-    header = items.sparkSession.range(1).select(F.lit(4).alias("version"), F.lit(root).alias("root_folder_id"), F.array().alias("folders"), F.array().alias("books"))
-    problems = index_problems(header, root)
-    if not problems.isEmpty():
-        raise ValueError(problems.first().problem)
-    saved = commit_verified(books, name)
-    return {"books": saved, "folders": folders, "stale_covers": stale_covers(saved, active)}
-
-
-def scan_progress(folders: DataFrame, books: DataFrame) -> DataFrame:
-    """A-19: what a level-by-level scan has read and found when it has read each depth: processed and discovered folders, those left, and books.
-
-    folders: id, depth, of a scan (the root is depth 0 and no folder); books: parent_id. One row a depth."""
-    from pyspark.sql import Window as W
-
-    own = books.join(folders.select(F.col("id").alias("parent_id"), "depth"), "parent_id", "left").groupBy(F.coalesce("depth", F.lit(0)).alias("depth")).agg(F.count("*").alias("b"))
-    n = folders.groupBy("depth").agg(F.count("*").alias("f")).unionByName(folders.sparkSession.range(1).select(F.lit(0).alias("depth"), F.lit(1).cast("long").alias("f")))
-    rows = n.join(own, "depth", "left").withColumn("b", F.coalesce("b", F.lit(0)))
-    up_to = W.orderBy("depth")  # over one row a depth
-    done = F.sum("f").over(up_to)
-    found = done - 1 + F.coalesce(F.lead("f").over(up_to), F.lit(0))
-    return rows.select("depth", done.alias("processed_folders"), found.alias("discovered_folders"), (found + 1 - done).alias("queued_folders"), F.sum("b").over(up_to).alias("books"))
+#: Fixed value: what names of a viewer's cached covers begin with.
+SHARED_COVER_PREFIX = "secret-library-shared-cover-"
+
+
+def shared_cover_name(owner, book, modified):
+    """K-14: the name of a cached cover: owner, book, and the version of the book."""
+    part = lambda c: F.replace(F.url_encode(F.coalesce(c.cast("string"), F.lit(""))), F.lit("+"), F.lit("%20"))
+    return F.concat(F.lit(SHARED_COVER_PREFIX), part(owner), F.lit("-"), part(book), F.lit("-"), part(F.coalesce(F.nullif(modified, F.lit("")), F.lit("unknown"))), F.lit(".webp"))
+
+
+def cover_cache_changes(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """K-14: (name, id, action) for covers that a viewer asks for (owner_uid, book_id, modified_time): each name once however often it is asked for:
+    ``hit`` (it is cached, in the first file of that name), ``create``, and for each book of which a version is created, ``delete`` of the cached
+    versions that nobody asks for. Without owner or book there is nothing. files: id, name."""
+    some = asked.where("coalesce(owner_uid, '') <> '' and coalesce(book_id, '') <> ''")
+    q = some.select(shared_cover_name(F.col("owner_uid"), F.col("book_id"), F.lit("x")).alias("__x"), shared_cover_name(F.col("owner_uid"), F.col("book_id"), F.col("modified_time")).alias("name")).distinct()
+    q = q.select("name", F.expr("left(__x, length(__x) - 6)").alias("prefix"))
+    have = latest(files.where(F.startswith("name", F.lit(SHARED_COVER_PREFIX))), ["name"], [F.col("id")])
+    rows = q.join(have.select("name", "id"), "name", "left").select("name", "prefix", "id", F.when(F.col("id").isNull(), "create").otherwise("hit").alias("action"))
+    made = rows.where("action = 'create'").select("prefix").distinct()
+    cached = files.where(F.startswith("name", F.lit(SHARED_COVER_PREFIX)))
+    return rows.select("name", "id", "action").unionByName(_stale_versions(cached, made).join(q.select("name").distinct(), "name", "left_anti").select("name", "id", F.lit("delete").alias("action")))
+
+
+def _stale_versions(cached: DataFrame, made: DataFrame) -> DataFrame:
+    """Cached files whose name begins with a made prefix: each name is held against all its own beginnings that end in a hyphen, by equality."""
+    cuts = F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring(F.col("name"), i, F.lit(1)) == "-")
+    return cached.select("id", "name", F.explode(F.transform(cuts, lambda i: F.substring(F.col("name"), F.lit(1), i))).alias("prefix")).join(made, "prefix").select("id", "name").distinct()
+
+
+class RefreshError(ValueError):
+    """A refresh that must not be saved; the former snapshot stays current."""
+
+
+def refresh_library(items: DataFrame, store: SnapshotStore, root: str, on_progress=None) -> dict:
+    """ST-06: a refresh as one chain. The listing is checked, the tree is scanned, metadata of unchanged books is kept, the
+    snapshot is saved, read back and made current, and only then are the covers named that nothing needs any more.
+
+    An error at any place (RefreshError, Conflict, Mismatch, BadIndex) leaves the former snapshot current and names no cover. A
+    listing without a live root folder, with an id twice or with an unlisted parent is one: a library is not emptied because its
+    root was not found. items: id, parent_id, name, mime_type, trashed, size, modified_time. Returns books, folders, stale_covers, number."""
+    bad = listing_problems(items, root).limit(5).collect()
+    if bad:
+        raise RefreshError(", ".join(f"{r.problem}: {r.id}" for r in bad))
+    active = store.load(root)
+    folders, found = scan(items, root, on_progress)
+    books = found.withColumn("metadata_status", F.lit("pending"))
+    if active is not None:
+        books = preserve_metadata(books, active[2].drop("migrated"))
+    number = store.commit({"root_folder_id": root}, folders, books, active[0].number if active else None)
+    _, folders, books = store.load(root)
+    had = None if active is None or "cover_file_id" not in active[2].columns else stale_covers(books, active[2])
+    none = books.select(F.lit("").alias("cover_file_id")).where("false")
+    return {"books": books.drop("migrated"), "folders": folders, "stale_covers": none if had is None else had, "number": number}
 
 
 def zip_candidates(entries: DataFrame) -> DataFrame:

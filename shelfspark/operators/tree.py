@@ -1,13 +1,16 @@
 """Folder and invitation trees.
 
-Walks go level by level over DataFrames: each level is one equi-join of the frontier with the
+Walks down go level by level over DataFrames: each level is one equi-join of the frontier with the
 edges, written to the shared folder, so depth is not limited by a recursion setting and a lost
-executor costs one level. A node is entered once, so cycles end.
+executor costs one level. A node is entered once, so cycles end. Ways up, where each node has one
+parent, are followed by pointers that jump twice as far each round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -93,9 +96,37 @@ def depths(folders: DataFrame, root: str) -> DataFrame:
     return descend(start, _edges(folders), [path])
 
 
+def climb(nodes: DataFrame, step: Column | None = None) -> DataFrame:
+    """(node, parent) -> node, top (where its parents end), steps (edges up to there), way (the steps' texts, top first, joined by " / "), cyclic.
+
+    A node whose parent is null or no node is a top of its own. Each round joins the pointers with themselves, so they
+    jump 1, 2, 4 ... edges and a tree of depth d takes log2(d) rounds. Nodes that have arrived take no further part. When no
+    pointer arrives in a round, those that are left are in or below a cycle: of the nodes whose way ends, one at each depth
+    is on the longest way, so each round brings some to their top. ``step``: the text of the edge above a node.
+    """
+    known = nodes.select(F.col("node").alias("__known"))
+    rows = nodes.select("node", "parent", (F.lit("") if step is None else step).alias("way"))
+    rows = rows.join(known, F.col("parent") == F.col("__known"), "left")
+    is_top = F.col("__known").isNull()
+    rows = stage(rows.select("node", F.when(~is_top, F.col("parent")).alias("up"), F.when(is_top, F.col("node")).alias("top"), (~is_top).cast("long").alias("steps"), F.when(is_top, F.lit("")).otherwise(F.col("way")).alias("way")), "climb")
+    arrived, going = rows.where("up is null"), rows.where("up is not null")
+    n = going.count()
+    while n:
+        a, b = going.alias("a"), arrived.unionByName(going).alias("b")
+        way = F.when(F.col("b.way") == "", F.col("a.way")).otherwise(F.concat("b.way", F.lit(" / "), "a.way"))
+        rows = stage(a.join(b, F.col("a.up") == F.col("b.node")).select("a.node", "b.up", "b.top", (F.col("a.steps") + F.col("b.steps")).alias("steps"), way.alias("way")), "climb")
+        arrived, going, before = arrived.unionByName(rows.where("up is null")), rows.where("up is not null"), n
+        n = going.count()
+        if n == before:
+            break
+    none = going.select("node", F.lit(None).cast("string").alias("top"), F.lit(None).cast("long").alias("steps"), F.lit(None).cast("string").alias("way"), F.lit(True).alias("cyclic"))
+    return arrived.select("node", "top", "steps", "way", F.lit(False).alias("cyclic")).unionByName(none)
+
+
 def book_paths(folders: DataFrame, books: DataFrame, root: str) -> DataFrame:
     """G-03, PR-07: folder path and file name; the stored path where the folders don't lead to the root."""
-    at = depths(folders, root).select(F.col("node").alias("parent_id"), F.col("path").alias("__path"))
+    up = folders.select(F.col("id").alias("node"), F.when(F.col("id") != root, F.col("parent_id")).alias("parent"), "name")
+    at = climb(up, F.col("name")).where(F.col("top") == root).select(F.col("node").alias("parent_id"), F.col("way").alias("__path"))
     made = F.when(F.col("__path") == "", F.col("file_name")).otherwise(F.concat(F.col("__path"), F.lit(" / "), F.col("file_name")))
     return books.join(at, "parent_id", "left").withColumn("path", F.when(F.col("__path").isNotNull(), made).otherwise(F.col("path"))).drop("__path")
 
@@ -109,13 +140,51 @@ def _live(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return live.where("kind = 'folder'"), live.where("kind in ('fb2', 'zip', 'epub', 'mobi')")
 
 
-def scan(items: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
-    """S-02: (folders, books) of all items below the root; trashed ones are left out, first of equal ids wins."""
+DETAILS = ["size", "modified_time", "md5_checksum", "resource_key"]
+
+
+def scan(items: DataFrame, root: str, on_progress: Callable[[dict], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """S-02, A-19: (folders, books) of all items below the root; trashed ones are left out, first of equal ids wins, and its details are kept.
+
+    One join a level finds a level's folders and books together. ``on_progress`` is given, after each level, what the job that
+    has read it counted: processed_folders (with the root), discovered_folders, queued_folders, books.
+    """
     folders, books = _live(items)
-    inside = depths(folders.select("id", "parent_id", "name").unionByName(items.sparkSession.range(1).select(F.lit(root).alias("id"), F.lit(None).cast("string").alias("parent_id"), F.lit("").alias("name"))), root)
-    books = books.join(inside.select(F.col("node").alias("parent_id"), "path"), "parent_id")
-    books = books.select("id", "parent_id", F.col("name").alias("file_name"), F.col("kind").alias("source_type"), F.when(F.col("path") == "", F.col("name")).otherwise(F.concat("path", F.lit(" / "), "name")).alias("path"))
-    return inside.where(F.col("node") != root).select(F.col("node").alias("id"), "depth", "path"), books
+    more = [c for c in DETAILS if c in items.columns]
+    children = folders.unionByName(books).where(F.col("id") != root).select("id", "parent_id", "name", "kind", *more)
+    frontier = items.sparkSession.range(1).select(F.lit(root).alias("id"), F.lit(0).alias("depth"), F.lit("").alias("path"))
+    levels, processed, found, n = None, 0, 0, 0
+    reading = 1
+    for _ in range(MOST_DEPTH):
+        p, c = frontier.select(F.col("id").alias("p_id"), "depth", F.col("path").alias("p_path")), children
+        path = F.when(F.col("p_path") == "", F.col("name")).otherwise(F.concat("p_path", F.lit(" / "), "name"))
+        seen = Observation()
+        level = p.join(c, F.col("p_id") == F.col("parent_id")).select("id", "parent_id", "name", "kind", *more, (F.col("depth") + 1).alias("depth"), path.alias("path"))
+        level = stage(level.observe(seen, F.count_if(F.col("kind") == "folder").alias("folders"), F.count_if(F.col("kind") != "folder").alias("books")), "scan")
+        counted = seen.get
+        processed, found, n = processed + reading, found + counted["folders"], n + counted["books"]
+        reading = counted["folders"]
+        if on_progress is not None:
+            on_progress({"processed_folders": processed, "discovered_folders": found, "queued_folders": reading, "books": n})
+        levels = level if levels is None else levels.unionByName(level)
+        frontier = level.where("kind = 'folder'").select("id", "depth", "path")
+        if not reading:
+            break
+    else:
+        raise ValueError(f"deeper than {MOST_DEPTH}")
+    its = levels.where("kind <> 'folder'").select("id", "parent_id", F.col("name").alias("file_name"), F.col("kind").alias("source_type"), "path", *more)
+    return levels.where("kind = 'folder'").select("id", "parent_id", "name", "depth", "path"), its
+
+
+def listing_problems(items: DataFrame, root: str) -> DataFrame:
+    """ST-06: (id, problem) of a listing that can't be whole: no live root folder, ids twice, and what is not in the bin but names a parent that is not listed."""
+    live = items.where(~F.coalesce("trashed", F.lit(False)))
+    folder = X.classify(F.col("name"), F.col("mime_type")) == "folder"
+    roots = live.where((F.col("id") == root) & folder).agg(F.count("*").alias("n")).where("n = 0").select(F.lit(root).alias("id"), F.lit("no root").alias("problem"))
+    twice = live.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("repeated").alias("problem"))
+    known = items.select(F.col("id").alias("parent_id")).distinct()
+    lost = live.where((F.col("id") != root) & F.col("parent_id").isNotNull()).join(known, "parent_id", "left_anti").select("id", F.lit("unknown parent").alias("problem"))
+    return roots.unionByName(twice).unionByName(lost)
 
 
 def count_indexable(items: DataFrame, root: str, minimum: int = 10) -> int:
@@ -146,18 +215,14 @@ def shared_books(folders: DataFrame, books: DataFrame, root: str, excluded: list
 
 def forest(users: DataFrame) -> DataFrame:
     """G-06: (uid, root, depth, cyclic) from (uid, invited_by). Roots have no or an unknown inviter; what no root reaches is in or below a cycle."""
-    known = users.select(F.col("uid").alias("k"))
-    is_root = users.join(known, users.invited_by == F.col("k"), "left").where("k is null")
-    start = is_root.select(F.col("uid").alias("node"), F.lit(0).alias("depth"), F.col("uid").alias("root"))
-    edges = users.where("invited_by is not null").select(F.col("invited_by").alias("parent"), F.col("uid").alias("node"))
-    got = descend(start, edges, [F.col("p.root")])
-    return users.select("uid").join(got, F.col("uid") == F.col("node"), "left").select("uid", "root", "depth", F.col("root").isNull().alias("cyclic"))
+    got = climb(users.select(F.col("uid").alias("node"), F.col("invited_by").alias("parent")))
+    return got.select(F.col("node").alias("uid"), F.col("top").alias("root"), F.col("steps").cast("int").alias("depth"), "cyclic")
 
 
 def ancestry(items: DataFrame, root: str) -> DataFrame:
     """G-04, FI-26: for each item whether its parents lead to the root: inside, excluded (trashed on the way, or led elsewhere), undetermined (a parent is missing, or a cycle)."""
-    state = F.when(F.coalesce("trashed", F.lit(False)), "excluded").when(F.col("id") == root, "inside")
-    ends = items.select(F.col("id").alias("node"), F.lit(0).alias("depth"), F.coalesce(state, F.when(F.col("parent_id").isNull(), "excluded")).alias("state")).where("state is not null")
-    edges = items.where("parent_id is not null").select(F.col("parent_id").alias("parent"), F.col("id").alias("node"))
-    got = descend(ends, edges, [F.col("p.state")])
-    return items.select("id").join(got.select(F.col("node").alias("id"), "state"), "id", "left").fillna("undetermined", ["state"])
+    state = F.when(F.coalesce("trashed", F.lit(False)), "excluded").when(F.col("id") == root, "inside").when(F.col("parent_id").isNull(), "excluded")
+    ends = items.select("id", "parent_id", state.alias("state"))
+    got = climb(ends.select(F.col("id").alias("node"), F.when(F.col("state").isNull(), F.col("parent_id")).alias("parent")))
+    known = ends.where("state is not null").select(F.col("id").alias("top"), "state")
+    return got.join(known, "top", "left").select(F.col("node").alias("id"), "state").fillna("undetermined", ["state"])

@@ -168,12 +168,6 @@ def _(t):
     return page(t.users.withColumns({"admin": F.lit(False), "banned": F.lit(False)}), A.user_order("registered"), 2, 25)[0].select("uid", "created_at")
 
 
-@query("o08_users_by_role", "SELECT uid FROM users ORDER BY CASE WHEN uid IN (SELECT uid FROM admins WHERE active) THEN 0 WHEN uid IN (SELECT uid FROM bans) THEN 2 ELSE 1 END, display_name, uid LIMIT 25")
-def _(t):
-    flagged = A.user_flags(t.users.drop("email"), t.bans, t.admins, t.users.select("uid", "email"))
-    return page(flagged, A.user_order("role"), 1, 25)[0].select("uid")
-
-
 @query("f15_millis", "SELECT o_orderkey AS k, epoch_ms(o_orderdate) AS ms FROM orders")
 def _(t):
     return t.raw("orders").select(F.col("o_orderkey").alias("k"), X.millis(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("ms"))

@@ -171,11 +171,6 @@ def _(t):
     return t.spark.range(1).select(F.lit(n).cast("long").alias("n"))
 
 
-@query("s01_list_children", "SELECT id, name FROM items WHERE parent_id = 'n3' AND NOT trashed")
-def _(t):
-    return C.listed(t.items, parent_id="n3", trashed=False).select("id", "name")
-
-
 @query("g03_pr07_book_paths", f"{WALK} SELECT b.id, CASE WHEN w.path = '' THEN file_name ELSE w.path || ' / ' || file_name END AS path FROM books b LEFT JOIN walk w ON w.node = b.parent_id")
 def _(t):
     return T.book_paths(t.folders, t.books, "root").select("id", "path")

@@ -49,11 +49,6 @@ def _(t):
     return t.spark.range(1).select(F.lit(P.same_rows(a, a.repartition(3))).alias("same"), F.lit(P.same_rows(a, a.where("pos > 0"))).alias("other"))
 
 
-@query("pr15_error_labels", "SELECT pos, CASE WHEN code IS NULL THEN 'Ошибка' ELSE code END AS label FROM errors")
-def _(t):
-    return t.errors.select("pos", P.error_label(F.col("code")).alias("label"))
-
-
 @query("j25_s19_label_rows", "SELECT b.id, coalesce(m.label, b.series) AS label FROM books b LEFT JOIN (SELECT ' Brand#' || n AS code, 'Серия ' || n AS label FROM (SELECT DISTINCT p_size AS n FROM part WHERE p_size < 10)) m ON m.code = b.series")
 def _(t):
     names = t.raw("part").where("p_size < 10").select(F.concat(F.lit(" Brand#"), F.col("p_size").cast("string")).alias("code"), F.concat(F.lit("Серия "), F.col("p_size").cast("string")).alias("label")).distinct()
@@ -85,23 +80,11 @@ def _(t):
     return P.sendable(t.invitations.select("pos", "owner_uid", F.col("invitee_email").alias("email")), blocked, registered, full).select("pos", "stopped_by")
 
 
-@query("pr11_document_values", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE CAST(user_id AS VARCHAR) END AS value FROM events")
-def _(t):
-    doc = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.col("event_type").alias("stringValue")))).otherwise(F.to_json(F.struct(F.col("user_id").cast("string").alias("integerValue"))))
-    return t.raw("events").select("event_id", P.document_value(doc).alias("value"))
-
-
 @query("se07_mutual", "SELECT a.owner_uid AS uid, a.viewer_uid AS other FROM shares_now a JOIN shares_now b ON a.owner_uid = b.viewer_uid AND a.viewer_uid = b.owner_uid WHERE a.active AND b.active AND a.owner_uid <> a.viewer_uid")
 def _(t):
     return S.relations(t.shares_now).where("relation = 'mutual'").select("uid", "other")
 
 
-@query("fi29_pr13_inbound", "SELECT uid FROM suppliers WHERE balance > 0")
-def _(t):
-    f = t.suppliers.select("uid", (F.col("balance") > 0).alias("inbound"))
-    return f.unionByName(f.select(F.concat(F.lit("email:"), "uid").alias("uid"), F.lit(True).alias("inbound"))).where(F.col("inbound") & ~F.startswith("uid", F.lit("email:"))).select("uid")
-
-
 @query("f13_labels", "SELECT p_partkey AS k, p_name AS label FROM part")
 def _(t):
     return t.raw("part").select(F.col("p_partkey").alias("k"), X.label(F.concat(F.lit(" — "), F.replace("p_name", F.lit(" "), F.lit("  ")), F.lit("- "))).alias("label"))

@@ -165,11 +165,6 @@ def _(t):
     return R.migrate(b).select("id", "extension", "metadata_status", "migrated")
 
 
-@query("k01_k04_commit", "SELECT id, title, size FROM current")
-def _(t):
-    return R.commit_verified(t.current.select("id", "title", "size"), "snapshot")
-
-
 @query("k12_c10_export_errors", "SELECT file_id, i, concat_ws(chr(9), file_id, file_name, outcome, stage, coalesce(code, 'error'), substr(message, 1, 1000)) AS value FROM (SELECT *, unnest([0, 1]) AS i FROM errors)")
 def _(t):
     event = F.struct("stage", F.coalesce("code", F.lit("error")).alias("code"), "message")
@@ -202,9 +197,3 @@ def _(t):
 @query("s20_clean_mapping", "SELECT 'source' AS layer, 0 AS source_rank, code, label FROM mappings")
 def _(t):
     return G.clean_mapping(t.mappings, "source", 0)
-
-
-@query("s22_page_mapping", "SELECT code, label FROM (SELECT lower(replace(p_brand, '#', '_')) AS code, p_name AS label, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) WHERE r = 1")
-def _(t):
-    lines = t.raw("part").select(F.col("p_partkey").alias("pos"), F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit(" — "), "p_name").alias("line"))
-    return G.page_mapping(lines)

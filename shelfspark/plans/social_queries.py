@@ -232,8 +232,3 @@ def _(t):
 @query("f30_identity", "SELECT uid, CASE WHEN CAST(substr(uid, 2) AS INT) % 2 = 0 THEN display_name ELSE email END AS shown FROM users")
 def _(t):
     return t.users.select("uid", X.identity(F.when(F.expr("cast(substr(uid, 2) as int) % 2 = 0"), F.col("display_name")).otherwise(" "), F.col("email")).alias("shown"))
-
-
-@query("pr12_friend_cache", "SELECT uid, display_name FROM suppliers WHERE balance > 0 ORDER BY display_name, uid LIMIT 30")
-def _(t):
-    return S.friend_cache(t.suppliers.withColumn("inbound", F.col("balance") > 0), 30)

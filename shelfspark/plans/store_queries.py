@@ -11,7 +11,6 @@ from ..operators import publish as P
 from ..operators import refresh as R
 from ..operators import social as S
 from ..operators import store as O
-from ..operators import tree as T
 from ..registry import query
 
 NO_TEXT = lambda: F.lit(None).cast("string")
@@ -60,55 +59,6 @@ def _(t):
     return O.building_index_changes(saved, files).select("id", "name", "op", F.decode("content", "UTF-8").alias("text"))
 
 
-@query("k03_checkpoint", "SELECT id, size FROM previous WHERE id NOT IN (SELECT id FROM current WHERE pos % 4 < 2) UNION ALL SELECT id, size + CASE WHEN pos % 4 = 1 THEN 1000 ELSE 500 END FROM current WHERE pos % 4 < 2")
-def _(t):
-    base = t.previous.select("id", "size")
-    none = base.select("id", NO_TEXT().alias("header"), F.struct("id", "size").alias("book")).where("false")
-    later = lambda by: t.current.select("id", (F.col("size") + by).alias("size"))
-    # three deltas: rows of the second replace those of the first, ids that no book has are passed over
-    base, journal = O.checkpoint(base, none, later(500), "h1", t.current.where("pos % 4 < 2"))
-    base, journal = O.checkpoint(base, journal, later(1000), "h2", t.current.where("pos % 4 = 1"))
-    base, journal = O.checkpoint(base, journal, later(7), "h3", t.spark.createDataFrame([("no such",)], "id string"))
-    return O.load_checkpoint(base, journal)
-
-
-@query("k03_full_checkpoint", "SELECT id, size, 0 AS journal FROM current")
-def _(t):
-    base = t.previous.select("id", "size")
-    none = base.select("id", NO_TEXT().alias("header"), F.struct("id", "size").alias("book")).where("false")
-    base, journal = O.checkpoint(base, none, t.current.select("id", "size"), "h1", t.current.where("pos % 4 = 1"))
-    base, journal = O.checkpoint(base, journal, t.current.select("id", "size"), "h2")
-    return O.load_checkpoint(base, journal).withColumn("journal", F.lit(journal.count()).cast("int"))
-
-
-TREE_ITEMS = "SELECT id, parent_id, name, trashed FROM items"
-
-
-@query(
-    "st06_refresh",
-    """SELECT i.id, CASE WHEN CAST(substr(i.id, 2) AS BIGINT) % 5 = 0 THEN 'ready' ELSE 'pending' END AS metadata_status, CASE WHEN CAST(substr(i.id, 2) AS BIGINT) % 5 = 0 THEN 'T' || i.id END AS title FROM items i
-    WHERE NOT trashed AND (regexp_matches(name, '\\.(fb2|epub|mobi|zip)$', 'i') OR (NOT regexp_matches(name, '\\.(azw3?|pdf|djvu|docx?|txt)$', 'i') AND mime_type IN ('application/zip', 'application/epub+zip', 'application/x-mobipocket-ebook')) OR (mime_type = 'application/zip'))""",
-)
-def _(t):
-    return _refreshed(t)["books"].select("id", "metadata_status", "title")
-
-
-@query("st06_stale_covers", "SELECT 'cover' || id AS cover_file_id FROM items WHERE trashed OR CAST(substr(id, 2) AS BIGINT) % 5 <> 0")
-def _(t):
-    kept = _refreshed(t)["stale_covers"]
-    # items of other kinds are no books, so their covers go too; compare what both sides know as books or bin
-    return kept.join(t.items.select(F.concat(F.lit("cover"), F.col("id")).alias("cover_file_id"), "trashed", "id"), "cover_file_id").where("trashed or cast(substr(id, 2) as bigint) % 5 <> 0").select("cover_file_id")
-
-
-def _refreshed(t):
-    mid = t.folders_top.unionByName(t.folders_mid).withColumn("mime_type", F.lit(O.FOLDER)).withColumn("trashed", F.lit(False))
-    items = t.items.unionByName(mid.select("id", "parent_id", "name", "mime_type", "trashed")).withColumns({"size": F.lit(1), "modified_time": F.lit("m")})
-    same = F.col("id").substr(2, 20).cast("long") % 5 == 0
-    kind = X.classify(F.col("name"), F.col("mime_type"))
-    active = t.items.select("id", kind.alias("source_type"), F.when(same, 1).otherwise(2).alias("size"), F.lit("m").alias("modified_time"), F.lit("ready").alias("metadata_status"), F.concat(F.lit("T"), "id").alias("title"), F.concat(F.lit("cover"), F.col("id")).alias("cover_file_id"))
-    return O.refresh_library(items, active, "root", "st06")
-
-
 @query("s08_catalog_files", "SELECT id FROM items WHERE name = 'src1_12.EPUB' AND NOT trashed OR id = 'd7' AND NOT trashed")
 def _(t):
     name = F.when(F.col("id") == "d7", "src1_12.EPUB").otherwise(F.col("name"))
@@ -158,18 +108,6 @@ def _(t):
     return O.stored_settings(f, "settings.json").select("owner_uid", "root_folder_id", "resource_key", "problem")
 
 
-@query(
-    "a19_scan_progress",
-    """WITH d AS (SELECT CASE WHEN id = 'root' THEN 0 WHEN id LIKE 'r%' THEN 1 WHEN id LIKE 'n%' THEN 2 ELSE 3 END AS depth, count(*) AS f FROM folders GROUP BY 1),
-    b AS (SELECT CASE WHEN parent_id LIKE 'n%' THEN 2 ELSE 3 END AS depth, count(*) AS b FROM books WHERE parent_id IN (SELECT id FROM folders) GROUP BY 1)
-    SELECT CAST(depth AS INT) AS depth, CAST(sum(f) OVER w AS BIGINT) AS processed_folders, CAST(sum(f) OVER w - 1 + coalesce(lead(f) OVER w, 0) AS BIGINT) AS discovered_folders, CAST(coalesce(lead(f) OVER w, 0) AS BIGINT) AS queued_folders, CAST(sum(coalesce(b, 0)) OVER w AS BIGINT) AS books FROM d LEFT JOIN b USING (depth) WINDOW w AS (ORDER BY depth)""",
-)
-def _(t):
-    inside = T.depths(t.folders, "root").where("node <> 'root'").select(F.col("node").alias("id"), "depth")
-    books = t.books.join(inside.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
-    return O.scan_progress(inside, books)
-
-
 @query("k13_store_covers", "SELECT 'cover-b' || p_partkey || '.webp' AS id, 'appDataFolder' AS parent, CAST(greatest(1, floor(w * s + 0.5)) AS BIGINT) AS width, CAST(greatest(1, floor(h * s + 0.5)) AS BIGINT) AS height FROM (SELECT p_partkey, w, h, least(1.0::DOUBLE, 240.0::DOUBLE / w, 320.0::DOUBLE / h) AS s FROM (SELECT p_partkey, p_partkey % 900 + 1 AS w, p_partkey * 7 % 1100 + 1 AS h FROM part))")
 def _(t):
     k = F.col("p_partkey")
@@ -222,42 +160,11 @@ def _(t):
     return p.unionByName(got["ledger"].select("email", F.lit("accepted").alias("kind"), F.col("accepted_at").alias("at")))
 
 
-# Names in Russian catalog order, as the rules of the language have it: digits by value, Cyrillic before Latin, no case, no accents.
-RUSSIAN = ["1 a", "файл 2", "файл 99999999999999999999999", "файл 100000000000000000000000", "яблоко", "abc", "é", "f", "zebra 9", "zebra 10"]
-RUSSIAN = [RUSSIAN[0], "Ежик 2", "ежик 10", "ёлка", "Ель 9", "ель 010", "Ёль 11", *RUSSIAN[1:]]
-VALUES = ", ".join(f"('{n}', {i})" for i, n in enumerate(RUSSIAN, 1))
-
-
-@query("o01_russian_order", f"SELECT name, CAST(place AS BIGINT) AS place FROM (VALUES {VALUES}) v(name, place)")
-def _(t):
-    rows = t.spark.createDataFrame([(n, 0) for n in sorted(RUSSIAN)], "file_name string, pos int")
-    return C.placed(rows, C.catalog_order()).select(F.col("file_name").alias("name"), "place")
-
-
-TAGS = {"ja": "японский", "ja-JP": "японский", "JA_jp": "японский", "pt": "португальский", "pt-BR": "португальский", "zh": "китайский", "zh_CN": "китайский", "cze": "чешский", "iw": "иврит", "tyv": "тувинский", " Ru-ru ": "русский", "sr-Latn": "сербский", "qx": None, "english": None, "русский": None, "i-klingon": None}
-TAG_VALUES = ", ".join(f"('{k}', {repr('language:' + v) if v else repr('code:' + k.strip().lower().replace('_', '-'))})" for k, v in TAGS.items())
-
-
-@query("f02_language_tags", f"SELECT tag, key FROM (VALUES {TAG_VALUES}) v(tag, key)")
-def _(t):
-    return t.spark.createDataFrame([(k,) for k in TAGS], "tag string").select("tag", X.language_key(F.col("tag")).alias("key"))
-
-
-@query("o02_sibling_folders", "SELECT id, row_number() OVER (PARTITION BY parent_id ORDER BY lower(name), id) AS place FROM folders WHERE parent_id IS NOT NULL")
-def _(t):
-    return P.positions(t.folders.where("parent_id is not null"), "parent_id", [X.russian(F.col("name")), F.col("id")]).select("id", F.col("place").cast("long").alias("place"))
-
-
 @query("o04_facet_places", "SELECT value, row_number() OVER (ORDER BY CASE WHEN value = 'ECONOMY' THEN 0 ELSE 1 END, lower(label), value) AS place FROM (SELECT DISTINCT g AS value, CASE g WHEN 'ECONOMY' THEN 'Эконом' ELSE g END AS label FROM (SELECT unnest(genres) AS g FROM books) WHERE trim(g) <> '')")
 def _(t):
     return C.placed(C.genre_facets(t.books, {"ECONOMY": "Эконом"}), C.facet_order()).select("value", "place")
 
 
-@query("o05_friend_order", "SELECT uid, row_number() OVER (ORDER BY lower(display_name), uid) AS place FROM suppliers")
-def _(t):
-    return C.placed(t.suppliers.select("uid", "display_name"), [X.russian(F.col("display_name")), F.col("uid")]).select("uid", "place")
-
-
 @query("o15_o16_client_pages", "SELECT uid, CAST(ceil(row_number() OVER (ORDER BY uid) / 25.0) AS BIGINT) AS page FROM users")
 def _(t):
     return C.placed(t.users.select("uid"), [F.col("uid")]).select("uid", F.ceil(F.col("place") / 25).cast("long").alias("page"))
@@ -280,42 +187,6 @@ def _(t):
     return t.raw("customer").select(F.col("c_custkey").alias("k"), X.plural(F.col("c_custkey"), "друг", "друга", "друзей").alias("word"))
 
 
-@query("s22_page_layouts", "SELECT code, label FROM (VALUES ('sf_history', 'Альтернативная история'), ('det', 'Детектив'), ('sci_psychology', 'Психология'), ('prose', 'Проза & быт'), ('popular_business', 'О бизнесе популярно')) v(code, label)")
-def _(t):
-    lines = ["sf_history - Альтернативная история", "det—Детектив", "Психология (sci_psychology) - 11 231", "Проза &amp; быт (prose)", "0.12.9 popular_business;О бизнесе популярно", "Другая (det)", "no code here", "Детективы (DET)", "det - второй", "5 x;y"]
-    return G.page_mapping(t.spark.createDataFrame(list(enumerate(lines)), "pos long, line string"))
-
-
-@query("s20_mapping_codes", "SELECT 'seed' AS layer, 2 AS source_rank, code, label FROM (VALUES ('sci-fi', 'Фантастика'), ('проза', 'Проза'), ('a b', 'C & D'), (repeat('x', 128), 'long')) v(code, label)")
-def _(t):
-    rows = [(" sci-fi ", "- Фантастика –"), ("проза", "Проза"), ("a b", "C &amp;  D"), ("x" * 128, "long"), (" ", "blank"), ("empty", " - ")]
-    return G.clean_mapping(t.spark.createDataFrame(rows, "code string, label string"), "seed", 2)
-
-
-@query("s21_xsd_codes", "SELECT code FROM (VALUES ('sf'), ('sci-fi')) v(code)")
-def _(t):
-    xsd = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:simpleType><xs:restriction base="xs:token"><xs:enumeration value=" sf "/><xs:enumeration value="sci-fi"/><xs:enumeration value="sf"/><xs:enumeration value=" "/></xs:restriction></xs:simpleType></xs:schema>'
-    return G.xsd_codes(t.spark.createDataFrame([(xsd,)], "value string"))
-
-
-@query("k06_unpublished", "SELECT owner_uid, 'root' || owner_uid AS root_folder_id, false AS published, 0 AS books FROM (SELECT DISTINCT owner_uid FROM shares)")
-def _(t):
-    owners = [r.owner_uid for r in t.shares.select("owner_uid").distinct().orderBy("owner_uid").limit(50).collect()]  # owners are u0 to u49 in every table
-    rows = [(x["owner_uid"], x["root_folder_id"], x["published"], len(x["books"])) for x in (P.tombstone(o, f"root{o}") for o in owners)]
-    return t.spark.createDataFrame(rows, "owner_uid string, root_folder_id string, published boolean, books int")
-
-
-@query("st03_batches", "SELECT pos, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 500.0) AS BIGINT) AS batch FROM books WHERE pos % 2 = 0")
-def _(t):
-    items = t.books.select("pos", F.col("id").alias("book_id"), F.when(F.col("pos") % 2 == 0, "pending").otherwise("done").alias("state"))
-    saved = []
-    P.run_batches(lambda: items, lambda some: some.select("pos", F.lit(len(saved)).cast("long").alias("batch")), 500, saved.append)
-    out = saved[0] if saved else items.select("pos", F.lit(0).cast("long").alias("batch")).where("false")
-    for x in saved[1:]:
-        out = out.unionByName(x)
-    return out
-
-
 @query("st04_overlay_journal", "SELECT id, CASE WHEN pos % 10 = 0 THEN 'done' ELSE metadata_status END AS metadata_status FROM books")
 def _(t):
     done = t.books.where("pos % 10 = 0").withColumn("metadata_status", F.lit("done"))
@@ -377,12 +248,6 @@ def _(t):
     return _parsed(t, "fb2")
 
 
-@query("f31_scan_status", "SELECT parent_id, 'Папок: ' || count(DISTINCT source_type) || ', книг: ' || count(*) AS text FROM books GROUP BY parent_id")
-def _(t):
-    n = t.books.groupBy("parent_id").agg(F.count_distinct("source_type").alias("f"), F.count("*").alias("b"))
-    return n.select("parent_id", X.scan_status(F.col("f"), F.col("b")).alias("text"))
-
-
 @query("f23_image_kinds", "SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/webp' END AS kind FROM part")
 def _(t):
     k = F.col("p_partkey")
@@ -404,6 +269,3 @@ def _(t):
     return R.latest(rows, ["id"], [F.col("parent_id"), F.col("name")]).select("id", "parent_id")
 
 
-@query("s14_whole_collection", "SELECT uid, CAST(floor((row_number() OVER (ORDER BY uid) - 1) / 1000.0) AS BIGINT) AS page FROM users")
-def _(t):
-    return C.placed(t.users.select("uid"), [F.col("uid")]).select("uid", F.floor((F.col("place") - 1) / 1000).cast("long").alias("page"))

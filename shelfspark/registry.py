@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from .plans import admin_queries, catalog_queries, publish_queries, refresh_queries, social_queries, store_queries  # noqa: F401
+    from .plans import admin_queries, catalog_queries, order_queries, publish_queries, refresh_queries, snapshot_queries, social_queries, store_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,33 +1,59 @@
-"""The lookup budget over a stream of requests: state of at most 100 times and 30 addresses a user."""
+"""ST-11, ST-14: the lookup budget over a stream of requests. A user's state is 100 times and 30 addresses at most, and goes when the user has been idle for a day."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.limits import Budget
+from ..operators.limits import DAY_S, Budget
 from ..shipping import ship
+from .state import use_rocks
 
 OUT = "uid string, pos long, accepted boolean, charged long"
-STATE = "times array<double>, seen array<string>, seen_at double"
 
 
-def _fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    b = Budget()
-    if state.exists:
-        times, seen, at = state.get
-        b.times.extend(times)
-        b.seen, b.seen_at = list(seen), at
-    rows = pd.concat(list(parts)).sort_values(["t", "pos"])
-    out = [(key[0], r.pos, *b.ask(float(r.t), [a for a in (r.addresses if r.addresses is not None else []) if a])) for r in rows.itertuples(index=False)]
-    state.update((list(b.times), b.seen, b.seen_at))
-    yield pd.DataFrame(out, columns=["uid", "pos", "accepted", "charged"])
-
-
-def stream_budget(requests: DataFrame) -> DataFrame:
-    """ST-11 on a stream of (uid, t, pos, addresses). Requests of a user must come in order of time across batches; within one they are sorted."""
+class BudgetProcessor(StatefulProcessor):
+    """Times are list state, one value each; addresses with the time of their last change are a value. One timer a user, at the end of the day after the last accepted request, clears both."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "t double")
+        self.seen = handle.getValueState("seen", "addresses array<string>, at double")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        b = Budget()
+        b.times.extend(t for (t,) in self.times.get())
+        if self.seen.exists():
+            addresses, b.seen_at = self.seen.get()
+            b.seen = list(addresses)
+        last = b.times[-1] if b.times else None
+        for r in sorted(rows, key=lambda r: (r.t, r.pos)):
+            ok, n = b.ask(float(r.t), [a for a in (r.addresses or []) if a])
+            yield Row(uid=key[0], pos=r.pos, accepted=ok, charged=n)
+        if b.times and b.times[-1] != last:
+            self.times.put([(t,) for t in b.times])
+            self.seen.update((b.seen, b.seen_at))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int((b.times[-1] + DAY_S) * 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.times.clear()
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_budget(requests: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+    """Decisions as ``limits.lookup_budget`` makes them, for (uid, t in seconds, pos, addresses). Requests of a user must come in order of time across
+    batches; within one they are sorted. The clock is that of the requests: a user's state goes once the latest time of all, less
+    ``lateness``, is a day after the user's last accepted request."""
     ship(requests.sparkSession)
-    return requests.groupBy("uid").applyInPandasWithState(_fold, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    use_rocks(requests.sparkSession)
+    rows = requests.select("uid", "t", "pos", "addresses", F.timestamp_millis((F.col("t") * 1000).cast("long")).alias("ts")).withWatermark("ts", lateness)
+    return rows.groupBy("uid").transformWithState(statefulProcessor=BudgetProcessor(), outputStructType=OUT, outputMode="Append", timeMode="EventTime")

@@ -66,12 +66,6 @@ def test_preserve_and_reset(spark):
     assert got == {"same": ("ready", "T"), "size": ("pending", None), "proc": ("pending", "P"), "new": ("pending", None)}
 
 
-def test_commit_reads_back(spark):
-    df = spark.range(10).withColumn("x", F.array("id"))
-    assert refresh.fingerprint(refresh.commit_verified(df, "t")) == refresh.fingerprint(df)
-    assert refresh.fingerprint(df) != refresh.fingerprint(df.where("id < 9"))
-
-
 def test_friends_keep_unknown_apart_from_false(spark):
     rows = spark.createDataFrame([("a", None, True), ("b", False, False), ("c", None, None)], "uid string, inbound boolean, outbound boolean")
     seen = spark.createDataFrame([("b", True, None)], "uid string, inbound boolean, outbound boolean")
@@ -98,6 +92,26 @@ def test_reservations(spark):
     assert got == ["reserved", "sending", "reserved", "sent", "cooldown", "reserved", "failed", "reserved"]
 
 
+def test_reservations_with_what_else_is_known(spark):
+    rows = [("k", 0.0, 0, "reserve", None), ("k", 5.0, 1, "failed", None), ("k", 6.0, 2, "reserve", 0), ("k", 7.0, 3, "reserve", 4), ("d", 100.0, 4, "reserve", None), ("d", 3800.0, 5, "reserve", None), ("d", 3801.0, 6, "failed", None), ("d", 3900.0, 7, "reserve", None)]
+    log = spark.createDataFrame(rows, "uid string, t double, pos long, op string, quota int")
+    seen = spark.createDataFrame([("d", 90.0), ("d", 150.0), ("other", 1.0)], "uid string, sent_at double")
+    got = {r.pos: r.status for r in limits.send_reservations(limits.with_sent_elsewhere(log, seen)).collect()}
+    assert got == {0: "reserved", 1: "failed", 2: "quota", 3: "reserved", 4: "cooldown", 5: "reserved", 6: "failed", 7: "reserved"}
+    # what the directory knew when the lease was taken is remembered by the lease
+    lease = limits.Lease()
+    assert [lease.reserve(4000.0, 100.0), lease.finish(4001.0, "failed"), lease.reserve(4002.0, None), lease.sent] == ["reserved", "failed", "reserved", 100.0]
+
+
+def test_idle_budgets_go(spark):
+    from shelfspark.functions import text as X
+
+    rows = spark.createDataFrame([("old", [5, 10]), ("new", [5, 90_000]), ("edge", [13_600]), ("none", [])], "uid string, a array<long>").select("uid", X.delta36(F.col("a")).alias("times"))
+    rows = rows.unionByName(spark.createDataFrame([("bad", "?"), ("null", None)], "uid string, times string"))
+    assert ids(limits.prune_budgets(rows, 100_000), "uid") == ["bad", "new", "null"]
+    assert limits.prune_budgets(rows, 100_000, 90_000) is rows and ids(limits.prune_budgets(rows, 100_000, 70_000), "uid") == ["bad", "new", "null"]
+
+
 def test_genres_refuse_to_shrink(spark):
     old, new = spark.createDataFrame([("a", "A"), ("b", "B")], "code string, label string"), spark.createDataFrame([("a", "A")], "code string, label string")
     assert genres.check_growth(old, new) is old
@@ -122,25 +136,6 @@ def test_redaction(spark):
     assert tuple(admin.project(u, ["uid", "email"], ["email"], True).first()) == ("u", "a@example.com")
 
 
-def test_streams(spark, tmp_path):
-    from shelfspark.streaming.budget import stream_budget
-    from shelfspark.streaming.notifications import stream_notifications
-
-    src = str(tmp_path / "in")
-    rows = [("u", float(i), i, [f"a{i}"]) for i in range(32)]
-    spark.createDataFrame(rows, "uid string, t double, pos long, addresses array<string>").coalesce(1).write.parquet(src)
-    q = stream_budget(spark.readStream.schema("uid string, t double, pos long, addresses array<string>").parquet(src)).writeStream.format("memory").queryName("budget").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert spark.table("budget").where("accepted").count() == 30
-    src = str(tmp_path / "ch")
-    spark.createDataFrame([("v", "o", True, 1), ("v", "o", True, 2), ("v", "o", False, 3), ("v", "o", True, 4)], "viewer string, owner_uid string, active boolean, at long").coalesce(1).write.parquet(src)
-    q = stream_notifications(spark.readStream.schema("viewer string, owner_uid string, active boolean, at long").parquet(src)).writeStream.format("memory").queryName("news").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert [(r.event, r.at) for r in spark.table("news").orderBy("at").collect()] == [("new", 1), ("dropped", 3), ("new", 4)]
-
-
 def test_settings_and_batches(spark):
     from shelfspark.operators import publish
 
@@ -154,4 +149,105 @@ def test_settings_and_batches(spark):
         return spark.createDataFrame([(f"b{i}", "done" if f"b{i}" in done else "pending") for i in range(7)], "book_id string, state string")
 
     assert publish.run_batches(items, lambda df: df, 3, lambda df: done.update(r.book_id for r in df.collect())) == 3 and len(done) == 7
-    assert publish.tombstone("u", "r")["books"] == []
+    assert publish.run_batches(items, lambda df: df, 3, lambda df: done.clear()) == 0 and len(done) == 7
+    c = spark.createDataFrame([("u", "r"), ("u", "r"), ("u", "s")], "owner_uid string, root_folder_id string")
+    assert sorted((r.root_folder_id, r.published, r.books) for r in publish.tombstones(c).collect()) == [("r", False, []), ("s", False, [])]
+
+
+def test_catalog_order_of_russian_names(spark):
+    names = ["1 a", "Ежик 2", "ежик 10", "ёлка", "Ель 9", "ель 010", "Ёль 11", "файл 2", "файл 99999999999999999999999", "файл 100000000000000000000000", "яблоко", "abc", "é", "f", "zebra 9", "zebra 10"]
+    rows = spark.createDataFrame([(n, 0) for n in sorted(names)], "file_name string, pos int")
+    assert [r.file_name for r in catalog.placed(rows, catalog.catalog_order()).orderBy("place").collect()] == names
+    folders = spark.createDataFrame([(n, n) for n in ("Том 10", "Том 9", "том 1", "Ёж 3", "еж 12")], "id string, name string")
+    assert [r.id for r in folders.orderBy(*catalog.sibling_order()).collect()] == ["Ёж 3", "еж 12", "том 1", "Том 9", "Том 10"]
+
+
+def test_people_are_ordered_by_accents_and_case(spark):
+    rows = spark.createDataFrame([("u9", "Ёлкин"), ("u2", "Ёлкин"), ("u5", "Елкин"), ("u1", "елкин"), ("u3", None)], "uid string, display_name string").withColumns({"unread": F.col("uid") == "u5", "created_at": F.lit(1), "notification_key": F.col("uid"), "admin": F.lit(None).cast("boolean"), "banned": F.col("uid") == "u1", "email": F.lit(None).cast("string")})
+    order = lambda o: [r.uid for r in rows.orderBy(*o).collect()]
+    assert order(social.friend_order()) == ["u3", "u1", "u5", "u2", "u9"]
+    assert order(social.notification_order()) == ["u5", "u3", "u1", "u2", "u9"]
+    assert order(admin.user_order("role")) == ["u3", "u5", "u2", "u9", "u1"] and order(admin.user_order("name")) == ["u3", "u1", "u5", "u2", "u9"]
+
+
+def test_language_keys_of_tags(spark):
+    from shelfspark.functions import text as X
+
+    tags = {"ja": "японский", "ja-JP": "японский", "JA_jp": "японский", "pt": "португальский", "pt-BR": "португальский", "zh": "китайский", "zh_CN": "китайский", "cze": "чешский", "iw": "иврит", "tyv": "тувинский", " Ru-ru ": "русский", "sr-Latn": "сербский", "qx": None, "english": None, "русский": None, "i-klingon": None}
+    got = {r.tag: r.key for r in spark.createDataFrame([(k,) for k in tags], "tag string").select("tag", X.language_key(F.col("tag")).alias("key")).collect()}
+    assert got == {k: f"language:{v}" if v else "code:" + k.strip().lower().replace("_", "-") for k, v in tags.items()}
+
+
+def test_layouts_of_mapping_pages(spark):
+    lines = ["sf_history - Альтернативная история", "det—Детектив", "Психология (sci_psychology) - 11 231", "Проза &amp; быт (prose)", "0.12.9 popular_business;О бизнесе популярно", "Другая (det)", "no code here", "Детективы (DET)", "det - второй", "5 x;y"]
+    got = {r.code: r.label for r in genres.page_mapping(spark.createDataFrame(list(enumerate(lines)), "pos long, line string")).collect()}
+    assert got == {"sf_history": "Альтернативная история", "det": "Детектив", "sci_psychology": "Психология", "prose": "Проза & быт", "popular_business": "О бизнесе популярно"}
+    rows = [(" sci-fi ", "- Фантастика –"), ("проза", "Проза"), ("a b", "C &amp;  D"), ("x" * 128, "long"), (" ", "blank"), ("empty", " - ")]
+    got = {r.code: r.label for r in genres.clean_mapping(spark.createDataFrame(rows, "code string, label string"), "seed", 2).collect()}
+    assert got == {"sci-fi": "Фантастика", "проза": "Проза", "a b": "C & D", "x" * 128: "long"}
+
+
+def test_dictionary_files_are_one_sorted_object(spark, tmp_path):
+    import json
+
+    new = {f"code {i}": f'"label" \\ {i},' for i in range(57)} | {"é": "ё", "a\"b": "x\ny"}
+    rows = spark.createDataFrame(list(new.items()), "code string, label string")
+    genres.write_dictionary(rows, str(tmp_path / "d"), rows.limit(5))
+    text = "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "d").glob("part-*")))
+    assert list(json.loads(text)) == sorted(new) and json.loads(text) == new
+    assert {r.code: r.label for r in genres.read_dictionary(spark, str(tmp_path / "d")).collect()} == new
+    with pytest.raises(ValueError, match="lacks codes"):
+        genres.write_dictionary(rows.limit(3), str(tmp_path / "e"), rows)
+    genres.write_dictionary(rows.limit(0), str(tmp_path / "f"))
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "f").glob("part-*")))) == {}
+
+
+def test_documents_nest(spark):
+    import json
+
+    from shelfspark.operators import publish
+
+    deep = "x"
+    for i in range(20):
+        deep = {"k": deep} if i % 2 else [deep]
+    plain = [{"a": [1, -2, 2.5, 1e300, 12345678901234567890123, True, None, "", [], {}], "é \"q\" \\ \n": {"b": [[{"c": "\u0001 ж"}]]}}, [], {}, "text", 3, None, False, deep]
+    df = spark.createDataFrame([(i, json.dumps(p, ensure_ascii=False)) for i, p in enumerate(plain)], "i int, plain string")
+    typed = df.select("i", publish.typed_document(F.col("plain")).alias("typed")).cache()
+
+    def encode(v):
+        if v is None:
+            return {"nullValue": None}
+        if isinstance(v, bool):
+            return {"booleanValue": v}
+        if isinstance(v, str):
+            return {"stringValue": v}
+        if isinstance(v, (int, float)):
+            return {"integerValue": str(int(v))} if v == int(v) and abs(v) < 1e38 else {"doubleValue": v}
+        return {"arrayValue": {"values": list(map(encode, v))}} if isinstance(v, list) else {"mapValue": {"fields": {k: encode(x) for k, x in v.items()}}}
+
+    assert {r.i: json.loads(r.typed) for r in typed.collect()} == {i: encode(p) for i, p in enumerate(plain)}
+    assert {r.i: json.loads(r.plain) for r in typed.select("i", publish.document_value(F.col("typed")).alias("plain")).collect()} == dict(enumerate(plain))
+    odd = [('{"timestampValue":"2024-01-01T00:00:00Z"}', '"2024-01-01T00:00:00Z"'), ('{"mapValue":{}}', "{}"), ('{"arrayValue":{}}', "[]"), ('{"bytesValue":"x"}', "null"), ("oops", None), (None, None)]
+    got = spark.createDataFrame(odd, "c string, want string").select("want", publish.document_value(F.col("c")).alias("got")).collect()
+    assert all(r.got == r.want for r in got)
+    over = spark.createDataFrame([("[" * 23 + "]" * 23,)], "c string")
+    with pytest.raises(Exception, match="nests deeper"):
+        over.select(publish.typed_document(F.col("c"))).collect()
+
+
+def test_access_steps_and_their_way_back(spark):
+    folders = spark.createDataFrame([("L", f, f.upper(), i) for i, f in enumerate("abcdef")] + [("M", "m", "M", 1), ("N", "n", "N", 1)], "library string, id string, name string, pos int")
+    settings = spark.createDataFrame([("L", ["a", "c", "e", "zz"]), ("M", ["m"]), ("N", ["n"])], "library string, excluded_folder_ids array<string>")
+    states = spark.createDataFrame([("a", True, False, True, True), ("b", True, True, None, None), ("c", True, True, None, None), ("d", True, None, None, None), ("e", True, False, True, None), ("f", True, True, None, None), ("m", False, False, None, None), ("n", True, False, False, None)], "id string, is_folder boolean, inherited_off boolean, can_turn_off boolean, can_turn_on boolean")
+    steps = social.access_steps(folders, settings, states)
+    answers = spark.createDataFrame([("a", True, None), ("b", True, None), ("e", False, "HTTP 403")], "id string, ok boolean, error string")
+    out = social.access_outcomes(steps, answers)
+    assert {r.id: (r.status, r.error) for r in out.collect()} == {"a": ("applied", None), "b": ("applied", None), "c": ("unchanged", None), "d": ("unchanged", None), "e": ("failed", "HTTP 403"), "f": ("not reached", None), "m": ("failed", "not a folder"), "n": ("failed", "not allowed")}
+    back = social.access_compensation(out).orderBy("place").collect()
+    assert [(r.place, r.id, r.set_to, r.because) for r in back] == [(1, "b", True, "HTTP 403"), (2, "a", False, "HTTP 403")]
+
+
+def test_one_of_equal_keys_is_the_same_each_time(spark):
+    t = spark.createDataFrame([("k0", 1)], "k string, v int")
+    rows = spark.createDataFrame([("k1", 5), ("k1", 3), ("k1", None), ("k0", 9)], "k string, v int").repartition(3)
+    assert sorted(map(tuple, social.insert_absent(t, rows, "k").collect())) == [("k0", 1), ("k1", 3)]
