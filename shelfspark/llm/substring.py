@@ -5,7 +5,8 @@ Every window has an anchor, the 5-gram of least hash inside it, so equal windows
 1. Anchors that occur in one document only are set aside (``repeats``).
 2. Around each other anchor, the words of its windows make a segment. A batch of documents sends each
    distinct segment once, with the least doc_id, to the shard that the anchor's hash names; where
-   an anchor has very many different surroundings, its windows are dealt out further by their second anchor.
+   an anchor has very many different surroundings, each window is a segment of its own, and goes where the
+   hash of its 13 words says: equal windows still meet, and all others are spread evenly.
 3. A shard builds a compressed FM-index over its distinct segments and streams them through it: the
    backward search gives, for each end of a window, how many words match and the earliest document
    that has the match. Intervals of 13 words or more are reported with that document.
@@ -30,40 +31,19 @@ from .fm_index import FmIndex
 from .repeats import SENT, answers_with_spread, batch_of, batches, buckets, distinct_of_documents, runs, send, unpack_with_spread
 
 WINDOW, GRAM = 13, 5
-#: An anchor with so many different surroundings, counted in each batch, is dealt out by second anchors too.
+#: The windows of an anchor with so many different surroundings, counted in each batch, are dealt out one by one.
 SPREAD = 4096
 
 
-def _least(g: np.ndarray, m: int, places: int, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of the least of g[i], ..., g[i + places - 1] for each i below m, leftmost of equal ones, without place but[i]."""
-    if but is None:
-        at = np.lib.stride_tricks.sliding_window_view(g[: m + places - 1], places).argmin(1) + np.arange(m)
-        return g[at], at
-    best, at = np.full(m, np.iinfo(np.uint64).max, dtype=U64), np.full(m, -1, dtype=np.int64)
-    for j in range(places):
-        less = ((g[j : j + m] < best) | (at < 0)) & (but != j + np.arange(m))
-        best[less] = g[j : j + m][less]
-        at[less] = j
-    return best, at + np.arange(m)
-
-
-def anchors(h: np.ndarray, window: int = WINDOW, gram: int = GRAM, second: bool = False) -> tuple[np.ndarray, ...]:
-    """(hash, first window start, number of windows) of each run of windows with one anchor, in order of place; leftmost of
-    equal hashes. With ``second`` runs have one second anchor too, whose hash is the last of the tuple."""
+def anchors(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window start, number of windows) of each run of windows with one anchor, in order of place; leftmost of equal hashes."""
     m = len(h) - window + 1
     if m <= 0:
-        none = np.empty(0, dtype=U64)
-        return (none, np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)) + (none,) * second
-    g = grams(h, gram)
-    best, at = _least(g, m, window - gram + 1)
-    turn = at[1:] != at[:-1]
-    more: tuple = ()
-    if second:
-        best2, at2 = _least(g, m, window - gram + 1, at)
-        turn |= at2[1:] != at2[:-1]
-        more = (best2,)
-    first = np.flatnonzero(np.concatenate(([True], turn)))
-    return (best[first], first, np.diff(np.append(first, m)), *(x[first] for x in more))
+        return np.empty(0, dtype=U64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    g, places = grams(h, gram), window - gram + 1
+    at = np.lib.stride_tricks.sliding_window_view(g, places).argmin(1) + np.arange(m)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return g[at][first], first, np.diff(np.append(first, m))
 
 
 def _around(h: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -90,7 +70,7 @@ class Batch:
         self.docs = [(doc_id, text, h, anchors(h)) for (doc_id, text), h in zip(docs, word_hashes([t for _, t in docs]))]
 
     def segments(self, wanted: np.ndarray, spread: np.ndarray):
-        """(document's place, anchor, second anchor or 0, key, start, windows) of each segment of a wanted anchor."""
+        """(document's place, what names its shard, key, start, windows) of each segment of a wanted anchor."""
         if len(wanted) == 0:
             return
         for i, (_, _, h, (hashes, start, n)) in enumerate(self.docs):
@@ -99,18 +79,14 @@ class Batch:
             at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
             hit = wanted[at] == hashes
             wide = hit & spread[at]
-            runs = [(hashes[j], 0, start[j], n[j]) for j in np.flatnonzero(hit & ~wide).tolist()]
+            for j in np.flatnonzero(hit & ~wide).tolist():
+                s, k = int(start[j]), int(n[j])
+                yield i, int(hashes[j]), xxhash.xxh3_64_intdigest(h[s : s + k + WINDOW - 1].tobytes()), s, k
             if wide.any():
-                own = set(hashes[wide].tolist())
-                runs += [x for x in zip(*(y.tolist() for y in self._second(h))) if x[0] in own]
-            for anchor, other, s, k in runs:
-                s, k = int(s), int(k)
-                yield i, int(anchor), int(other), xxhash.xxh3_64_intdigest(h[s : s + k + WINDOW - 1].tobytes()), s, k
-
-    @staticmethod
-    def _second(h: np.ndarray):
-        a, start, n, b = anchors(h, second=True)
-        return a, b, start, n
+                whole = grams(h, WINDOW)
+                for j in np.flatnonzero(wide).tolist():
+                    for s in range(int(start[j]), int(start[j] + n[j])):
+                        yield i, int(whole[s]), xxhash.xxh3_64_intdigest(h[s : s + WINDOW].tobytes()), s, 1
 
 
 def _send_anchors(buckets: int):
@@ -129,18 +105,14 @@ MARKS = "batch int, shard int, key binary, runs binary, windows binary, doc bina
 SEGMENTS_COLUMNS = [c.split()[0] for c in SEGMENTS.split(", ")]
 
 
-def _shard(anchor: int, other: int, shards: int) -> int:
-    return (anchor if other == 0 else int(mix64(np.array([anchor ^ other], dtype=U64))[0])) % shards
-
-
 def _send_segments(shards: int):
     def run(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(rows) and len(found):
             batch = Batch(rows)
             by_shard: dict[int, dict] = {}
-            for i, anchor, other, key, s, k in batch.segments(*unpack_with_spread(found)):
-                own = by_shard.setdefault(_shard(anchor, other, shards), {})
+            for i, name, key, s, k in batch.segments(*unpack_with_spread(found)):
+                own = by_shard.setdefault(name % shards, {})
                 # documents come in order of doc_id: the first has the least
                 if key not in own:
                     own[key] = (batch.docs[i][0], k, batch.docs[i][2][s : s + k + WINDOW - 1].tobytes())
@@ -213,9 +185,9 @@ def _close(shards: int):
         batch = Batch(rows)
         cover: dict[int, np.ndarray] = {}
         reported = _reported(sent[sent["keys"].isna()])
-        for i, anchor, other, key, s, k in batch.segments(*unpack_with_spread(sent[sent["keys"].notna()])) if reported else ():
+        for i, name, key, s, k in batch.segments(*unpack_with_spread(sent[sent["keys"].notna()])) if reported else ():
             own = batch.docs[i][0]
-            for windows, first in reported.get((_shard(anchor, other, shards), key), ()):
+            for windows, first in reported.get((name % shards, key), ()):
                 if first is not None and (own is None or first < own):
                     c = cover.setdefault(i, np.zeros(len(batch.docs[i][2]) + 1, dtype=np.int64))
                     c[s] += 1

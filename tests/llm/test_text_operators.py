@@ -160,7 +160,7 @@ def substring_by_brute_force(data):
 
 @pytest.mark.parametrize("spread", [4096, 2])
 def test_substring_dedup_of_large_ids_and_frequent_passages(spark, monkeypatch, spread):
-    monkeypatch.setattr(substring, "SPREAD", spread)  # 2: every anchor with two surroundings is dealt out further
+    monkeypatch.setattr(substring, "SPREAD", spread)  # 2: the windows of every anchor with two surroundings go one by one
     r = random.Random(6)
     passage = cases.words(r, 40)
     data = [(2**63 - 1, passage), (-(2**63), passage), (0, passage + " a"), (None, passage), (None, "x " + passage), (5, "w " * 40), (6, "w " * 13)]
@@ -169,6 +169,24 @@ def test_substring_dedup_of_large_ids_and_frequent_passages(spark, monkeypatch,
     assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got), key=key) == sorted(substring_by_brute_force(data), key=key)
 
 
+def test_a_passage_that_all_documents_hold_is_spread(monkeypatch):
+    """The fullest shard's segments stay a part of all, however many documents hold the passage."""
+    import pandas as pd
+
+    r = random.Random(5)
+    passage = cases.words(r, 40)
+    fullest = []
+    for n in (500, 2000):
+        rows = pd.DataFrame({"doc_id": range(n), "text": [f"{cases.words(r, 20)} {passage} {cases.words(r, 20)}" for _ in range(n)], "batch": [0] * n})
+        batch = substring.Batch(rows)
+        held = set(substring.anchors(np.concatenate(list(substring.word_hashes([passage]))))[0].tolist())
+        wanted = np.unique(np.array(sorted(held), dtype=np.uint64))
+        names = [name % 64 for _, name, *_ in {(x[2]): x for x in batch.segments(wanted, np.ones(len(wanted), dtype=bool))}.values()]
+        fullest.append(max(np.bincount(names)) / len(names))
+        assert len(names) > n
+    assert max(fullest) < 3 / 64
+
+
 def test_the_index_decides_every_removal(spark, monkeypatch):
     import pandas as pd
 
