@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -20,26 +21,21 @@ ENCODINGS = ("utf-8", "cp1251")
 
 
 def page_text(data: bytes | str) -> str:
-    """S-23."""
+    """S-23: the first of ENCODINGS that fits, else the first one with replacements."""
     if isinstance(data, str):
         return data
-    fit = (e for e in ENCODINGS if _fits(data, e))
-    return data.decode(next(fit, ENCODINGS[0]), "replace")
-
-
-def _fits(data: bytes, encoding: str) -> bool:
-    try:
-        return data.decode(encoding) is not None
-    except UnicodeDecodeError:
-        return False
+    for encoding in ENCODINGS:
+        with contextlib.suppress(UnicodeDecodeError):
+            return data.decode(encoding)
+    return data.decode(ENCODINGS[0], "replace")
 
 
 def events(source: str) -> list[tuple[str, str]]:
-    """("tag", name) of each start and end tag, and ("text", characters), in order."""
+    """("open", tag), ("close", tag) and ("text", characters), in order."""
     out: list[tuple[str, str]] = []
     p = HTMLParser(convert_charrefs=True)
-    p.handle_starttag = lambda tag, attrs: out.append(("tag", tag))
-    p.handle_endtag = lambda tag: out.append(("tag", tag))
+    p.handle_starttag = lambda tag, attrs: out.append(("open", tag))
+    p.handle_endtag = lambda tag: out.append(("close", tag))
     p.handle_data = lambda text: out.append(("text", text))
     p.feed(source)
     p.close()
@@ -48,7 +44,7 @@ def events(source: str) -> list[tuple[str, str]]:
 
 def lines(source: str) -> list[str]:
     """F-14: the text of a page, scripts included; elements of OWN_LINE end a line, blanks inside it are one, empty lines go."""
-    text = "".join("\n" if kind == "tag" else x for kind, x in events(source) if kind == "text" or x in OWN_LINE)
+    text = "".join(x if kind == "text" else "\n" for kind, x in events(source) if kind == "text" or x in OWN_LINE)
     whole = (re.sub("[ \t]+", " ", x).strip() for x in text.replace("\u00a0", " ").splitlines())
     return [x for x in whole if x]
 

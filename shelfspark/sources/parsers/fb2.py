@@ -10,12 +10,9 @@ from .image import kind
 from .text import FormatError, clean, decode, number, preview, unique
 
 COVERS = ("image/jpeg", "image/png", "image/gif", "image/webp")
-#: What damaged files are scanned for.
-COMMENT, CDATA, INSTRUCTION = re.compile(r"<!--.*?-->", re.S), re.compile(r"<!\[CDATA\[(.*?)\]\]>", re.S), re.compile(r"<\?.*?\?>", re.S)
-TAG = re.compile(r"""<(?P<close>/?)(?P<name>[A-Za-z_][A-Za-z0-9_.:-]*)(?=[\s/>])(?:[^<>"']|"[^"]*"|'[^']*')*?(?P<empty>/?)\s*>""")
-MARKUP = re.compile(r"""</?(?:[^\W\d_]|[_:])[\w.:-]*(?=[\s/>])(?:[^<>"'\x00-\x08\x0b\x0c\x0e-\x1f]|"[^"<>]*"|'[^'<>]*')*>""")
-DECLARATION = re.compile(r"<![A-Za-z]+\s[^<>]*>")
-CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+#: An attachment's tags, and what may stand inside it besides its content.
+OPENED, CLOSED = re.compile(r"<(?:[\w.-]+:)?binary\b[^<>]*(?<!/)>"), re.compile(r"</(?:[\w.-]+:)?binary\s*>")
+ASIDE = re.compile(r"<!--.*?-->|<!\[CDATA\[|\]\]>", re.S)
 #: Paragraphs inside these are no running text.
 APART = {"title", "epigraph", "annotation", "poem", "cite", "subtitle", "table"}
 
@@ -100,71 +97,28 @@ def _cover(root: ET.Element, cover_id: str | None) -> tuple[bytes | None, str |
     return (data, k) if k in COVERS else (None, None)
 
 
-def payload_problem(payload: str) -> str | None:
-    """P-07: why a binary's content is no base64; None if it is."""
-    if CONTROL.search(payload):
-        return "control character"
-    bare = re.sub(r"[\t\n\r ]", "", CDATA.sub(r"\1", COMMENT.sub("", payload)))
-    if re.search(r"[^A-Za-z0-9+/=]", bare):
-        return "no base64"
-    return None if len(bare) % 4 == 0 and re.fullmatch(r"[^=]*={0,2}", bare) else "length or padding"
-
-
-def _payload_end(text: str, at: int, name: str) -> re.Match:
-    """The closing tag of a payload. Any other whole tag or declaration before it could be the book's own, so where the payload ends can't be told."""
-    closing = re.compile(rf"</{re.escape(name)}\s*>")
-    while (at := text.find("<", at)) >= 0:
-        if end := closing.match(text, at):
-            return end
-        if apart := COMMENT.match(text, at) or CDATA.match(text, at):
-            at = apart.end()
-        elif MARKUP.match(text, at) or DECLARATION.match(text, at):
-            break
-        else:
-            at += 1  # one more damaged byte
-    raise FormatError("binary_ambiguous")
-
-
-def binary_payloads(text: str) -> list[tuple[int, int]]:
-    """P-07: (start, end) of the content of each binary right under the root. The rest must be well-formed tags, without a document type."""
-    open_tags: list[str] = []
-    found, at, roots = [], 0, 0
-    while (at := text.find("<", at)) >= 0:
-        if apart := COMMENT.match(text, at) or CDATA.match(text, at) or INSTRUCTION.match(text, at):
-            at = apart.end()
-            continue
-        tag = TAG.match(text, at)
-        if not tag:
-            raise FormatError("binary_ambiguous")
-        at, name, local = tag.end(), tag["name"], tag["name"].rsplit(":", 1)[-1]
-        if tag["close"]:
-            if not open_tags or open_tags.pop() != name:
-                raise FormatError("binary_ambiguous")
-            continue
-        roots += not open_tags
-        if not open_tags and (roots > 1 or local != "FictionBook"):
-            raise FormatError("binary_ambiguous")
-        if tag["empty"]:
-            continue
-        if len(open_tags) == 1 and local == "binary":
-            end = _payload_end(text, at, name)
-            found.append((at, end.start()))
-            at = end.end()
-        else:
-            open_tags.append(name)
-    if open_tags or not roots:
-        raise FormatError("binary_ambiguous")
-    return found
+def damaged(content: str) -> bool:
+    """P-07: whether an attachment's content is not what base64 gives."""
+    try:
+        base64.b64decode("".join(content.split()), validate=True)
+    except ValueError:
+        return True
+    return False
 
 
 def repair_binaries(text: str) -> tuple[str, int]:
-    """P-07: the text with damaged payloads emptied, and their number; an error where it can't be told where one ends."""
-    parts, last, bad = [], 0, 0
-    for a, b in binary_payloads(text):
-        if payload_problem(text[a:b]):
-            parts.append(text[last:a])
-            last, bad = b, bad + 1
-    return "".join([*parts, text[last:]]), bad
+    """P-07: the text with damaged attachments emptied, and their number. Each ends at the next closing tag of its kind; a whole tag before that
+    could be the book's own, so then, and without a closing tag, it is an error. Whether the rest is a book is the XML parser's to say."""
+    parts, at, n = [], 0, 0
+    while opened := OPENED.search(text, at):
+        closed = CLOSED.search(text, opened.end())
+        content = ASIDE.sub("", text[opened.end() : closed.start()]) if closed else "<>"
+        if re.search("<[^<>]*>", content):
+            raise FormatError("binary_ambiguous")
+        bad = damaged(content)
+        parts.append(text[at : opened.end() if bad else closed.start()])
+        at, n = closed.start(), n + bad
+    return "".join([*parts, text[at:]]), n
 
 
 def description_only(text: str) -> ET.Element:
