@@ -23,6 +23,8 @@ MOST_LETTERS = 20_000
 #: Training sums are whole numbers in these units, so that any order of summing gives the same bits.
 UNIT = float(1 << 30)
 SHARPNESS = 12.0
+#: Trigrams whose vectors are held at a time, 4 * DIM bytes each.
+TOGETHER = 4096
 
 
 class Space:
@@ -68,10 +70,16 @@ class Space:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         if has.any():
             codes, at = np.unique(np.concatenate([g[0] for g in grams if g]), return_inverse=True)
-            counts = np.zeros((int(has.sum()), len(codes)), dtype=np.float32)
-            row = np.repeat(np.arange(len(counts)), [len(g[0]) for g in grams if g])
-            counts[row, at] = np.concatenate([g[1] / g[1].sum() for g in grams if g])
-            out[has] = counts @ self.vectors(codes)
+            row = np.repeat(np.flatnonzero(has), [len(g[0]) for g in grams if g])
+            part = np.concatenate([g[1] / g[1].sum() for g in grams if g]).astype(np.float32)
+            # vectors of TOGETHER trigrams at a time, however many a text of many letters has
+            order = np.argsort(at, kind="stable")
+            ends = np.searchsorted(at[order], np.arange(TOGETHER, len(codes) + TOGETHER, TOGETHER))
+            for first, own in zip(range(0, len(codes), TOGETHER), np.split(order, ends[:-1])):
+                some = codes[first : first + TOGETHER]
+                counts = np.zeros((len(texts), len(some)), dtype=np.float32)
+                counts[row[own], at[own] - first] = part[own]
+                out += counts @ self.vectors(some)
         return out, has
 
 
@@ -106,9 +114,8 @@ def train(docs: DataFrame, dim: int = DIM, seed: int = SEED) -> tuple[list[str],
     each = parts.select("lang", "n", F.posexplode("v").alias("i", "x"))
     # averages in units fit a long at any number of texts
     got = each.groupBy("lang", "i").agg((F.sum(F.col("x").cast("decimal(38,0)")) / F.sum("n")).cast("double").alias("x"))
-    found: dict[str, np.ndarray] = {}
-    for r in got.collect():
-        found.setdefault(r.lang, np.zeros(dim))[r.i] = r.x / UNIT
+    whole = got.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).select("lang", "v.x")
+    found = {r.lang: np.array(r.x) / UNIT for r in whole.collect()}
     langs = sorted(found)
     return langs, np.array([found[x] for x in langs]).reshape(len(langs), dim)
 

@@ -259,6 +259,23 @@ def test_language_against_loops(spark):
         assert got[i].lang_pred == langs[int(cos.argmax())] and abs(got[i].score - e.max() / e.sum()) < 1e-4
 
 
+def test_a_text_of_very_many_letters_takes_bounded_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    text = "".join(map(chr, r.integers(0x4E00, 0x9FFF, 60_000))) + " " + "".join(map(chr, r.integers(0x20000, 0x2A6D0, 150_000)))
+    space = langid.Space(langid.DIM, langid.SEED)
+    space.bundles([text[:100]])
+    tracemalloc.start()
+    got, has = space.bundles([text, "plain words", None, text[:500]])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(space.trigrams(text)[0]) > 200_000 and most < 200 << 20 and has.tolist() == [True, True, False, True]
+    for t, row in zip((text[:500], "plain words"), (got[3], got[1])):
+        codes, n = space.trigrams(t)
+        assert np.allclose(row, (n / n.sum()) @ space.vectors(codes), atol=1e-5)
+
+
 def test_too_many_languages_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
     rows = [(i, "abc def", f"l{i % 3}") for i in range(30)]
