@@ -89,28 +89,26 @@ class FmIndex:
         at = np.minimum(np.searchsorted(self.vocab, words), len(self.vocab) - 1)
         return np.where(self.vocab[at] == words, at + 1, 0)
 
-    def earliest(self, codes: np.ndarray, ends: np.ndarray, length: int, within: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def earliest(self, codes: np.ndarray, ends: np.ndarray, length: int, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics of streamed codes at these ends (exclusive), up to ``length``: how many words up to there
-        occur in the index together, and the least document with the match; -1 without one.
+        occur together in a document of the index, and the least document with that match; 0 and -1 without one.
 
-        With ``within`` the streamed text is known to be in the index: a match that is left with one suffix only is
-        then that text's own, and need not be followed to its full length."""
+        ``before``: for each end the number of its own document; only documents with smaller numbers count then, so a text that
+        is in the index itself is held against the texts before it, not against itself."""
         size, doc = np.zeros(len(ends), dtype=np.int64), np.full(len(ends), -1, dtype=np.int64)
         alive = np.arange(len(ends))
         low, high = np.zeros(len(ends), dtype=np.int64), np.full(len(ends), self.n, dtype=np.int64)
-        last_low, last_high = low.copy(), high.copy()
         for j in range(1, length + 1):
             c = codes[ends[alive] - j]
             a = self.first[c] + self.bwt.rank(c, low[alive])
             b = self.first[c] + self.bwt.rank(c, high[alive])
             on = (b > a) & (c > 0)
-            alive, a, b = alive[on], a[on], b[on]
-            low[alive], high[alive], size[alive] = a, b, j
-            last_low[alive], last_high[alive] = a, b
-            if within:
-                own = b - a == 1
-                size[alive[own]] = length
-                alive = alive[~own]
-        found = np.flatnonzero(size)
-        doc[found] = self.docs.least(last_low[found], last_high[found])
+            # as many places as without the new word are the same places, in the same documents
+            fewer = np.flatnonzero(on & (b - a < high[alive] - low[alive]))
+            least = doc[alive]
+            least[fewer] = self.docs.least(a[fewer], b[fewer])
+            if before is not None:
+                on &= least < before[alive]
+            alive = alive[on]
+            low[alive], high[alive], size[alive], doc[alive] = a[on], b[on], j, least[on]
         return size, doc

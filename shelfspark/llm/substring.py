@@ -7,9 +7,10 @@ Every window has an anchor, the 5-gram of least hash inside it, so equal windows
    distinct segment once, with the least doc_id, to the shard that the anchor's hash names; where
    an anchor has very many different surroundings, each window is a segment of its own, and goes where the
    hash of its 13 words says: equal windows still meet, and all others are spread evenly.
-3. A shard builds a compressed FM-index over its distinct segments and streams them through it: the
-   backward search gives, for each end of a window, how many words match and the earliest document
-   that has the match. Intervals of 13 words or more are reported with that document.
+3. A shard builds a compressed FM-index over its distinct segments and streams each document's through it, against
+   the documents before it only: the backward search gives, for each end of a window, how many words up
+   to there an earlier document has together, and the earliest that has them; it ends where none is left.
+   Intervals of 13 words are reported with that document.
 4. Each batch removes the words under reported windows whose earliest document comes before their own.
 
 No word goes that the index has not reported. A passage that a third of all documents hold is, for
@@ -148,8 +149,9 @@ def _search(rows: pd.DataFrame) -> pd.DataFrame:
     base = np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1)
     last = np.cumsum(count)
     offset = np.arange(int(last[-1])) - np.repeat(last - count, count)
-    size, found = index.earliest(index.codes(np.concatenate(pieces)), np.repeat(base, count) + offset + WINDOW, WINDOW, within=True)
-    found[size < WINDOW] = len(ids)  # below the threshold: in no earlier document
+    own = np.repeat(number, count)
+    size, earlier = index.earliest(index.codes(np.concatenate(pieces)), np.repeat(base, count) + offset + WINDOW, WINDOW, before=own)
+    found = np.where(size >= WINDOW, earlier, own)  # below the threshold a window is first in its own document
     # runs of windows of one segment with one earliest document
     turn = np.flatnonzero(np.concatenate(([True], (found[1:] != found[:-1]) | (offset[1:] == 0))))
     length = np.diff(np.append(turn, len(found))).astype(np.uint8)

@@ -214,10 +214,10 @@ def test_fm_index():
     seqs, docs = [r.integers(0, 3, n).astype(np.uint64) for n in (40, 13, 5, 60, 60)], np.array([2, 0, 3, 1, 2])
     f = FmIndex(seqs, docs, 5)
 
-    def brute(stream, end):
-        """Longest match that ends there, up to 5 words, and the least document that has it."""
+    def brute(stream, end, before=9):
+        """Longest match that ends there, up to 5 words, in a document before this one, and the least document that has it."""
         for m in range(min(5, end), 0, -1):
-            has = [d for q, d in zip(seqs, docs) if any((q[i : i + m] == stream[end - m : end]).all() for i in range(len(q) - m + 1))]
+            has = [d for q, d in zip(seqs, docs) if d < before and any((q[i : i + m] == stream[end - m : end]).all() for i in range(len(q) - m + 1))]
             if has:
                 return m, min(has)
         return 0, -1
@@ -226,9 +226,12 @@ def test_fm_index():
         ends = np.arange(5, len(stream) + 1)
         size, doc = f.earliest(f.codes(stream), ends, 5)
         assert list(zip(size.tolist(), doc.tolist())) == [brute(stream, e) for e in ends]
-    for stream in seqs:
-        size, doc = f.earliest(f.codes(stream), np.arange(5, len(stream) + 1), 5, within=True)
-        assert (size == 5).all() and doc.tolist() == [brute(stream, e)[1] for e in range(5, len(stream) + 1)]
+    sizes = set()
+    for stream, own in zip(seqs, docs):
+        size, doc = f.earliest(f.codes(stream), np.arange(5, len(stream) + 1), 5, before=np.full(len(stream) - 4, own))
+        assert list(zip(size.tolist(), doc.tolist())) == [brute(stream, e, own) for e in range(5, len(stream) + 1)]
+        sizes |= set(size.tolist())
+    assert len(sizes) > 3  # a text is not a match of its own
 
 
 def test_fingerprints(spark):
