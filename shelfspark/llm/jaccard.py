@@ -11,17 +11,19 @@ n - ceil(t n) + 1 of each, in any one order of all elements.
    and one by hash. The best of a head's centres is verified first, which joins nearly all of a group
    of copies, so that no step lists all pairs within it.
 4. The rest, exactly. Elements that the same heads share become one key; under each key the heads
-   that are not in its main component by then meet all of its heads, filtered by how much overlap
-   the shared prefix still allows. Pairs are expanded to members in different components and verified.
+   that are not in its main component by then are held against classes of its heads, alike in size and
+   number of shared elements, and meet the heads of those classes only in which one may have enough
+   overlap with them. Pairs are expanded to members in different components and verified.
 
 Pairs that could only join what is joined already are left out; no link between components is.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 import numpy as np
 import pandas as pd
@@ -41,6 +43,10 @@ PARTS = 8
 #: Words of the bit mask of a head's shared elements.
 MASKS = 8
 MASK = [f"m{i}" for i in range(MASKS)]
+#: What names a class of heads under a key.
+CLASS = ["top", "next", "size_class", "pop_class"]
+#: Heads of one class: their sizes differ by less than this factor, their numbers of shared elements by less than the other.
+SIZES_APART, POPS_APART = 1.03, 1.25
 #: Ids that are broadcast to fetch texts, 8 bytes each; more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -247,6 +253,12 @@ def _fit(na: Column, nb: Column, most: Column) -> Column:
     return _sizes_fit(na, nb) & _can_reach(most, na, nb)
 
 
+def _may_fit(n: Column, least: Column, most: Column, common: Column) -> Column:
+    """Whether a set of n elements may fit one of a size from least to most: true wherever _fit is, for any of these sizes and so many common elements or fewer."""
+    sizes = (n * 100 >= least * SIMILARITY) & (most * 100 >= n * SIMILARITY)
+    return sizes & (common + F.ceil(F.greatest(n, most) * F.lit(SIMILARITY / 100.0)) - 1 >= _needed(n, least))
+
+
 def _candidates(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of heads (a, b, common), a: a centre of elements of b; and the keys (top, next, gid) under which all heads with a common element meet.
 
@@ -282,19 +294,29 @@ def _component(df: DataFrame, col: str, found: DataFrame, name: str) -> DataFram
 def _rest(candidates: DataFrame, keys: DataFrame, members: DataFrame, shared: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
     """All pairs of members in different components that group pairs on a common element allow, and those inside one group; without those tried before.
 
-    Under each key only the heads outside the component of its first head are held against all of its heads."""
+    Under each key only the heads outside the component of its first head meet others: heads of the classes that may have
+    a partner for them. A key has at most some thousands of classes (335 of sizes up to 20,000 by 38 of shared elements; those
+    whose sizes fit one head are 20 by 38), so heads that are near none take time in proportion to their number."""
     c = F.col
     m = stage(_component(members.select("gid", "rep"), "rep", found, "c"), "jaccard-member-components")
     g = stage(m.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high")), "jaccard-group-components")
     heads = keys.join(shared.select("gid", "n", "pop", *MASK), "gid").join(g, "gid")
     heads = heads.join(g.select(c("gid").alias("top"), c("low").alias("main")), "top")
-    heads = stage(heads.withColumn("stray", (c("low") != c("high")) | (c("low") != c("main"))), "jaccard-heads")
-    x, y = heads.where("stray").alias("x"), heads.alias("y")
+    size_class, pop_class = F.floor(F.log(c("n")) / math.log(SIZES_APART)), F.floor(F.log(c("pop")) / math.log(POPS_APART))
+    heads = heads.withColumns({"stray": (c("low") != c("high")) | (c("low") != c("main")), "size_class": size_class, "pop_class": pop_class})
+    heads = stage(heads.drop("main"), "jaccard-heads")
+    classes = heads.groupBy(*CLASS).agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("pop").alias("most_pop"))
+    y = stage(classes, "jaccard-classes").alias("y")
+    x = heads.where("stray").drop("size_class", "pop_class").alias("x")
+    may = _may_fit(c("x.n"), c("y.least_n"), c("y.most_n"), F.least("x.pop", "y.most_pop"))
+    x = x.join(y, (c("x.top") == c("y.top")) & (c("x.next") == c("y.next")) & may).select("x.*", "size_class", "pop_class")
+    x, y = stage(x, "jaccard-strays").alias("x"), heads.alias("y")
     once = (c("x.gid") < c("y.gid")) | (~c("y.stray") & (c("x.gid") != c("y.gid")))
     # each bit that one mask alone has is an element that is not common, so pairs on one common passage end here
     alone = lambda p, q: reduce(add, [F.bit_count(c(f"{p}.{m}").bitwiseAND(F.bitwise_not(f"{q}.{m}"))) for m in MASK])
     most = F.least(c("x.pop") - alone("x", "y"), c("y.pop") - alone("y", "x"))
-    on = (c("x.top") == c("y.top")) & (c("x.next") == c("y.next")) & once & ~_one("x.low", "x.high", "y.low", "y.high") & _fit(c("x.n"), c("y.n"), most)
+    same_class = reduce(and_, [c(f"x.{k}") == c(f"y.{k}") for k in CLASS])
+    on = same_class & once & ~_one("x.low", "x.high", "y.low", "y.high") & _fit(c("x.n"), c("y.n"), most)
     pairs = x.join(y, on).select(c("x.gid").alias("a"), c("y.gid").alias("b"))
     of = lambda col: g.select(c("gid").alias(col), c("low").alias(f"{col}low"), c("high").alias(f"{col}high"))
     others = candidates.join(of("a"), "a").join(of("b"), "b").where(~_one("alow", "ahigh", "blow", "bhigh")).select("a", "b")

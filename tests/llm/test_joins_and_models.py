@@ -35,6 +35,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_classes_of_heads_lose_no_pair(spark):
+    c = F.col
+    pairs = spark.range(4000).select((20 + F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(150))).alias("na"), (20 + F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(150))).alias("nb"), (1 + F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(30))).alias("common"))
+    wider = pairs.withColumns({"least": c("nb") - F.lit(2), "most": c("nb") + F.lit(3)})
+    of = wider.select(jaccard._fit(c("na"), c("nb"), c("common")).alias("fit"), jaccard._may_fit(c("na"), c("least"), c("most"), c("common") + 1).alias("may"))
+    got = Counter((x.fit, x.may) for x in of.collect())
+    assert got[True, False] == 0 and got[True, True] and got[False, False] > 1000
+
+
 def check_jaccard(spark, data, docs):
     ids, sets = [], []
     for i, t in data:
