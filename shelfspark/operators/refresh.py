@@ -5,6 +5,7 @@ Absent fields of a row are null here; carry-forward copies a previous row's fiel
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -196,9 +197,9 @@ def index_counts(books: DataFrame, errors: DataFrame, has_run: bool = True) -> D
     return b.agg(F.count("*").alias("total"), F.count("__f").alias("failed"), F.count_if(recovered).alias("recovered"), F.count_if(ready & ~recovered).alias("succeeded"))
 
 
-def action_labels(counts: DataFrame) -> DataFrame:
-    """PR-17."""
-    return counts.select(F.concat(F.lit("Переиндексировать все книги ("), X.grouped(F.col("total")), F.lit(")")).alias("full"), F.concat(F.lit("Повторить ошибки ("), X.grouped(F.col("failed")), F.lit(")")).alias("retry"), (F.col("failed") == 0).alias("retry_hidden"))
+def action_labels(counts: DataFrame, total: Callable[[Column], Column] = X.grouped, failed: Callable[[Column], Column] = X.grouped) -> DataFrame:
+    """PR-17. total, failed: how the two counts are written; in threes (ru-RU) unless told otherwise."""
+    return counts.select(F.concat(F.lit("Переиндексировать все книги ("), total(F.col("total")), F.lit(")")).alias("full"), F.concat(F.lit("Повторить ошибки ("), failed(F.col("failed")), F.lit(")")).alias("retry"), (F.col("failed") == 0).alias("retry_hidden"))
 
 
 def error_totals(errors: DataFrame) -> DataFrame:

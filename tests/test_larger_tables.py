@@ -28,6 +28,8 @@ def grown(at, table: str, key: str, copies: int) -> duckdb.DuckDBPyConnection:
     ("name", "table", "key", "copies"),
     [
         ("o08_users_by_registration", "customer", "c_custkey", 20),
+        ("pr17_action_labels", "part", "p_partkey", 60),
+        ("pr17_action_labels", "part", "p_partkey", 6000),
     ],
 )
 def test_query_on_copies(spark, tmp_path, name, table, key, copies):
@@ -36,3 +38,10 @@ def test_query_on_copies(spark, tmp_path, name, table, key, copies):
     r = con.execute(registry.oracle_sql()[name])
     names = [d[0] for d in r.description]
     assert [tuple(x[c] for c in names) for x in df.collect()] == r.fetchall()
+
+
+def test_labels_of_counts_are_in_threes(spark):
+    from shelfspark.operators import refresh
+
+    counts = spark.createDataFrame([(1_200_000, 12_000)], "total long, failed long")
+    assert refresh.action_labels(counts).first().asDict() == {"full": "Переиндексировать все книги (1 200 000)", "retry": "Повторить ошибки (12 000)", "retry_hidden": False}
