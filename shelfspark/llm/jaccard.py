@@ -15,6 +15,10 @@ n - ceil(t n) + 1 of each, in any one order of all elements.
    number of shared elements, and meet the heads of those classes only in which one may have enough
    overlap with them. Pairs are expanded to members in different components and verified.
 
+Whatever names a pair, bit masks are compared before sets are sent: first of the heads' shared prefix
+elements, then of the members' whole sets. A bit that one mask alone has is an element that is not
+common, so masks bound the overlap from above and no link is lost.
+
 Pairs that could only join what is joined already are left out; no link between components is.
 """
 
@@ -43,6 +47,8 @@ PARTS = 8
 #: Words of the bit mask of a head's shared elements.
 MASKS = 8
 MASK = [f"m{i}" for i in range(MASKS)]
+#: Bits an element of the masks of whole sets, at least; a mask has a power of two of words.
+BITS = 4
 #: What names a class of heads under a key.
 CLASS = ["top", "next", "size_class", "pop_class"]
 #: Heads of one class: their sizes differ by less than this factor, their numbers of shared elements by less than the other.
@@ -182,29 +188,62 @@ def _of_heads(rows: pd.DataFrame, heads: pd.DataFrame) -> list[tuple[int, int, b
     return out
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(doc_id, is_a, is_b, s: shingles) of these documents, from their whole texts."""
+def set_mask(s: np.ndarray) -> np.ndarray:
+    """A bit for each element, in words; a mask of half the length is the two halves of it as one."""
+    words = 1 << max(0, (BITS * len(s) - 1).bit_length() - 6)
+    bit = np.unique(s & U64(64 * words - 1))
+    mask = np.zeros(words, dtype=U64)
+    np.bitwise_or.at(mask, (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
+    return mask
+
+
+def _sets(docs: DataFrame, ids: DataFrame, n: int, masks: bool = False) -> DataFrame:
+    """(doc_id, is_a, is_b, n, s: shingles, or a mask of them) of these documents, from their whole texts."""
     some = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
 
     def factory():
         def run(rows):
-            return {c: rows[c] for c in ("doc_id", "is_a", "is_b")} | {"s": [shingles(h, n).view(np.int64).tolist() for h in word_hashes(rows["text"], lower=True)]}
+            sets = [shingles(h, n) for h in word_hashes(rows["text"], lower=True)]
+            s = [(set_mask(x) if masks else x).view(np.int64).tolist() for x in sets]
+            return {c: rows[c] for c in ("doc_id", "is_a", "is_b")} | {"n": [len(x) for x in sets], "s": s}
 
         return run
 
-    return map_rows(docs.join(some, "doc_id"), factory, "doc_id long, is_a boolean, is_b boolean, s array<long>")
+    return map_rows(docs.join(some, "doc_id"), factory, "doc_id long, is_a boolean, is_b boolean, n long, s array<long>")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """Those pairs (a, b) of document ids whose sets are similar enough. pairs must be a written table. (No distinct here: it
+def _with_sets(docs: DataFrame, pairs: DataFrame, n: int, masks: bool = False) -> DataFrame:
+    """pairs (a, b) with na, sa, nb, sb. pairs must be a written table. (No distinct here: it
     would bind the join's rows to their key, so that a centre with very many pairs could not be split.)"""
     side = lambda x: pairs.select(F.col(x).alias("doc_id"), F.lit(x == "a").alias("is_a"), F.lit(x == "b").alias("is_b"))
     ids = stage(side("a").union(side("b")).groupBy("doc_id").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b")), "pair-ids")
-    sets = stage(_sets(docs, ids, n), "pair-sets")
-    both = pairs.join(sets.where("is_b").select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.join(sets.where("is_a").select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-    o = F.size(F.array_intersect("sa", "sb"))
-    return stage(both.where(o * 100 >= (F.size("sa") + F.size("sb") - o) * SIMILARITY).select("a", "b"), "links")
+    sets = stage(_sets(docs, ids, n, masks), "pair-masks" if masks else "pair-sets")
+    of = lambda x: sets.where(f"is_{x}").select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a")
+
+
+def _alone(p: Column, q: Column) -> Column:
+    """How many bits of mask p are not in q; the longer one is folded to the other's length."""
+
+    def folded(m: Column, other: Column) -> Column:
+        half = (F.size(m) / 2).cast("int")
+        return F.when(F.size(m) > F.size(other), F.zip_with(F.slice(m, F.lit(1), half), F.slice(m, half + 1, half), lambda x, y: x.bitwiseOR(y))).otherwise(m)
+
+    bits = F.zip_with(folded(p, q), folded(q, p), lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return F.aggregate(bits, F.lit(0), add)
+
+
+def _similar(overlap: Column) -> Column:
+    return overlap * 100 >= (F.col("na") + F.col("nb") - overlap) * SIMILARITY
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """Those pairs (a, b) of document ids whose sets are similar enough; pairs must be a written table. Sets are sent for
+    the pairs only whose masks, a sixteenth of their size or an eighth, leave enough overlap possible."""
+    most = F.least(F.col("na") - _alone(F.col("sa"), F.col("sb")), F.col("nb") - _alone(F.col("sb"), F.col("sa")))
+    may = _with_sets(docs, pairs, n, masks=True).where(_sizes_fit(F.col("na"), F.col("nb"))).where(_similar(most)).select("a", "b")
+    both = _with_sets(docs, stage(may, "possible-pairs"), n)
+    return stage(both.where(_similar(F.size(F.array_intersect("sa", "sb")))).select("a", "b"), "links")
 
 
 def _can_reach(common: Column, na: Column, nb: Column) -> Column:
@@ -229,6 +268,7 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     members = stage(sets.join(groups, ["n", "prefix_key"]).select("gid", "rep", "prefix_key"), "jaccard-members")
     shared = stage(_shared(used, members.where("gid = rep").select("gid", "prefix_key"), spark), "jaccard-shared")
     candidates, keys = _candidates(shared)
+    candidates = stage(_possible(candidates, shared), "jaccard-possible")
 
     inside = members.where("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
     best = candidates.groupBy("b").agg(F.max(F.struct("common", "a")).alias("x")).select("x.a", "b")
@@ -286,6 +326,22 @@ def _candidates(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stage(pairs, "jaccard-candidates"), stage(p.select("top", "next", "gid").distinct(), "jaccard-keys")
 
 
+def _may_link() -> Column:
+    """Whether heads x and y may be similar enough, by the masks of their shared elements: each bit that one mask alone has is
+    an element that is not common, so pairs on one common passage end here."""
+    c = F.col
+    alone = lambda p, q: reduce(add, [F.bit_count(c(f"{p}.{m}").bitwiseAND(F.bitwise_not(f"{q}.{m}"))) for m in MASK])
+    return _fit(c("x.n"), c("y.n"), F.least(c("x.pop") - alone("x", "y"), c("y.pop") - alone("y", "x")))
+
+
+def _possible(candidates: DataFrame, shared: DataFrame) -> DataFrame:
+    """Those candidates whose masks leave enough overlap possible. A head has up to two centres an element, so heads of many
+    loosely alike texts have very many, and nearly all of them end here."""
+    x, y = (shared.select("gid", "n", "pop", *MASK).alias(s) for s in "xy")
+    at = candidates.join(x, candidates.a == F.col("x.gid")).join(y, candidates.b == F.col("y.gid"))
+    return at.where(_may_link()).select("a", "b", "common")
+
+
 def _component(df: DataFrame, col: str, found: DataFrame, name: str) -> DataFrame:
     c = found.select(F.col("node").alias(f"{name}_node"), F.col("component").alias(name))
     return df.join(c, df[col] == c[f"{name}_node"], "left").withColumn(name, F.coalesce(name, col)).drop(f"{name}_node")
@@ -312,11 +368,8 @@ def _rest(candidates: DataFrame, keys: DataFrame, members: DataFrame, shared: Da
     x = x.join(y, (c("x.top") == c("y.top")) & (c("x.next") == c("y.next")) & may).select("x.*", "size_class", "pop_class")
     x, y = stage(x, "jaccard-strays").alias("x"), heads.alias("y")
     once = (c("x.gid") < c("y.gid")) | (~c("y.stray") & (c("x.gid") != c("y.gid")))
-    # each bit that one mask alone has is an element that is not common, so pairs on one common passage end here
-    alone = lambda p, q: reduce(add, [F.bit_count(c(f"{p}.{m}").bitwiseAND(F.bitwise_not(f"{q}.{m}"))) for m in MASK])
-    most = F.least(c("x.pop") - alone("x", "y"), c("y.pop") - alone("y", "x"))
     same_class = reduce(and_, [c(f"x.{k}") == c(f"y.{k}") for k in CLASS])
-    on = same_class & once & ~_one("x.low", "x.high", "y.low", "y.high") & _fit(c("x.n"), c("y.n"), most)
+    on = same_class & once & ~_one("x.low", "x.high", "y.low", "y.high") & _may_link()
     pairs = x.join(y, on).select(c("x.gid").alias("a"), c("y.gid").alias("b"))
     of = lambda col: g.select(c("gid").alias(col), c("low").alias(f"{col}low"), c("high").alias(f"{col}high"))
     others = candidates.join(of("a"), "a").join(of("b"), "b").where(~_one("alow", "ahigh", "blow", "bhigh")).select("a", "b")
